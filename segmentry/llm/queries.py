@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .decontaminate import op8_decontamination
+from .mixing import op10_mixing
 from .quality import op3_quality
 from .simhash import op4_simhash
+from .tokens import op9_tokens
 
 QUERIES = {
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op8_decontamination": op8_decontamination,
+    "op9_tokens": op9_tokens,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
