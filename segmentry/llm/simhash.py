@@ -121,12 +121,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, heavy: int = HEAVY) ->
     """
     bounded_batches(spark)
     prints, _ = stored(spark, docs.select("doc_id", simhash("text").alias("fp")), "simhash")
-    distinct, path = stored(spark, prints.select("fp").distinct(), "prints")
-    found = components(spark, links(spark, distinct, heavy))
+    distinct, path = stored(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
+    found = components(spark, links(spark, distinct.select("fp"), heavy))
+    labelled = distinct.join(found.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    first = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
+    classes, _ = stored(spark, labelled.join(first, "label").select("fp", "component_id"), "classes")
     drop(spark, path)
-    labelled = prints.join(found.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    first = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(first, "label").select("doc_id", "fp", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
