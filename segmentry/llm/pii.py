@@ -11,6 +11,8 @@ new spans to identifier-like words in their slot. New spans carry kinds of their
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,15 +43,34 @@ def matches(text: Column, pattern: str) -> Column:
     Ends follow from the lengths of gaps and matches in turn. Pieces are taken in chunks,
     so that a text with very many matches costs in proportion to them.
     """
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("l"), m.alias("m")))
-    pieces = F.zip_with(pieces, F.slice(gaps, 2, 1 << 30), lambda p, r: F.struct(p["l"].alias("l"), p["m"].alias("m"), r.alias("r")))
-    pieces = F.filter(pieces, lambda p: p["m"].isNotNull())
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / CHUNK).cast("int")), lambda i: F.slice(pieces, i * CHUNK + 1, CHUNK))
-    chunks = F.when(F.size(pieces) > 0, chunks)
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    empty = F.expr(f"cast(array() as {SPAN})")
+    return F.coalesce(let(parts, lambda p: let(pieces(p["gaps"], p["found"]), lambda q: let(chunks(q), placed))), empty)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def pieces(gaps: Column, found: Column) -> Column:
+    """(l, m, r) for each match: the gap before it, the match, the gap after it."""
+    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("l"), m.alias("m")))
+    triples = F.zip_with(pairs, F.slice(gaps, 2, 1 << 30), lambda p, r: F.struct(p["l"].alias("l"), p["m"].alias("m"), r.alias("r")))
+    return F.filter(triples, lambda p: p["m"].isNotNull())
+
+
+def chunks(q: Column) -> Column:
+    """The pieces in runs of CHUNK; null without pieces."""
+    numbers = F.sequence(F.lit(0), F.floor((F.size(q) - 1) / CHUNK).cast("int"))
+    return F.when(F.size(q) > 0, F.transform(numbers, lambda i: F.slice(q, i * CHUNK + 1, CHUNK)))
+
+
+def placed(runs: Column) -> Column:
+    """Spans of all runs: bases of the runs by their lengths, then places inside each."""
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("bases"))
-    length = lambda chunk: F.aggregate(chunk, F.lit(0), lambda n, p: n + F.length(p["l"]) + F.length(p["m"]))
-    bases = F.aggregate(chunks, start, lambda acc, c: F.struct((acc["at"] + length(c)).alias("at"), F.concat(acc["bases"], F.array(acc["at"])).alias("bases")), lambda acc: acc["bases"])
+    length = lambda run: F.aggregate(run, F.lit(0), lambda n, p: n + F.length(p["l"]) + F.length(p["m"]))
+    bases = F.aggregate(runs, start, lambda acc, c: F.struct((acc["at"] + length(c)).alias("at"), F.concat(acc["bases"], F.array(acc["at"])).alias("bases")), lambda acc: acc["bases"])
 
     def step(acc: Column, p: Column) -> Column:
         s = acc["at"] + F.length(p["l"])
@@ -57,11 +78,11 @@ def matches(text: Column, pattern: str) -> Column:
         one = F.struct(s.alias("s"), e.alias("e"), p["m"].alias("m"), F.right(p["l"], F.lit(LEFT_CHARS)).alias("l"), F.left(p["r"], F.lit(RIGHT_CHARS)).alias("r"))
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    def within(chunk: Column, base: Column) -> Column:
+    def within(run: Column, base: Column) -> Column:
         first = F.struct(base.alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
-        return F.aggregate(chunk, first, step, lambda acc: acc["out"])
+        return F.aggregate(run, first, step, lambda acc: acc["out"])
 
-    return F.coalesce(F.flatten(F.zip_with(chunks, bases, within)), F.expr(f"cast(array() as {SPAN})"))
+    return F.flatten(F.zip_with(runs, bases, within))
 
 
 def digits(m: Column) -> Column:
@@ -134,7 +155,7 @@ def base(docs: DataFrame) -> DataFrame:
     empty = F.expr(f"cast(array() as {SPAN})")
     near = F.when(F.col("text").rlike("[0-9@]"), F.transform(matches(F.col("text"), CANDIDATE), trimmed)).otherwise(empty)
     near = F.filter(near, lambda c: (F.length(digits(c["m"])) >= 5) | F.contains(c["m"], F.lit("@")))
-    near = F.filter(near, lambda c: ~F.exists(taken, lambda t: (t["s"] < c["e"]) & (c["s"] < t["e"])))
+    near = let(taken, lambda held: F.filter(near, lambda c: ~F.exists(held, lambda t: (t["s"] < c["e"]) & (c["s"] < t["e"]))))
     seeds = [each(F.col(k), mention, k) for k in KINDS]
     rest = each(near, mention, None)
     flat = [F.transform(F.col(k), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(k) for k in KINDS]
