@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from .decontaminate import op8_decontamination
+from .licences import op1_licences
 from .mixing import op10_mixing
 from .pii import op2_pii
 from .quality import op3_quality
 from .simhash import op4_simhash
 from .tokens import op9_tokens
+from .vectors import SQL as VECTORS_SQL
+from .vectors import op6_embeddings
 from .warc import SQL as WARC_SQL
 from .warc import op5_warc
 
 QUERIES = {
+    "op1_licences": op1_licences,
     "op2_pii": op2_pii,
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_warc": op5_warc,
+    "op6_embeddings": op6_embeddings,
     "op8_decontamination": op8_decontamination,
     "op9_tokens": op9_tokens,
     "op10_mixing": op10_mixing,
@@ -23,4 +28,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": WARC_SQL,
+    "op6_embeddings": VECTORS_SQL,
 }
