@@ -7,6 +7,7 @@ from .licences import op1_licences
 from .mixing import op10_mixing
 from .pii import op2_pii
 from .quality import op3_quality
+from .repeats import op7_repeats
 from .simhash import op4_simhash
 from .tokens import op9_tokens
 from .vectors import SQL as VECTORS_SQL
@@ -21,6 +22,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_warc": op5_warc,
     "op6_embeddings": op6_embeddings,
+    "op7_repeats": op7_repeats,
     "op8_decontamination": op8_decontamination,
     "op9_tokens": op9_tokens,
     "op10_mixing": op10_mixing,
