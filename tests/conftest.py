@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -52,7 +53,7 @@ def rows_of(frame):
         cells = []
         for v in row:
             v = v.tolist() if hasattr(v, "tolist") else v
-            if v is None or (isinstance(v, float) and v != v):
+            if v is None or v is pandas.NA or (isinstance(v, float) and v != v):
                 v = None
             elif isinstance(v, float) and v == int(v) and abs(v) < 1e15:
                 v = int(v)
