@@ -138,13 +138,13 @@ def drawn(rows: DataFrame, made: Plan) -> DataFrame:
     return placed.alias("d").join(made.draws.alias("u"), at, "left").select("d.*", mine.alias("units")).drop("block")
 
 
-def mix(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, rows_per_block: int = ROWS_PER_BLOCK, seed: int = SEED) -> DataFrame:
     """The mixed rows: the columns of docs, and the shard and copy of each drawn row, shuffled inside shards.
 
     A null source is a source, a null text has no words; rows of one id are drawn alike.
     Sources without words give nothing, and an empty table gives no rows.
     """
-    made, _ = plan(spark, docs, shards, seed=seed)
+    made, _ = plan(spark, docs, shards, rows_per_block, seed)
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("row"), F.col("source"), made.hash().alias("hash"))
     out = drawn(rows, made).select("row", "hash", F.explode("units").alias("u"))

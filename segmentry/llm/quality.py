@@ -30,7 +30,7 @@ FEATURES = (
     "bangs",
     "stops",
     "unique",
-    "top_word",
+    "short_words",
     "same_lines",
     "line_words",
 )
@@ -58,7 +58,6 @@ def describe(text: str | None) -> tuple[float, ...]:
     share = {k: math.sqrt(len(raw.translate(None, v)) / size) for k, v in KEPT.items()}
     different = set(words)
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    # The share of the words that the commonest tenth of short forms makes up, without counting each form.
     short = sum(len(w) <= 3 for w in words)
     return (
         math.log1p(n),

@@ -59,8 +59,11 @@ def describe(pivots, prefix: int):
     return described
 
 
-def compare(limit: float, shared: int):
-    """Of a block pair in a pivot's list: links of each vector (b null) and edges that span them."""
+def compare(limit: float, shared: dict[int, int]):
+    """Of a block pair in a pivot's list: links of each vector (b null) and edges that span them.
+
+    shared has the pivots that candidates share, by the vectors' length.
+    """
 
     def compared(key: tuple, left: pd.DataFrame) -> pd.DataFrame:
         one, two = (left[left["at"] == s] for s in (key[-2], key[-1]))
@@ -77,7 +80,7 @@ def compare(limit: float, shared: int):
         i, j = i[sure], j[sure]
         common = pa[i][:, :, None] == pb[j][:, None, :]
         least = np.where(common.any(axis=2), pa[i], np.iinfo(np.int32).max).min(axis=1) if len(i) else np.array([])
-        own = (common.sum(axis=(1, 2)) >= shared) & (least == key[1]) if len(i) else np.array([], dtype=bool)
+        own = (common.sum(axis=(1, 2)) >= shared[key[0]]) & (least == key[1]) if len(i) else np.array([], dtype=bool)
         i, j = i[own], j[own]
         rows = [(int(r), None, int(n)) for r, n in zip(ra, np.bincount(i, nb[j], len(ra))) if n]
         rows += [(int(r), None, int(n)) for r, n in zip(rb, np.bincount(j, na[i], len(rb))) if n]
@@ -139,7 +142,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, limit: float = LIMI
     entries = entries.withColumn("pair", F.explode(pairs)).select("width", "pivot", "pair.one", "pair.two", "at", "rep", "n", "v", "pivots")
     key = ["width", "pivot", "one", "two"]
     # A block pair of which one block has no vector compares nothing.
-    found = entries.groupBy(*key).applyInPandas(guarded(compare(limit, shared)), "a long, b long, n long")
+    found = entries.groupBy(*key).applyInPandas(guarded(compare(limit, {w: min(shared, len(p)) for w, p in pivots.items()})), "a long, b long, n long")
     found, _ = stored(spark, found, "found")
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     labels = components(spark, found.where("b is not null").select("a", "b"))

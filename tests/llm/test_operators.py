@@ -1,0 +1,330 @@
+"""The ten operators against brute force, and on nulls, empties, long texts, ties, repeats, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from segmentry.llm import common, decontaminate, licences, mixing, pii, quality, repeats, simhash, tokens, vectors, warc
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hits long, licences long, h long, row long, hash long, size long, label long, score double"
+LONG = "lorem ipsum dolor " * 20000
+TEXTS = [
+    (1, None), (2, ""), (3, " \t\n"), (4, LONG), (5, "one two three four"), (5, "one two three four"), (6, "one two three four"), (None, "no id here at all"), (7, "é 漢字 🙂 " * 30), (8, "single"),
+    (9, "x" * 5000), (10, "The and attion to thanedble " * 40),
+]
+
+
+def docs_of(spark, texts=TEXTS):
+    rows = [(i, t, None if k % 3 else "en", None if k % 4 == 0 else f"src{k % 3}", 0, 1, 2, 3, 4, 5, 6, 7, 0.5) for k, (i, t) in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def empty(spark):
+    return docs_of(spark).limit(0)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, 0) for i in range(1, 30)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    rows = [(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "short item here"), (3, None), (4, "..."), (5, "short item here")]
+    return spark.createDataFrame(rows, "item_id long, text string")
+
+
+def test_edges_of_every_operator(spark, labels, items):
+    docs, none = docs_of(spark), empty(spark)
+    n = len(TEXTS)
+    for run in (
+        lambda d: licences.scan(spark, d),
+        lambda d: pii.find(spark, d),
+        lambda d: quality.scored(spark, d, labels),
+        lambda d: simhash.near_duplicates(spark, d),
+        lambda d: repeats.repeats(spark, d),
+        lambda d: decontaminate.with_hits(spark, d, items),
+        lambda d: mixing.drawn(*reversed(mixing.plan(spark, d))),
+        lambda d: tokens.token_files(spark, d, ""),
+    ):
+        assert run(docs).count() == n
+        assert run(none).count() == 0
+
+
+def test_stages_keep_columns(spark, tmp_path, labels, items):
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    labels.write.parquet(f"{folder}/labels.parquet")
+    items.write.parquet(f"{folder}/benchmark.parquet")
+    docs = docs_of(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, folder).columns == docs.columns, name
+        assert stage(spark, empty(spark), folder).count() == 0
+
+
+def test_fingerprints(spark):
+    rng = random.Random(1)
+    for _ in range(30):
+        text = "".join(rng.choice(["Ab", "c", " ", "\t", "\x0b", "É", " ", "\x1c"]) for _ in range(rng.randint(0, 60)))
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(text) & (1 << 64) - 1 == want
+
+
+@pytest.mark.parametrize("heavy", [4096, 4])
+def test_linked_fingerprints(spark, heavy):
+    rng = random.Random(7)
+    prints = {0}
+    for _ in range(8):
+        x = rng.getrandbits(64)
+        for _ in range(25):
+            for b in rng.sample(range(64), rng.randint(0, 2)):
+                x ^= 1 << b
+            prints.add(x)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    frame = spark.createDataFrame([(p,) for p in signed], "fp long")
+    got = {r["v"]: r["label"] for r in common.components(spark, simhash.links(spark, frame, heavy)).collect()}
+    top = {p: p for p in signed}
+
+    def find(p):
+        while top[p] != p:
+            p = top[p]
+        return p
+
+    for a in signed:
+        for b in signed:
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3:
+                x, y = find(a), find(b)
+                top[max(x, y)] = min(x, y)
+    assert {p: got.get(p, p) for p in signed} == {p: find(p) for p in signed}
+
+
+@pytest.mark.parametrize("block_words", [1_000_000, 12])
+def test_decontamination(spark, block_words):
+    rng = random.Random(3)
+    vocab = ["a", "b", "c", "D", "é", "7"]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([0, 2, 4, 10, 11, 14])))) for i in range(12)]
+    texts = []
+    for k in range(60):
+        parts = [" ".join(rng.choice(vocab[:3]) for _ in range(rng.randint(0, 6))), rng.choice(items)[1], "z", rng.choice(items)[1]]
+        texts.append((k, ", ".join(parts[: rng.randint(1, 4)])))
+    found = decontaminate.with_hits(spark, docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words)
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+    windows = {}
+    for i, t in items:
+        w = words(t)
+        for k in range(max(1, len(w) - 9)) if w else ():
+            windows.setdefault(tuple(w[k : k + 10]), set()).add(i)
+    got = {r["doc_id"]: r["hits"] for r in found.collect()}
+    for k, t in texts:
+        w, hit, its = words(t), set(), set()
+        for win, ids in windows.items():
+            for at in range(len(w) - len(win) + 1):
+                if tuple(w[at : at + len(win)]) == win:
+                    hit |= set(range(at, at + len(win)))
+                    its |= ids
+        h = got[k]
+        assert h["n_words"] == len(w) and set(h["item_ids"]) == its
+        assert {x for s, e in zip(h["starts"], h["ends"]) for x in range(s, e)} == hit
+
+
+def test_cutting_spans(spark, items):
+    docs = docs_of(spark, [(1, "before, alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu! after"), (2, "clean text stays; as it is")])
+    got = {r["doc_id"]: r["text"] for r in decontaminate.clean(spark, docs, items).collect()}
+    assert got == {1: "before, ! after", 2: "clean text stays; as it is"}
+    assert [r["doc_id"] for r in decontaminate.clean(spark, docs, items, max_coverage=0.0).collect()] == [2]
+
+
+def test_tokens_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokens.public_tokenizer())
+    texts = [t for t in TEXTS if t[0] != 5] + [(20, " two  spaces\n and <|endoftext|> here "), (21, "a　b \x1c c"), (22, "don't stop 123")]
+    uri = common.scratch(spark, "tokens")
+    tokens.write_tokens(spark, docs_of(spark, texts), uri)
+    got = sorted(tokens.read_tokens(spark, uri, with_ids=True).collect(), key=lambda r: r["start"])
+    start = 0
+    for r, (doc, text) in zip(got, sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0)), strict=True):
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids"]) == (doc, start, len(ids), ids)
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+        start += len(ids)
+
+
+def test_units_are_encoded_as_the_whole(spark):
+    encoder = tokens.Encoder(tokens.public_tokenizer(), kept_units=5)
+    rng = random.Random(5)
+    pieces = [" ", "  ", "\n", " \n", "a", "bc", "'s", "é", "漢字", "12", "\x1c", "\x85", "!!", "<|endoftext|>", "\xa0", "🙂"]
+    for _ in range(500):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 10)))
+        assert encoder.encode([text])[0] == encoder.whole(text) + encoder.end
+
+
+def test_mixing_targets(spark):
+    rng = random.Random(9)
+    texts = [(i, " ".join("w" for _ in range(rng.randint(1, 30)))) for i in range(4000)]
+    docs = spark.createDataFrame([(i, t, None if i % 2 == 0 else f"s{i % 7}") for i, t in texts], "doc_id long, text string, source string")
+    made, sized = mixing.plan(spark, docs, rows_per_block=64)
+    rows = mixing.drawn(sized, made).select("doc_id", "source", "size", "target", "source_size", F.size("units").alias("n")).collect()
+    again = mixing.drawn(*reversed(mixing.plan(spark, docs.repartition(7), rows_per_block=64))).select("doc_id", F.size("units").alias("n")).collect()
+    assert sorted((r["doc_id"], r["n"]) for r in rows) == sorted((r["doc_id"], r["n"]) for r in again)
+    totals, taken, target = Counter(), Counter(), {}
+    for r in rows:
+        totals[r["source"]] += r["size"]
+        taken[r["source"]] += r["n"] * r["size"]
+        target[r["source"]] = r["target"]
+        assert r["n"] <= 3
+    assert sum(target.values()) == pytest.approx(sum(totals.values()))
+    for s in totals:
+        assert target[s] <= 3 * totals[s] + 1e-6 and abs(taken[s] - target[s]) <= 30
+    shards = Counter(u["shard"] for r in mixing.drawn(sized, made).collect() for u in r["units"])
+    assert len(shards) == mixing.SHARDS
+    mixed = mixing.mix(spark, docs, rows_per_block=64)
+    assert mixed.count() == sum(r["n"] for r in mixing.drawn(sized, made).select(F.size("units").alias("n")).collect()) and set(docs.columns) < set(mixed.columns)
+
+
+@pytest.mark.parametrize("size", ["128m", "1k"])
+def test_archives(spark, size):
+    fake = "x\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\nWARC/1.0\r\nfoo"
+    pages = [(1, "u", "a"), (2, "u", "b"), (3, None, "a"), (4, "u\r\nx", None), (5, "u", ""), (6, "ü", fake), (7, "u", "WARC/1.0\r\n"), (8, "u", "é" * 50), (9, "u", fake), (10, "u", "\r\n\r\n")]
+    pages += [(i, "u", f"p{i}" * (i % 50)) for i in range(20, 120)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        uri = common.scratch(spark, "warc")
+        warc.write_archives(spark, spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2), uri)
+        got = {r["page_id"]: r for r in warc.read_archives(spark, uri).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    whole = {}
+    for p, _, h in pages:
+        whole[h or ""] = max(p, whole.get(h or "", p))
+    assert len(got) == len(pages)
+    import base64
+
+    for p, _, h in pages:
+        r, raw, top = got[p], (h or "").encode(), whole[h or ""]
+        assert r["payload_bytes"] == len(raw) and r["payload_digest"] == base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if p == top else ("revisit", top))
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(150, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, base[:60] + rng.normal(size=(60, 16)) * 0.05, base[:10], base[:5] * 3]))]
+    odd = [(900, None), (901, [0.0] * 16), (902, [float("nan")] + [1.0] * 15), (903, [None] + [1.0] * 15), (904, []), (905, [1.0, 2.0]), (906, [2.0, 4.0])]
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(spark, spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")).collect()}
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert sum(got[i]["n_links"] == near[i].sum() for i in range(len(rows))) >= 0.99 * len(rows)
+    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in range(900, 905))
+    assert got[906]["n_links"] == 1 and got[906]["component_id"] == 905
+
+
+def test_repeats_equal_brute_force():
+    rng = random.Random(5)
+    for trial in range(12):
+        letters = "ab" if trial % 3 == 0 else "abé \n"
+        base = ["".join(rng.choice(letters) for _ in range(rng.randint(100, 1500))) for _ in range(5)]
+        texts = []
+        for _ in range(20):
+            text = ""
+            for _ in range(rng.randint(1, 4)):
+                part = rng.choice(base)
+                a = rng.randint(0, len(part))
+                text += part[a : rng.randint(a, len(part))] + "".join(rng.choice("xyz") for _ in range(rng.choice([0, 0, 200])))
+            texts.append(text)
+        texts += ["a" * 900, "ab" * 600, texts[0]] if trial % 4 == 0 else []
+        groups = {}
+        for d, raw in enumerate(t.encode() for t in texts):
+            for pos, gram in zip(*(x.tolist() for x in repeats.anchors(raw))):
+                left = min(pos, repeats.SPAN - 1)
+                groups.setdefault(gram, {}).setdefault((left, raw[pos - left : pos + repeats.LENGTH]), []).append((d, pos))
+        cover = [[] for _ in texts]
+        for held in groups.values():
+            keys = list(held)
+            for key, mark in zip(keys, repeats.intervals([c for _, c in keys], [x for x, _ in keys], [len(held[k]) for k in keys])):
+                for d, pos in held[key] if mark else ():
+                    cover[d].append((pos - mark[1], pos + repeats.LENGTH - mark[0]))
+        counts = Counter(raw[i : i + 400] for raw in (t.encode() for t in texts) for i in range(len(raw) - 399))
+        for t, spans in zip(texts, cover):
+            raw = t.encode()
+            want = [i for i in range(len(raw) - 399) if counts[raw[i : i + 400]] > 1]
+            assert repeats.merge([s for s, _ in spans], [e for _, e in spans]) == repeats.merge(want, [i + 400 for i in want])
+
+
+def test_crowded_grams_give_the_same(spark):
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdef ") for _ in range(460))
+    texts = [(i, "".join(rng.choice("uvwxyz ") for _ in range(rng.randint(0, 500))) + passage[rng.randint(0, 30) :] + "".join(rng.choice("uvwxyz") for _ in range(200))) for i in range(30)]
+    rows = lambda c: sorted(map(tuple, repeats.repeats(spark, docs_of(spark, texts), crowded=c).select("doc_id", "n_removed", "kept_sha256").collect()))
+    assert rows(10_000) == rows(5) and any(r[1] for r in rows(5))
+
+
+KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def fine(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    if kind == "card":
+        total = sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for i, c in enumerate(reversed(d)))
+        return 16 <= len(d) <= 19 and total % 10 == 0
+    return {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in m.split(".")), "phone": 8 <= len(d) <= 15}[kind]
+
+
+def test_base_spans(spark):
+    rng = random.Random(3)
+    pieces = ["a", "b.", "@", "x@y.z", ".", "-", "_", "1", "256", "4539 1488 0343 6467", "4539148803436467", "+", "(", ") ", "555", ".com", "1.2.3.4", " ", "\n", "é", "🙂", "+1 (743) 555-3824", "0", "%"]
+    texts = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(0, 25)))) for i in range(1500)]
+    got = {r["doc_id"]: r for r in pii.base(docs_of(spark, texts)).collect()}
+    for i, t in texts:
+        for kind, pattern in KINDS.items():
+            want = [m.span() for m in re.finditer(pattern, t) if fine(kind, m.group())]
+            assert [(x["s"], x["e"]) for x in got[i][kind]] == want
+
+
+def test_contexts_find_unseen_identifiers(spark):
+    cards = [n for n in range(4000000000000000, 4000000000004000) if fine("card", str(n))][:20]
+    texts = [(i, f"my card number is {n} thanks") for i, n in enumerate(cards)] + [(100 + k, f"my card number is {1000000 + k} today") for k in range(3)] + [(200, "the year was 1234567 or so")]
+    got = {r["doc_id"]: r["context"] for r in pii.find(spark, docs_of(spark, texts)).where("size(context) > 0").collect()}
+    assert {d: [(c["kind"], c["s"], c["e"]) for c in x] for d, x in got.items()} == {100 + k: [("card", 18, 25)] for k in range(3)}
+
+
+def test_classifier_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, told = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.scored(spark, docs, told).join(told, "doc_id").where("held_out").collect()
+    assert len(rows) > 50 and np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.95
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+
+
+def test_licence_passages():
+    scanner = licences.Scanner.of(licences.TEMPLATES)
+    text = "prose about licences\nReleased under the MIT License.\nmore\n" + licences.TEMPLATES["Apache-2.0"].replace("Unless", "\nUnless") + "\nend"
+    assert [(p[0], p[3] > 0.95) for p in scanner.passages(text)] == [("MIT-notice", True), ("Apache-2.0", True)]
+    for name, template in licences.TEMPLATES.items():
+        words = template.split()
+        assert scanner.passages(template)[0][0] == name
+        assert scanner.passages(" ".join(words[: len(words) // 3])) == [] or len(words) < 12
+
+
+@pytest.mark.parametrize("name", ["op5_warc", "op6_embeddings"])
+def test_equals_sql(spark, sf, duck, name):
+    from conftest import rows_of
+
+    from segmentry.llm.queries import ORACLE_SQL, QUERIES
+
+    assert rows_of(QUERIES[name](spark, sf).toPandas()) == rows_of(duck.execute(ORACLE_SQL[name]).df())
