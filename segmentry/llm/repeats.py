@@ -20,6 +20,7 @@ counted by hash over all tasks instead, which gives the same intervals.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import Counter
 from functools import cmp_to_key
 
@@ -32,9 +33,11 @@ from .common import bounded_batches, drop, stored, table
 
 LENGTH, GRAM = 400, 64
 SPAN = LENGTH - GRAM + 1
-CROWDED = 256
+CROWDED = 8192
 #: Longest piece of a text whose anchors are found at once; pieces overlap by LENGTH - 1.
 PIECE = 1 << 19
+#: Contexts that a task remembers as sent, 16 bytes each.
+SEEN = 500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MASK = (1 << 64) - 1
 
@@ -108,24 +111,29 @@ def find_anchors(batches):
     for batch in batches:
         found = [anchors(utf8(t)) for t in batch["text"]]
         at = np.repeat(np.arange(len(batch)), [len(p) for p, _ in found])
-        out = batch[["doc_id", "h"]].iloc[at].reset_index(drop=True)
+        out = batch[["key", "h"]].iloc[at].reset_index(drop=True)
         out["pos"] = np.concatenate([p for p, _ in found]) if found else []
         out["gram"] = np.concatenate([k for _, k in found]) if found else []
         yield out.astype({"pos": "int64", "gram": "int64"})
 
 
 def cut_contexts(batches):
-    """For texts with their repeated anchors (pos, gram): the contexts and how far left they reach."""
+    """For texts with their repeated anchors: a row for each place, with its context where the task meets it first."""
+    seen: set[bytes] = set()
     for batch in batches:
         rows = []
-        for doc, h, text, places, grams in zip(batch["doc_id"], batch["h"], batch["text"], batch["places"], batch["grams"]):
+        if len(seen) > SEEN:
+            seen.clear()
+        for doc, h, text, places, grams in zip(batch["key"], batch["h"], batch["text"], batch["places"], batch["grams"]):
             raw = utf8(text)
             for pos, gram in zip(places.tolist(), grams.tolist()):
                 left = min(pos, SPAN - 1)
                 context = raw[pos - left : pos + LENGTH]
-                rows.append((doc, h, pos, gram, hashlib.blake2b(b"%d:" % left + context, digest_size=16).hexdigest(), left, context))
-        out = pd.DataFrame(rows, columns=["doc_id", "h", "pos", "gram", "cid", "left", "context"])
-        yield out.astype({"doc_id": batch["doc_id"].dtype, "h": "int64", "pos": "int64", "gram": "int64", "left": "int32"})
+                cid = hashlib.blake2b(b"%d:" % left + context, digest_size=16).digest()
+                rows.append((doc, h, pos, gram, cid, left, None if cid in seen else context))
+                seen.add(cid)
+        out = pd.DataFrame(rows, columns=["key", "h", "pos", "gram", "cid", "left", "context"])
+        yield out.astype({"h": "int64", "pos": "int64", "gram": "int64", "left": "int32"})
 
 
 class Sorted:
@@ -133,27 +141,21 @@ class Sorted:
 
     def __init__(self, texts: list[bytes]):
         self.texts = texts
-        starts = np.cumsum([0, *map(len, texts)])
-        raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        self.sums = prefixes(raw).tolist()
-        self.up = POWERS.up[: len(raw) + 1].tolist()
-        self.starts = starts.tolist()
-        compare = cmp_to_key(self.compare)
-        self.order = sorted(range(len(texts)), key=compare)
-        self.common = [self.extension(a, b) for a, b in zip(self.order, self.order[1:])]
-
-    def same(self, a: int, b: int, n: int) -> bool:
-        """Whether the first n bytes hash alike."""
-        i, j = self.starts[a], self.starts[b]
-        one, two = self.sums[i + n] - self.sums[i], self.sums[j + n] - self.sums[j]
-        return (one * self.up[j] - two * self.up[i]) & MASK == 0
+        # Every suffix has its own prefix hashes, so equal beginnings have equal entries.
+        self.sums = [array("Q", prefixes(np.frombuffer(t, dtype=np.uint8)).tobytes()) for t in texts]
+        self.order = sorted(range(len(texts)), key=cmp_to_key(self.compare))
+        self.common = np.array([self.extension(a, b) for a, b in zip(self.order, self.order[1:])], dtype=np.int64)
 
     def extension(self, a: int, b: int) -> int:
-        """Bytes that both begin with, by binary search."""
-        low, high = 0, min(len(self.texts[a]), len(self.texts[b]))
+        """Bytes that both begin with, by binary search over prefix hashes."""
+        one, two = self.sums[a], self.sums[b]
+        low, high = 0, min(len(one), len(two)) - 1
         while low < high:
             middle = (low + high + 1) // 2
-            low, high = (middle, high) if self.same(a, b, middle) else (low, middle - 1)
+            if one[middle] == two[middle]:
+                low = middle
+            else:
+                high = middle - 1
         return low
 
     def compare(self, a: int, b: int) -> int:
@@ -161,32 +163,63 @@ class Sorted:
         x, y = self.texts[a][n : n + 1], self.texts[b][n : n + 1]
         return -1 if x < y else x > y
 
+    def longest(self) -> np.ndarray:
+        """For each suffix the most that it shares with any other: with a neighbour in the order."""
+        out = np.empty(len(self.order), dtype=np.int64)
+        ends = np.concatenate([[0], self.common, [0]])
+        out[self.order] = np.maximum(ends[:-1], ends[1:])
+        return out
+
     def runs(self, least: int) -> np.ndarray:
         """For each suffix the run of the order in which neighbours share `least` bytes."""
         out = np.empty(len(self.order), dtype=np.int64)
-        out[self.order] = np.concatenate([[0], np.cumsum(np.array(self.common, dtype=np.int64) < least)])
+        out[self.order] = np.concatenate([[0], np.cumsum(self.common < least)])
         return out
 
 
 def intervals(contexts: list[bytes], lefts: list[int], counts: list[int]) -> list[tuple[int, int] | None]:
-    """For each context the least and most bytes left of the anchor over its repeated windows, or none."""
-    m = len(contexts)
-    found: list[tuple[int, int] | None] = [None] * m
+    """For each context the least and most bytes left of the anchor over its repeated windows, or none.
+
+    Bytes beyond what a context shares with any other on a side are cut first; contexts
+    that are then equal are one, so a passage in many texts is few contexts.
+    """
+    found: list[tuple[int, int] | None] = [None] * len(contexts)
+    if len(contexts) > 1:
+        right = Sorted([c[left:] for c, left in zip(contexts, lefts)]).longest()
+        behind = Sorted([c[:left][::-1] for c, left in zip(contexts, lefts)]).longest()
+        cut: dict[tuple[bytes, bytes], list[int]] = {}
+        for i, (c, left, r, b) in enumerate(zip(contexts, lefts, right.tolist(), behind.tolist())):
+            if r + b >= LENGTH:
+                cut.setdefault((c[left - b : left][::-1], c[left : left + r]), []).append(i)
+        for members, mark in zip(cut.values(), shared([*cut], [len(x) for x in cut.values()])):
+            for i in members:
+                found[i] = mark
     for i, (c, left, n) in enumerate(zip(contexts, lefts, counts)):
         if n > 1 and len(c) >= LENGTH:
-            found[i] = (max(0, left + LENGTH - len(c)), left) if left + LENGTH > len(c) else (0, left)
-    if m < 2 or None not in found:
+            found[i] = (max(0, left + LENGTH - len(c)), left)
+    return found
+
+
+def shared(sides: list[tuple[bytes, bytes]], counts: list[int]) -> list[tuple[int, int] | None]:
+    """Of different (reversed left, right) sides, each held `counts` times: least and most left bytes of repeated windows."""
+    m = len(sides)
+    found: list[tuple[int, int] | None] = [(LENGTH - len(r), len(b)) if n > 1 else None for (b, r), n in zip(sides, counts)]
+    found = [(max(0, x[0]), x[1]) if x else None for x in found]
+    if m < 2:
         return found
-    right = Sorted([c[left:] for c, left in zip(contexts, lefts)])
-    behind = Sorted([c[:left][::-1] for c, left in zip(contexts, lefts)])
-    for l in sorted({x for x in [*behind.common, *(LENGTH - r for r in right.common)] if 0 <= x < SPAN}):
+    right, behind = Sorted([r for _, r in sides]), Sorted([b for b, _ in sides])
+    for l in sorted({x for x in [*behind.common.tolist(), *(LENGTH - right.common).tolist()] if 0 <= x < SPAN}):
         ids = right.runs(LENGTH - l) * m + behind.runs(l)
         _, inverse, sizes = np.unique(ids, return_inverse=True, return_counts=True)
-        several = np.flatnonzero(sizes[inverse] > 1).tolist()
-        windows = {i: contexts[i][lefts[i] - l : lefts[i] - l + LENGTH] for i in several if lefts[i] >= l}
+        windows = {}
+        for i in np.flatnonzero(sizes[inverse] > 1).tolist():
+            b, r = sides[i]
+            if len(b) >= l and len(r) >= LENGTH - l:
+                windows[i] = b[:l][::-1] + r[: LENGTH - l]
+        # Collisions of hashes: only windows whose bytes are held twice count.
         held = Counter(windows.values())
         for i, w in windows.items():
-            if held[w] > 1 and len(w) == LENGTH:
+            if held[w] > 1:
                 low, high = found[i] or (l, l)
                 found[i] = (min(low, l), max(high, l))
     return found
@@ -263,39 +296,40 @@ def repeats(spark: SparkSession, docs: DataFrame, crowded: int = CROWDED) -> Dat
     """
     bounded_batches(spark)
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"), "text")
+    # Ids as text, so that rows without an id are joined too; with the hash a key is one text.
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", key.alias("key"), F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"), "text")
     same = ["h", "size"]
-    copies, copies_path = stored(spark, rows.groupBy(*same).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")
-    # Of equal texts the first stands for all; copies that are left out are few ids, never texts.
-    found, found_path = stored(spark, rows.mapInPandas(find_anchors, f"doc_id {kind}, h long, pos long, gram long"), "anchors")
-    aside = copies.select("h", F.col("first"))
-    found = found.join(aside, "h", "left").where("first is null or doc_id <=> first").drop("first").distinct()
+    copies, copies_path = stored(spark, rows.groupBy(*same).agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")
+    # Of equal texts the first stands for all; what says so are keys, never texts.
+    found, found_path = stored(spark, rows.mapInPandas(find_anchors, "key string, h long, pos long, gram long"), "anchors")
+    found = found.join(copies.select("h", "first"), "h", "left").where("first is null or key = first").drop("first").distinct()
     several = found.groupBy("gram").count().where("count > 1").select("gram")
-    listed = found.join(several, "gram").groupBy("doc_id", "h").agg(F.collect_list(F.struct("pos", "gram")).alias("a"))
-    listed = listed.select("doc_id", "h", F.col("a.pos").alias("places"), F.col("a.gram").alias("grams"))
-    texts = rows.select("doc_id", "h", "text").join(listed, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
-    schema = f"doc_id {kind}, h long, pos long, gram long, cid string, left int, context binary"
+    listed = found.join(several, "gram").groupBy("key", "h").agg(F.collect_list(F.struct("pos", "gram")).alias("a"))
+    listed = listed.select("key", "h", F.col("a.pos").alias("places"), F.col("a.gram").alias("grams"))
+    texts = rows.select("key", "h", "text").join(listed, ["key", "h"]).dropDuplicates(["key", "h"])
+    schema = "key string, h long, pos long, gram long, cid binary, left int, context binary"
     contexts, contexts_path = stored(spark, texts.mapInPandas(cut_contexts, schema), "contexts")
-    different = contexts.groupBy("gram", "cid").agg(F.count("*").alias("n"), F.any_value("left").alias("left"), F.any_value("context").alias("context"))
-    different, different_path = stored(spark, different, "different")
-    sizes = different.groupBy("gram").count()
-    large, large_path = stored(spark, sizes.where(F.col("count") > crowded).select("gram"), "large")
-    sortable = different.join(sizes.where((F.col("count") <= crowded)).select("gram"), "gram")
-    sortable = sortable.join(different.groupBy("gram").agg(F.sum("n").alias("all")).where("all > 1").select("gram"), "gram")
-    marks = sortable.repartition("gram").sortWithinPartitions("gram").mapInPandas(sort_groups, "gram long, cid string, low int, high int")
-    if not large.isEmpty():
-        windows = different.join(large, "gram").mapInPandas(window_hashes, "gram long, cid string, l int, one long, two long, n long")
+    counts = contexts.groupBy("gram", "cid").count().groupBy("gram").count()
+    large, large_path = stored(spark, counts.where(F.col("count") > crowded).select("gram"), "large")
+    any_large = not large.isEmpty()
+    different = contexts.groupBy("gram", "cid").agg(F.count("*").alias("n"), F.any_value("left").alias("left"), F.any_value("context", F.lit(True)).alias("context"))
+    sortable = different.join(large, "gram", "left_anti") if any_large else different
+    marks = sortable.repartition("gram").sortWithinPartitions("gram").mapInPandas(sort_groups, "gram long, cid binary, low int, high int")
+    if any_large:
+        windows = different.join(large, "gram").mapInPandas(window_hashes, "gram long, cid binary, l int, one long, two long, n long")
         key = ["gram", "l", "one", "two"]
         shared = windows.groupBy(*key).agg(F.sum("n").alias("all")).where("all > 1").drop("all")
         hot = windows.join(shared, key).groupBy("gram", "cid").agg(F.min("l").alias("low"), F.max("l").alias("high"))
         marks = marks.unionByName(hot)
     marks, _ = stored(spark, marks, "marks")
-    placed = contexts.select("doc_id", "h", "pos", "gram", "cid").join(marks, ["gram", "cid"])
-    spans = placed.groupBy("doc_id", "h").agg(F.collect_list(F.struct((F.col("pos") - F.col("high")).alias("s"), (F.col("pos") + LENGTH - F.col("low")).alias("e"))).alias("x"))
-    spans, _ = stored(spark, spans.select("doc_id", "h", F.col("x.s").alias("starts"), F.col("x.e").alias("ends")), "spans")
-    drop(spark, found_path, contexts_path, different_path, large_path)
-    whole = rows.join(copies.select(*same, F.lit(True).alias("copied")), same, "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
-    ready = whole.join(spans, ["doc_id", "h"], "left").select("doc_id", "text", "copied", "starts", "ends")
+    placed = contexts.select("key", "h", "pos", "gram", "cid").join(marks, ["gram", "cid"])
+    spans = placed.groupBy("key", "h").agg(F.collect_list(F.struct((F.col("pos") - F.col("high")).alias("s"), (F.col("pos") + LENGTH - F.col("low")).alias("e"))).alias("x"))
+    spans = spans.select("key", "h", F.col("x.s").alias("starts"), F.col("x.e").alias("ends"))
+    copied = rows.select("key", *same).join(copies, same, "left_semi").select("key", "h").distinct().withColumn("copied", F.lit(True))
+    marked, _ = stored(spark, spans.join(copied, ["key", "h"], "full"), "marked")
+    drop(spark, found_path, contexts_path, large_path, copies_path)
+    ready = rows.join(marked, ["key", "h"], "left").select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "starts", "ends")
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
     return ready.mapInPandas(remove, schema)
 
