@@ -1,11 +1,14 @@
 """Exact repeats of at least LENGTH bytes by a hash-compared suffix sort.
 
 Only places that can repeat are sorted. In every window of LENGTH bytes the gram with the
-smallest hash is its anchor, so equal windows share an anchor at the same place; grams
-that are anchors once only are dropped. Texts that equal another one whole are found by
-their digest and stand aside, but for one of them.
-
-Around each remaining anchor a context is kept: all bytes of the windows that can have it.
+smallest hash is its anchor, so equal windows share an anchor at the same place. A window
+holds all of a string that reaches HALF bytes left of its anchor or, if it begins nearer,
+one that reaches as far right; anchors where neither string occurs twice are dropped.
+Texts that equal another one whole are found by their digest and stand aside, but for one
+of them.
+
+Around each remaining anchor a context is kept: the bytes of the windows that have it, so
+every window of a text is in one context.
 Contexts of one gram are sorted as suffixes from the anchor to the right, and as reversed
 prefixes to the left, by mergesort; a comparison finds the common extension of two
 suffixes by binary search over prefix polynomial hashes, so it takes logarithmically many
@@ -33,11 +36,14 @@ from .common import bounded_batches, drop, stored, table
 
 LENGTH, GRAM = 400, 64
 SPAN = LENGTH - GRAM + 1
+HALF = SPAN // 2
 CROWDED = 8192
 #: Longest piece of a text whose anchors are found at once; pieces overlap by LENGTH - 1.
 PIECE = 1 << 19
 #: Contexts that a task remembers as sent, 16 bytes each.
 SEEN = 500_000
+#: Columns of an anchor.
+ANCHOR = {"pos": "int64", "low": "int16", "high": "int16", "gram": "int64", "left": "int64", "right": "int64"}
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MASK = (1 << 64) - 1
 
@@ -75,32 +81,43 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of all windows of a text."""
-    places, keys = [], []
-    for at in range(0, max(len(raw) - LENGTH + 1, 0), PIECE):
-        piece = np.frombuffer(raw, dtype=np.uint8, count=min(PIECE + LENGTH - 1, len(raw) - at), offset=at)
-        sums = prefixes(piece)
-        n = len(piece) - GRAM + 1
-        grams = mixed((sums[GRAM:] - sums[:-GRAM]) * POWERS.down[:n])
-        low = np.uint64((1 << 20) - 1)
-        # The smallest hash of a window and, of equal ones, the leftmost.
-        ranked = (grams & ~low) | np.arange(n, dtype=np.uint64)
-        rows = -(-n // SPAN)
-        padded = np.full(rows * SPAN, MASK, dtype=np.uint64)
-        padded[:n] = ranked
-        blocks = padded.reshape(rows, SPAN)
-        ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-        behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        windows = n - SPAN + 1
-        least = np.minimum(behind[:windows], ahead[SPAN - 1 : SPAN - 1 + windows])
-        found = (least[np.concatenate([[True], least[1:] != least[:-1]])] & low).astype(np.int64)
-        places.append(found + at)
-        keys.append(grams[found].view(np.int64))
-    if not places:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    places, first = np.unique(np.concatenate(places), return_index=True)
-    return places, np.concatenate(keys)[first]
+def anchors(raw: bytes) -> dict[str, np.ndarray]:
+    """Places of the anchors of all windows of a text: `pos`, the least and most bytes (`low`, `high`) that their
+    windows hold left of them, the hash of the `gram`, and hashes of the strings that reach left and right; 0: none."""
+    found = [anchors_of_piece(raw, at) for at in range(0, max(len(raw) - LENGTH + 1, 0), PIECE)]
+    return {name: np.concatenate([x[name] for x in found]) if found else np.zeros(0, dtype=np.int64) for name in ANCHOR}
+
+
+def anchors_of_piece(raw: bytes, at: int) -> dict[str, np.ndarray]:
+    piece = np.frombuffer(raw, dtype=np.uint8, count=min(PIECE + LENGTH - 1, len(raw) - at), offset=at)
+    sums = prefixes(piece)
+    n = len(piece) - GRAM + 1
+    grams = mixed((sums[GRAM:] - sums[:-GRAM]) * POWERS.down[:n])
+    bits = np.uint64((1 << 20) - 1)
+    # The smallest hash of a window and, of equal ones, the leftmost.
+    ranked = (grams & ~bits) | np.arange(n, dtype=np.uint64)
+    rows = -(-n // SPAN)
+    padded = np.full(rows * SPAN, MASK, dtype=np.uint64)
+    padded[:n] = ranked
+    blocks = padded.reshape(rows, SPAN)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    windows = n - SPAN + 1
+    least = np.minimum(behind[:windows], ahead[SPAN - 1 : SPAN - 1 + windows])
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    last = np.concatenate([first[1:], [windows]]) - 1
+    place = (least[first] & bits).astype(np.int64)
+    low, high = place - last, place - first
+
+    def hashes(begin: np.ndarray, end: np.ndarray, there: np.ndarray, side: int) -> np.ndarray:
+        out = np.zeros(len(place), dtype=np.int64)
+        b, e = begin[there], end[there]
+        out[there] = (mixed((sums[e] - sums[b]) * POWERS.down[b] + np.uint64(side)) | np.uint64(1)).view(np.int64)
+        return out
+
+    left = hashes(place - HALF, place + GRAM, high >= HALF, 1)
+    right = hashes(place, place + LENGTH - HALF + 1, low < HALF, 2)
+    return {"pos": place + at, "low": low, "high": high, "gram": grams[place].view(np.int64), "left": left, "right": right}
 
 
 def utf8(text: str | None) -> bytes:
@@ -110,11 +127,11 @@ def utf8(text: str | None) -> bytes:
 def find_anchors(batches):
     for batch in batches:
         found = [anchors(utf8(t)) for t in batch["text"]]
-        at = np.repeat(np.arange(len(batch)), [len(p) for p, _ in found])
+        at = np.repeat(np.arange(len(batch)), [len(x["pos"]) for x in found])
         out = batch[["key", "h"]].iloc[at].reset_index(drop=True)
-        out["pos"] = np.concatenate([p for p, _ in found]) if found else []
-        out["gram"] = np.concatenate([k for _, k in found]) if found else []
-        yield out.astype({"pos": "int64", "gram": "int64"})
+        for name, kind in ANCHOR.items():
+            out[name] = np.concatenate([x[name] for x in found]).astype(kind) if found else np.zeros(0, dtype=kind)
+        yield out
 
 
 def cut_contexts(batches):
@@ -124,13 +141,12 @@ def cut_contexts(batches):
         rows = []
         if len(seen) > SEEN:
             seen.clear()
-        for doc, h, text, places, grams in zip(batch["key"], batch["h"], batch["text"], batch["places"], batch["grams"]):
+        for doc, h, text, *marks in zip(*(batch[x] for x in ("key", "h", "text", "places", "lows", "highs", "grams"))):
             raw = utf8(text)
-            for pos, gram in zip(places.tolist(), grams.tolist()):
-                left = min(pos, SPAN - 1)
-                context = raw[pos - left : pos + LENGTH]
-                cid = hashlib.blake2b(b"%d:" % left + context, digest_size=16).digest()
-                rows.append((doc, h, pos, gram, cid, left, None if cid in seen else context))
+            for pos, low, high, gram in zip(*(x.tolist() for x in marks)):
+                context = raw[pos - high : pos - low + LENGTH]
+                cid = hashlib.blake2b(b"%d:" % high + context, digest_size=16).digest()
+                rows.append((doc, h, pos, gram, cid, high, None if cid in seen else context))
                 seen.add(cid)
         out = pd.DataFrame(rows, columns=["key", "h", "pos", "gram", "cid", "left", "context"])
         yield out.astype({"h": "int64", "pos": "int64", "gram": "int64", "left": "int32"})
@@ -302,11 +318,13 @@ def repeats(spark: SparkSession, docs: DataFrame, crowded: int = CROWDED) -> Dat
     same = ["h", "size"]
     copies, copies_path = stored(spark, rows.groupBy(*same).agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")
     # Of equal texts the first stands for all; what says so are keys, never texts.
-    found, found_path = stored(spark, rows.mapInPandas(find_anchors, "key string, h long, pos long, gram long"), "anchors")
-    found = found.join(copies.select("h", "first"), "h", "left").where("first is null or key = first").drop("first").distinct()
-    several = found.groupBy("gram").count().where("count > 1").select("gram")
-    listed = found.join(several, "gram").groupBy("key", "h").agg(F.collect_list(F.struct("pos", "gram")).alias("a"))
-    listed = listed.select("key", "h", F.col("a.pos").alias("places"), F.col("a.gram").alias("grams"))
+    schema = "key string, h long, pos long, low short, high short, gram long, left long, right long"
+    found, found_path = stored(spark, rows.mapInPandas(find_anchors, schema), "anchors")
+    found = found.join(copies.select("h", "first"), "h", "left").where("first is null or key = first")
+    sides = found.select("key", "h", F.struct("pos", "low", "high", "gram").alias("a"), F.explode(F.array("left", "right")).alias("side")).where("side <> 0")
+    several = sides.groupBy("side").count().where("count > 1").select("side")
+    listed = sides.join(several, "side").groupBy("key", "h").agg(F.collect_set("a").alias("a"))
+    listed = listed.select("key", "h", F.col("a.pos").alias("places"), F.col("a.low").alias("lows"), F.col("a.high").alias("highs"), F.col("a.gram").alias("grams"))
     texts = rows.select("key", "h", "text").join(listed, ["key", "h"]).dropDuplicates(["key", "h"])
     schema = "key string, h long, pos long, gram long, cid binary, left int, context binary"
     contexts, contexts_path = stored(spark, texts.mapInPandas(cut_contexts, schema), "contexts")

@@ -249,10 +249,14 @@ def test_repeats_equal_brute_force():
             texts.append(text)
         texts += ["a" * 900, "ab" * 600, texts[0]] if trial % 4 == 0 else []
         groups = {}
-        for d, raw in enumerate(t.encode() for t in texts):
-            for pos, gram in zip(*(x.tolist() for x in repeats.anchors(raw))):
-                left = min(pos, repeats.SPAN - 1)
-                groups.setdefault(gram, {}).setdefault((left, raw[pos - left : pos + repeats.LENGTH]), []).append((d, pos))
+        found = [[dict(zip(x, row)) for row in zip(*(v.tolist() for v in x.values()))] for x in (repeats.anchors(t.encode()) for t in texts)]
+        sides = Counter(x[side] for places in found for x in places for side in ("left", "right") if x[side])
+        for d, (raw, places) in enumerate(zip((t.encode() for t in texts), found)):
+            assert sum(x["high"] - x["low"] + 1 for x in places) == max(0, len(raw) - 399)
+            for x in places:
+                if sides[x["left"]] > 1 or sides[x["right"]] > 1:
+                    context = raw[x["pos"] - x["high"] : x["pos"] - x["low"] + repeats.LENGTH]
+                    groups.setdefault(x["gram"], {}).setdefault((x["high"], context), []).append((d, x["pos"]))
         cover = [[] for _ in texts]
         for held in groups.values():
             keys = list(held)
