@@ -322,7 +322,8 @@ def repeats(spark: SparkSession, docs: DataFrame, crowded: int = CROWDED) -> Dat
     found, found_path = stored(spark, rows.mapInPandas(find_anchors, schema), "anchors")
     found = found.join(copies.select("h", "first"), "h", "left").where("first is null or key = first")
     sides = found.select("key", "h", F.struct("pos", "low", "high", "gram").alias("a"), F.explode(F.array("left", "right")).alias("side")).where("side <> 0")
-    several = sides.groupBy("side").count().where("count > 1").select("side")
+    # As a table, the counted strings join in a way that Spark can split where one string is very frequent.
+    several, several_path = stored(spark, sides.groupBy("side").count().where("count > 1").select("side"), "several")
     listed = sides.join(several, "side").groupBy("key", "h").agg(F.collect_set("a").alias("a"))
     listed = listed.select("key", "h", F.col("a.pos").alias("places"), F.col("a.low").alias("lows"), F.col("a.high").alias("highs"), F.col("a.gram").alias("grams"))
     texts = rows.select("key", "h", "text").join(listed, ["key", "h"]).dropDuplicates(["key", "h"])
@@ -346,7 +347,7 @@ def repeats(spark: SparkSession, docs: DataFrame, crowded: int = CROWDED) -> Dat
     spans = spans.select("key", "h", F.col("x.s").alias("starts"), F.col("x.e").alias("ends"))
     copied = rows.select("key", *same).join(copies, same, "left_semi").select("key", "h").distinct().withColumn("copied", F.lit(True))
     marked, _ = stored(spark, spans.join(copied, ["key", "h"], "full"), "marked")
-    drop(spark, found_path, contexts_path, large_path, copies_path)
+    drop(spark, found_path, several_path, contexts_path, large_path, copies_path)
     ready = rows.join(marked, ["key", "h"], "left").select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "starts", "ends")
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
     return ready.mapInPandas(remove, schema)
