@@ -8,7 +8,7 @@ from segmentry.llm.common import stored, table
 from segmentry.llm.decontaminate import without_benchmark
 from segmentry.llm.mixing import mixed
 from segmentry.llm.quality import keep_good
-from segmentry.llm.simhash import keep_one
+from segmentry.llm.shingles import keep_one
 from segmentry.llm.tokens import token_files
 
 STAGES = [

@@ -133,9 +133,3 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, heavy: int = HEAVY) ->
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark, table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the smallest id of each component stays."""
-    found = near_duplicates(spark, docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
