@@ -8,8 +8,9 @@ at 0.8 two fingerprints differ in about 10 of 64 bits.
 
 Texts of equal shingle sets are one class first. Candidates are compared in two rounds. In
 the first, the members of a key meet its smallest member only. In the second, all pairs of a
-key meet that the first has not connected, so no pair that could join two components is left
-out, and one large group of near copies does not grow with the square of its size.
+key meet that the first has not connected, so no candidate that could join two components
+is left out. The second round grows with the square of a crowded key whose members the first
+leaves apart.
 """
 
 from __future__ import annotations
@@ -114,7 +115,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, words: int = WORDS, simila
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the smallest id of each component stays."""
+    """Pipeline stage: one row of each component stays, that of the smallest (doc_id, text hash, row hash, row key).
+
+    A row without a doc_id comes after those with one, and stays if its component has no
+    other. Rows that share a doc_id but link with nothing all stay. Null and empty texts are
+    one component.
+    """
     found = near_copies(spark, docs)
-    first = found.groupBy("label").agg(F.min("doc.doc_id").alias("first"))
-    return found.join(first, "label").where("doc.doc_id = first").select("doc.*").dropDuplicates(["doc_id"])
+    doc = lambda c: F.col(f"doc.{c}")
+    order = F.struct(doc("doc_id").isNull(), doc("doc_id"), F.xxhash64(doc("text")), F.xxhash64("doc"), "key")
+    winners = found.groupBy("label").agg(F.min_by("key", order).alias("key")).select("key")
+    return found.join(winners, "key", "left_semi").select("doc.*")

@@ -43,3 +43,12 @@ def test_unlike_texts_stay(spark):
     b = [w if i % 4 else f"x{i}" for i, w in enumerate(a)]
     docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")
     assert shingles.keep_one(spark, docs, "").count() == 2
+
+
+def test_rows_without_or_with_shared_ids_stay(spark):
+    one, two, three = (" ".join(f"{p}{i}" for i in range(40)) for p in "abc")
+    rows = [(None, one), (None, two), (7, two), (7, three), (8, three), (9, "alone"), (9, "another"), (None, one)]
+    want = sorted([(None, one), (7, two), (7, three), (9, "alone"), (9, "another")], key=str)
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert sorted(map(tuple, shingles.keep_one(spark, docs, "").collect()), key=str) == want
