@@ -1,4 +1,8 @@
-"""Helpers that the training-data operators share: tables, shared scratch tables, graph components."""
+"""Helpers that the training-data operators share: tables, shared scratch tables, graph components.
+
+Batches for Python workers are bounded in bytes by Spark itself
+(spark.sql.execution.arrow.maxBytesPerBatch), so no operator changes a session's settings.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +12,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Python workers get at most so many rows a batch, which bounds their memory for long texts.
-BATCH_ROWS = 400
-
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Words of the size, shingle and mixing contracts.
@@ -22,11 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, so that batches of very long texts fit a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def shared_root(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset, a temporary one in local mode only."""
     context = spark.sparkContext

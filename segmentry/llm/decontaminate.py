@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, table
+from .common import table
 
 WINDOW = 10
 #: Most words of items that one automaton holds (it has at most twice as many states).
@@ -187,7 +187,6 @@ def with_hits(spark: SparkSession, docs: DataFrame, items: DataFrame, window: in
     reported. Rows are kept as they are, one by one, without a shuffle; a column `hits`
     that docs already has is replaced.
     """
-    bounded_batches(spark)
     kind = dict(items.dtypes)["item_id"]
     schema = f"n_words long, starts array<int>, ends array<int>, item_ids array<{kind}>"
     docs = docs.withColumn("hits", F.lit(None).cast(f"struct<n_words:long,starts:array<int>,ends:array<int>,item_ids:array<{kind}>>"))

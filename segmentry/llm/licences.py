@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, table
+from .common import table
 
 LEAST_DICE = 0.8
 WORD_RE = re.compile(r"[a-z0-9]+")
@@ -138,7 +138,6 @@ def scan(spark: SparkSession, docs: DataFrame, texts: dict[str, str] | None = No
     Null and empty texts have none; of equal candidates the earlier, longer and first by
     name wins; rows are kept one by one; a column licences that docs has is replaced.
     """
-    bounded_batches(spark)
     scanner = Scanner.of(texts or TEMPLATES, least)
 
     def licences(batch: pd.Series) -> pd.Series:

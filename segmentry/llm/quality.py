@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, stored, table
+from .common import stored, table
 
 FEATURES = (
     "words",
@@ -147,7 +147,6 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
     documents teach nothing. Null and empty texts are scored by the features of a text
     without words. Repeated rows are scored each and, if labelled, learned each.
     """
-    bounded_batches(spark)
     described, _ = stored(spark, docs.select("doc_id", features("text").alias("x")), "features")
     taught = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("y in (0, 1)").where(bucket() != 0)
     model = fit(described.join(taught, "doc_id").select("x", "y"))
@@ -161,7 +160,6 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go. All columns stay as they are."""
-    bounded_batches(spark)
     labels = table(spark, sf_dir, "labels")
     taught = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("y in (0, 1)").where(bucket() != 0)
     teaching = docs.select("doc_id", features("text").alias("x")).join(taught, "doc_id")

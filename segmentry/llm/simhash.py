@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, components, drop, stored, table
+from .common import components, drop, stored, table
 
 SEGMENTS, BITS, WORDS, LIMIT, SEED = 2, 64, 3, 3, 42
 #: Fingerprints in one index entry up to which pairs are cheaper than deletion keys.
@@ -41,6 +41,11 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
         hashes = np.array([digest(join(tokens), seed)], dtype="<u8")
     else:
         hashes = np.array([digest(join(s), seed) for s in zip(*(tokens[i:] for i in range(words)))], dtype="<u8")
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes, as a signed integer."""
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]
@@ -119,7 +124,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, heavy: int = HEAVY) ->
     other. Rows that repeat a doc_id are kept, each with its own fingerprint; a component's
     id is the smallest doc_id in it, null only if all are null. An empty table gives no rows.
     """
-    bounded_batches(spark)
     prints, _ = stored(spark, docs.select("doc_id", simhash("text").alias("fp")), "simhash")
     distinct, path = stored(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     found = components(spark, links(spark, distinct.select("fp"), heavy))

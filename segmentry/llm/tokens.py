@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, scratch, table
+from .common import scratch, table
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -146,7 +146,6 @@ def write_tokens(spark: SparkSession, docs: DataFrame, uri: str, path: str | Non
     Null and empty texts are the end id alone. Documents that share an id keep a row each,
     ordered by text. An empty table leaves a manifest without documents.
     """
-    bounded_batches(spark)
     path = path or public_tokenizer()
     fs, root = folder(uri)
     fs.create_dir(root, recursive=True)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, stored, table
+from .common import components, stored, table
 
 LIMIT = 0.95
 PREFIX, SHARED = 8, 2
@@ -109,7 +109,6 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, limit: float = LIMI
     nothing, as do vectors of different lengths with each other. Copies link with each
     other; rows that repeat an id count as vectors. An empty table gives no rows.
     """
-    bounded_batches(spark, 4096)
     rows = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("embedding"))
     good = usable(rows)
     classes, _ = stored(spark, good.groupBy(F.col("embedding").alias("v")).agg(F.min("vec_id").alias("first"), F.count("*").alias("n")), "classes")
