@@ -141,6 +141,11 @@ def kmers(s: Column, k: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(s, i, F.lit(k)))).otherwise(F.expr("cast(array() as array<string>)"))
 
 
+def known_kmers(s: Column, k: int) -> Column:
+    """The words of k letters that hold no other letter than A, C, G and T: an overlapping match at each place."""
+    return F.regexp_extract_all(s, F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
+
+
 def reverse_complement(s: Column) -> Column:
     return F.reverse(F.translate(s, "ACGT", "TGCA"))
 

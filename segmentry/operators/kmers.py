@@ -17,24 +17,19 @@ def vocabulary(spark: SparkSession, k: int) -> DataFrame:
 def frequencies(rows: DataFrame, key: list[str], text: str, k: int) -> DataFrame:
     """(key, kmer, n, freq): known words over the words counted. A row without any gives none.
 
-    Words are counted where the row is, inside its array, so nothing is shuffled.
+    Words are counted where the row is, so nothing is shuffled: its sorted words are joined,
+    and a run of one word is one match of a pattern that refers back to its first word.
     """
-    words = F.filter(S.kmers(F.upper(F.col(text)), k), lambda w: ~w.rlike("[^ACGT]"))
-    held = rows.select(*key, words.alias("__words"))
-    each = held.select(*key, F.size("__words").alias("__total"), F.explode(F.array_distinct("__words")).alias("kmer"), "__words")
-    n = F.size(F.filter("__words", lambda w: w == F.col("kmer"))).cast("long")
-    return each.select(*key, "kmer", n.alias("n"), (n / F.col("__total")).alias("freq"))
-
-
-def counted(rows: DataFrame, key: list[str], text: str, k: int) -> DataFrame:
-    """As `frequencies`, for many words a row: they are counted by partial aggregation."""
-    words = F.filter(S.kmers(F.upper(F.col(text)), k), lambda w: ~w.rlike("[^ACGT]"))
-    long_ = rows.select(*key, words.alias("__words")).select(*key, F.size("__words").alias("__total"), F.explode("__words").alias("kmer"))
-    counts = long_.groupBy(*key, "kmer").agg(F.count("*").alias("n"), F.max("__total").alias("__total"))
-    return counts.select(*key, "kmer", "n", (F.col("n") / F.col("__total")).alias("freq"))
+    held = rows.select(*key, F.sort_array(S.known_kmers(F.upper(F.col(text)), k)).alias("__words"))
+    runs = F.regexp_extract_all(F.concat(F.array_join("__words", ","), F.lit(",")), F.lit(f"([ACGT]{{{k}}}),(?:\\1,)*"), F.lit(0))
+    held = held.select(*key, F.size("__words").alias("__total"), runs.alias("__runs"))
+    # An outer explode, as Spark would else infer a filter that computes the words once more.
+    each = held.select(*key, "__total", F.explode_outer("__runs").alias("__run")).where("__run is not null")
+    n = (F.length("__run") / (k + 1)).cast("long")
+    return each.select(*key, F.left("__run", F.lit(k)).alias("kmer"), n.alias("n"), (n / F.col("__total")).alias("freq"))
 
 
 def positional(rows: DataFrame, key: list[str], text: str, k: int, n_bins: int) -> DataFrame:
     """Frequencies in each of n_bins slices; words do not cross slices."""
-    slices = rows.select(*key, F.posexplode(S.windows(F.col(text), n_bins)).alias("slice", "__slice"))
-    return counted(slices, [*key, "slice"], "__slice", k)
+    slices = rows.select(*key, F.posexplode_outer(S.windows(F.col(text), n_bins)).alias("slice", "__slice")).where("__slice is not null")
+    return frequencies(slices, [*key, "slice"], "__slice", k)

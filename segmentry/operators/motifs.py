@@ -13,44 +13,51 @@ WIDTH = 19
 
 def one_hot(texts, length: int) -> np.ndarray:
     """(n, length, 4); unknown letters and padding are a quarter each."""
-    out = np.full((len(texts), length, 4), 0.25)
-    for i, t in enumerate(texts):
-        raw = np.frombuffer(t[:length].encode("ascii", "replace"), dtype=np.uint8)
-        for c, b in enumerate(b"ACGT"):
-            hit = np.flatnonzero(raw == b)
-            out[i, hit] = 0.0
-            out[i, hit, c] = 1.0
-    return out
+    shares = np.full((256, 4), 0.25)
+    shares[list(b"ACGT")] = np.eye(4)
+    raw = b"".join(t[:length].encode("ascii", "replace").ljust(length, b"N") for t in texts)
+    return shares[np.frombuffer(raw, dtype=np.uint8).reshape(len(texts), length)]
 
 
 def responses(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """(n, filters, length): rectified responses, the window centred, zero beyond the ends. weights (filters, width, 4)."""
     n, length, _ = x.shape
-    width = weights.shape[1]
+    f, width, _ = weights.shape
     padded = np.zeros((n, length + width - 1, 4))
     padded[:, width // 2 : width // 2 + length] = x
-    out = sum(padded[:, o : o + length] @ weights[:, o].T for o in range(width))
-    return np.maximum(out, 0.0).transpose(0, 2, 1)
+    windows = np.lib.stride_tricks.sliding_window_view(padded.reshape(n, -1), 4 * width, axis=1)[:, ::4]
+    out = windows.reshape(n * length, 4 * width) @ weights.reshape(f, 4 * width).T
+    return np.maximum(out, 0.0).reshape(n, length, f).transpose(0, 2, 1)
+
+
+#: Rows whose responses a task holds at once.
+ROWS = 256
 
 
 def top_windows(rows: DataFrame, weights: np.ndarray, k: int, length: int = 200) -> DataFrame:
     """(f, rank, seq_key, label, pos, score, window): the k largest responses of each filter over all rows.
 
-    Each batch sends its own k best a filter, so what is ranked at last is small.
+    Each task sends its own k best a filter, so what is ranked at last is small.
     """
 
     def best(batches):
+        held: list[pd.DataFrame] = [pd.DataFrame(columns=["seq_key", "label", "pos", "score", "seq"]) for _ in weights]
         for batch in batches:
-            batch = batch[batch["seq"].notna()].reset_index(drop=True)
-            if not len(batch):
-                continue
-            scores = np.round(responses(one_hot(list(batch["seq"]), length), weights), 9)
-            found = []
-            for f in range(len(weights)):
-                flat = scores[:, f, :].ravel()
-                order = np.lexsort((np.tile(np.arange(length), len(batch)), np.repeat(batch["seq_key"].to_numpy(), length), -flat))[:k]
-                found += [(f, int(batch["seq_key"][i // length]), int(batch["label"][i // length]), int(i % length), float(flat[i]), batch["seq"][i // length]) for i in order]
-            yield pd.DataFrame(found, columns=["f", "seq_key", "label", "pos", "score", "seq"])
+            batch = batch[batch["seq"].notna()]
+            for at in range(0, len(batch), ROWS):
+                part = batch.iloc[at : at + ROWS]
+                scores = np.round(responses(one_hot(list(part["seq"]), length), weights), 9)
+                for f in range(len(weights)):
+                    flat = np.ascontiguousarray(scores[:, f, :]).ravel()
+                    least = np.partition(flat, -k)[-k] if len(flat) > k else -np.inf
+                    least = max(least, held[f]["score"].iloc[-1]) if len(held[f]) == k else least
+                    place = np.flatnonzero(flat >= least)
+                    new = part.iloc[place // length].assign(pos=place % length, score=flat[place])
+                    both = new if held[f].empty else pd.concat([held[f], new])
+                    held[f] = both.sort_values(["score", "seq_key", "pos"], ascending=[False, True, True]).head(k)
+        for f, found in enumerate(held):
+            if len(found):
+                yield found.assign(f=f)[["f", "seq_key", "label", "pos", "score", "seq"]]
 
     found = rows.select("seq_key", "label", "seq").mapInPandas(best, "f int, seq_key long, label int, pos int, score double, seq string")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("f").orderBy(F.col("score").desc(), "seq_key", "pos"))).where(F.col("rank") <= k)
@@ -96,24 +103,26 @@ def mutations(rows: DataFrame, weights: np.ndarray, length: int = 200) -> DataFr
 
     Only the windows that hold the place change, so only those are scored again.
     """
-    width = weights.shape[1]
+    filters, width, _ = weights.shape
+    half = width // 2
+    # Response p = pos + half - o holds the place pos at offset o.
+    offs = np.arange(width)
+    at = np.arange(length)[:, None] + half - offs[None, :]
+    inside = (at >= 0) & (at < length)
 
     def scan(batches):
         for batch in batches:
             for key, label, text in zip(batch["seq_key"], batch["label"], batch["seq"]):
-                x = one_hot([text], length)
+                x = one_hot([text], length)[0]
                 padded = np.zeros((length + width - 1, 4))
-                padded[width // 2 : width // 2 + length] = x[0]
-                raw = np.stack([sum(padded[p + o] @ weights[:, o].T for o in range(width)) for p in range(length)])
-                rows_ = []
-                for pos in range(length):
-                    lo, hi = max(0, pos - width + 1 + width // 2), min(length, pos + width // 2 + 1)
-                    offs = pos + width // 2 - np.arange(lo, hi)
-                    held = x[0, pos] @ weights[:, offs].transpose(0, 2, 1)
-                    for c, b in enumerate("ACGT"):
-                        change = weights[:, offs, c] - held
-                        new = np.maximum(raw[lo:hi].T + change, 0).sum() - np.maximum(raw[lo:hi], 0).sum()
-                        rows_.append((key, label, pos, b, float(new)))
-                yield pd.DataFrame(rows_, columns=["seq_key", "label", "pos", "base", "delta"])
+                padded[half : half + length] = x
+                windows = np.lib.stride_tricks.sliding_window_view(padded.ravel(), 4 * width)[::4]
+                raw = windows @ weights.reshape(filters, 4 * width).T
+                old = raw[np.clip(at, 0, length - 1)]
+                change = weights.transpose(1, 0, 2)[None] - np.einsum("pc,foc->pof", x, weights)[..., None]
+                new = np.maximum(old[..., None] + change, 0) - np.maximum(old, 0)[..., None]
+                delta = np.where(inside[:, :, None, None], new, 0).sum(axis=(1, 2))
+                out = {"seq_key": key, "label": label, "pos": np.repeat(np.arange(length), 4), "base": list("ACGT") * length, "delta": delta.ravel()}
+                yield pd.DataFrame(out)
 
     return rows.select("seq_key", "label", "seq").mapInPandas(scan, "seq_key long, label int, pos int, base string, delta double")

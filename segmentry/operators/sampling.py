@@ -32,8 +32,11 @@ def first_in_order(rows: DataFrame, group: list[str], order: str, k: int) -> Dat
 def capped(rows: DataFrame, cap: int, sources: int, key: str, seed: int = SEED) -> DataFrame:
     """Rows (eid, state_int, split): of train, max(1, cap // sources) for each source and state; all others stay."""
     each = max(1, cap // max(sources, 1))
+    train = F.col("split") == "train"
     rank = F.row_number().over(W.partitionBy("split", "eid", "state_int").orderBy(draw(key, seed), key))
-    return rows.withColumn("__rank", rank).where((F.col("split") != "train") | (F.col("__rank") <= each)).drop("__rank")
+    # Only train is ranked, by itself, so each task keeps its first rows of a group before the shuffle.
+    kept = rows.where(train).withColumn("__rank", rank).where(F.col("__rank") <= each).drop("__rank")
+    return kept.unionByName(rows.where(~train | F.col("split").isNull()))
 
 
 def capped_with_fill(rows: DataFrame, cap: int, sources: int, key: str, seed: int = SEED) -> DataFrame:

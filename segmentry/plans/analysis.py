@@ -10,12 +10,15 @@ from pyspark.sql import types as T
 
 from ..fixtures import ctes, frame
 from ..functions import arrays as A
+from ..functions import sequence as S
 from ..operators import classes as C
 from ..operators import evaluation as E
+from ..operators.sampling import per_group
+from ..schema import SEED
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-N_CLASSES, ALPHAS = 12, (-2.0, -1.0, 0.0, 1.0, 2.0)
+N_CLASSES, ALPHAS, PAIRS = 12, (-2.0, -1.0, 0.0, 1.0, 2.0), 10
 
 STEPS = {
     "v": "select row_key, class_id, pos, cast(v as double) as v from values_long",
@@ -28,13 +31,17 @@ STEPS = {
     "pred_rc": "select row_key, class_id, arg_max(k, (logit, -k)) as pred from prob_rc group by all",
     "conf": "select class_id, pred, count(*) as n, count(*)/sum(count(*)) over (partition by class_id) as share from pred group by class_id, pred",
     "rel": "select cast(greatest(ceil(conf*15),1) as int) as bin, count(*) as n, avg(case when pred=class_id then 1.0 else 0.0 end) as accuracy, avg(conf) as confidence from pred group by all",
-    "pairs": "select * from (select least(class_id,pred) as a, greatest(class_id,pred) as b, sum(share)/2 as score from conf where class_id<>pred group by all) order by round(score,9) desc, a, b limit 5",
+    "pairs": "select * from (select least(class_id,pred) as a, greatest(class_id,pred) as b, sum(share)/2 as score from conf where class_id<>pred group by all) order by round(score,9) desc, a, b limit 10",
     "swept": f"select l.row_key, l.class_id, t.target, a.alpha, l.k, l.logit+a.alpha*s.shift as logit from logits l, (select distinct class_id as target from head) t, (select unnest({list(ALPHAS)}) as alpha) a, (select d.class_id as target, h.class_id as k, 10*sum(d.d*h.w) as shift from dirs d join head h using(pos) group by all) s where s.target=t.target and s.k=l.k",
     "sweep": "select target, alpha, row_key, class_id, arg_max(k,(round(logit,9),-k)) as pred from swept group by all",
     "sweep_rows": "select target, alpha, avg(case when pred=class_id then 1.0 else 0.0 end) as accuracy, avg(case when class_id=target then case when pred=target then 1.0 else 0.0 end end) as target_accuracy, avg(case when pred=target then 1.0 else 0.0 end) as share_target from sweep group by all",
+    "emb": "select 'raw' as method, row_key, class_id, pos, v from v union all select 'pooled', row_key, class_id, pos//4, avg(v) from v group by row_key, class_id, pos//4 union all select 'logits', row_key, class_id, k, logit from logits",
+    "sil": """select method, row_key, class_id, coalesce((b-a)/greatest(a,b),0) as s from (select method, row_key, class_id, max(case when class_id=other then x end) as a, min(case when class_id<>other then x end) as b from (
+  select method, row_key, class_id, other, avg(x) as x from (select a.method, a.row_key, a.class_id, b.class_id as other, b.row_key as k, sqrt(sum((a.v-b.v)*(a.v-b.v))) as x from emb a join emb b on a.method=b.method and a.pos=b.pos and a.row_key<>b.row_key group by all) group by all) group by all)""",
+    "ec": "select method, class_id, pos, avg(v) as m from emb group by all",
     "enc": "select * from (select row_key, class_id, f, x, row_number() over (partition by row_key order by round(x,9) desc, f) as rk from (select row_key, class_id, d.f, sum(v*d.w) as x from v join dictionary d using(pos) group by all)) where rk<=16 and x>0",
 }
-DEEP = {"v": (), "cent": ("v",), "centre": ("v",), "dirs": ("v", "cent", "centre"), "prob": (), "prob_rc": (), "pred": ("prob",), "pred_rc": ("prob_rc",), "conf": ("prob", "pred"), "rel": ("prob", "pred"), "pairs": ("prob", "pred", "conf"), "swept": ("v", "cent", "centre", "dirs"), "sweep": ("v", "cent", "centre", "dirs", "swept"), "sweep_rows": ("v", "cent", "centre", "dirs", "swept", "sweep"), "enc": ("v",)}
+DEEP = {"v": (), "cent": ("v",), "centre": ("v",), "dirs": ("v", "cent", "centre"), "prob": (), "prob_rc": (), "pred": ("prob",), "pred_rc": ("prob_rc",), "conf": ("prob", "pred"), "rel": ("prob", "pred"), "pairs": ("prob", "pred", "conf"), "swept": ("v", "cent", "centre", "dirs"), "sweep": ("v", "cent", "centre", "dirs", "swept"), "sweep_rows": ("v", "cent", "centre", "dirs", "swept", "sweep"), "enc": ("v",), "emb": ("v",), "sil": ("v", "emb"), "ec": ("v", "emb")}
 
 
 def query(name: str, body: str | None, steps=(), views=("values_long", "head", "logits", "logits_rc", "dictionary")):
@@ -98,8 +105,8 @@ def family_distances(spark, sf):
     return d.groupBy("within").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.median("x"), 6).alias("middle"))
 
 
-PER = 20
-SAMPLE = f"select * from (select row_key, class_id, row_number() over (partition by class_id order by row_key) as rk from (select distinct row_key, class_id from v)) where rk<={PER}"
+PER = 5000
+SAMPLE = f"select * from (select row_key, class_id, row_number() over (partition by class_id order by md5('{SEED}|'||row_key), row_key) as rk from (select distinct row_key, class_id from v)) where rk<={PER}"
 SIL = f"""select row_key, class_id, coalesce((b-a)/greatest(a,b),0) as s from (select row_key, class_id, max(case when class_id=other then x end) as a, min(case when class_id<>other then x end) as b from (
   select row_key, class_id, other, avg(x) as x from (select p.row_key, p.class_id, q.class_id as other, q.row_key as k, sqrt(sum((a.v-b.v)*(a.v-b.v))) as x from ({SAMPLE}) p join v a on a.row_key=p.row_key join ({SAMPLE}) q on p.row_key<>q.row_key
   join v b on b.row_key=q.row_key and b.pos=a.pos group by all) group by all) group by all)"""
@@ -107,8 +114,8 @@ SIL = f"""select row_key, class_id, coalesce((b-a)/greatest(a,b),0) as s from (s
 
 @query("silhouette_by_class", f"select class_id, count(*) as n, round(avg(s),6) as mean, row_number() over (order by round(avg(s),9) desc, class_id)<=3 as among_best, row_number() over (order by round(avg(s),9), class_id)<=3 as among_worst from ({SIL}) group by class_id", ("v",))
 def silhouette_by_class(spark, sf):
-    """Exact over the first rows of each class; the number of rows a class is the bound of the pairs."""
-    rows = acts(spark, sf).withColumn("rk", F.row_number().over(W.partitionBy("class_id").orderBy("row_key"))).where(F.col("rk") <= PER)
+    """Exact over a seeded sample of PER rows of each class, as many as the score is defined on."""
+    rows = per_group(acts(spark, sf), ["class_id"], "row_key", PER)
     s = C.silhouettes(rows).groupBy("class_id").agg(F.count("*").alias("n"), F.avg("s").alias("mean"))
     rank = lambda *o: F.row_number().over(W.orderBy(*o)) <= 3
     return s.select("class_id", "n", F.round("mean", 6).alias("mean"), rank(F.round("mean", 9).desc(), "class_id").alias("among_best"), rank(F.round("mean", 9), "class_id").alias("among_worst"))
@@ -135,7 +142,7 @@ def confusion(spark, sf):
 
 @query("confused_pairs", "select a, b, round(score,6) as score from pairs", ("pairs",))
 def confused_pairs(spark, sf):
-    return rounded(E.confused_pairs(pred(spark, sf), 5), "score")
+    return rounded(E.confused_pairs(pred(spark, sf), PAIRS), "score")
 
 
 @query("accuracy_by_class", f"""select c.class_id, coalesce(n,0) as n, round(coalesce(acc,0),6) as accuracy, round((select avg(case when pred=class_id then 1.0 else 0.0 end) from pred),6) as overall,
@@ -158,7 +165,7 @@ def correct_rows(spark, sf):
 @query("confused_rows", "select p.row_key, a, b from pred p join pairs on p.class_id=a and p.pred=b", ("pred", "pairs"))
 def confused_rows(spark, sf):
     p = pred(spark, sf)
-    return p.join(F.broadcast(E.confused_pairs(p, 5).select("a", "b")), (F.col("class_id") == F.col("a")) & (F.col("pred") == F.col("b"))).select("row_key", "a", "b")
+    return p.join(F.broadcast(E.confused_pairs(p, PAIRS).select("a", "b")), (F.col("class_id") == F.col("a")) & (F.col("pred") == F.col("b"))).select("row_key", "a", "b")
 
 
 @query("calibration_error", "select round(sum(n*abs(accuracy-confidence))/sum(n),6) as ece from rel", ("rel",))
@@ -232,7 +239,7 @@ from pairs p join pred r on r.class_id=p.a and r.pred=p.b join logits l on l.row
 join (select x.class_id as a, y.class_id as b, h.class_id as k, 10*sum((x.d-y.d)*h.w) as shift from dirs x join dirs y on x.pos=y.pos join head h on h.pos=x.pos group by all) s on s.a=p.a and s.b=p.b and s.k=l.k group by all) group by a,b,alpha""", ("pairs", "dirs"))
 def contrastive_recovery(spark, sf):
     p = pred(spark, sf)
-    rows = p.join(F.broadcast(E.confused_pairs(p, 5).select("a", "b")), (F.col("class_id") == F.col("a")) & (F.col("pred") == F.col("b"))).select("row_key", "a", "b")
+    rows = p.join(F.broadcast(E.confused_pairs(p, PAIRS).select("a", "b")), (F.col("class_id") == F.col("a")) & (F.col("pred") == F.col("b"))).select("row_key", "a", "b")
     s = shifts(spark, sf)
     z = logits(spark, sf).join(rows, "row_key").join(F.broadcast(s.select(F.col("target").alias("a"), "k", F.col("shift").alias("sa"))), ["a", "k"]).join(F.broadcast(s.select(F.col("target").alias("b"), "k", F.col("shift").alias("sb"))), ["b", "k"])
     z = z.withColumn("alpha", F.explode(F.array(*map(F.lit, ALPHAS)))).withColumn("logit", F.round(F.col("logit") + F.col("alpha") * (F.col("sa") - F.col("sb")), 9))
@@ -240,7 +247,7 @@ def contrastive_recovery(spark, sf):
     return best.groupBy("a", "b", "alpha").agg(F.count("*").alias("n"), F.round(F.avg((F.col("pred") == F.col("a")).cast("double")), 6).alias("recovered"))
 
 
-PATCH_N = 5
+PATCH_N, LEAST_ROWS = 200, 3
 PATCH = f"""select p.a, p.b, x.row_key as row_a, y.row_key as row_b from pairs p join (select *, row_number() over (partition by class_id order by md5('1|'||row_key), row_key) as rk from pred where pred=class_id) x on x.class_id=p.a
 join (select *, row_number() over (partition by class_id order by md5('2|'||row_key), row_key) as rk from pred where pred=class_id) y on y.class_id=p.b and y.rk=x.rk where x.rk<={PATCH_N}"""
 
@@ -249,12 +256,7 @@ join (select *, row_number() over (partition by class_id order by md5('2|'||row_
   select t.a, t.b, la.logit as ca, lb.logit as cb, lp.logit as pa from ({PATCH}) t join logits la on la.row_key=t.row_a and la.k=t.a join logits lb on lb.row_key=t.row_b and lb.k=t.a join logits_rc lp on lp.row_key=t.row_a and lp.k=t.a) group by a,b""", ("pairs",))
 def patch_recovery(spark, sf):
     """Three recorded logit tables joined: clean rows of a and of b, and the patched run of a (here the reversed strand)."""
-    p = pred(spark, sf)
-    right = p.where("pred = class_id").select("row_key", "class_id")
-    rank = lambda seed: F.row_number().over(W.partitionBy("class_id").orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("row_key").cast("string"))), "row_key"))
-    a = right.select(F.col("class_id").alias("a"), F.col("row_key").alias("row_a"), rank(1).alias("rk")).where(F.col("rk") <= PATCH_N)
-    b = right.select(F.col("class_id").alias("b"), F.col("row_key").alias("row_b"), rank(2).alias("rk")).where(F.col("rk") <= PATCH_N)
-    t = F.broadcast(E.confused_pairs(p, 5).select("a", "b")).join(a, "a").join(b, ["b", "rk"])
+    t = patched_rows(spark, sf)
     z = logits(spark, sf)
     of = lambda src, row, name: src.select(F.col("row_key").alias(row), F.col("k").alias("a"), F.col("logit").alias(name))
     j = t.join(of(z, "row_a", "ca"), ["row_a", "a"]).join(of(z, "row_b", "cb"), ["row_b", "a"]).join(of(logits(spark, sf, "logits_rc"), "row_a", "pa"), ["row_a", "a"])
@@ -263,6 +265,76 @@ def patch_recovery(spark, sf):
     return rounded(out, "mean_drop", "recovery", "baseline_gap")
 
 
+def patched_rows(spark, sf):
+    """(a, b, row_a, row_b): rows predicted right of both classes of the confused pairs, matched by seeded order."""
+    p = pred(spark, sf)
+    right = p.where("pred = class_id").select("row_key", "class_id")
+    rank = lambda seed: F.row_number().over(W.partitionBy("class_id").orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("row_key").cast("string"))), "row_key"))
+    a = right.select(F.col("class_id").alias("a"), F.col("row_key").alias("row_a"), rank(1).alias("rk")).where(F.col("rk") <= PATCH_N)
+    b = right.select(F.col("class_id").alias("b"), F.col("row_key").alias("row_b"), rank(2).alias("rk")).where(F.col("rk") <= PATCH_N)
+    return F.broadcast(E.confused_pairs(p, PAIRS).select("a", "b")).join(a, "a").join(b, ["b", "rk"])
+
+
+@query("patch_by_hook", f"""select hook, count(*) as class_pairs, round(avg(r),6) as mean_recovery, round(median(r),6) as median_recovery from (
+  select a, b, hook, round(sum(d)/nullif(any_value(gap),0),9) as r from (select t.a, t.b, x.pos//16 as hook, sum((x.v-y.v)*h.w) as d, any_value(t.n) as n from (select *, count(*) over (partition by a, b) as n from ({PATCH})) t join v x on x.row_key=t.row_a join v y on y.row_key=t.row_b and y.pos=x.pos join head h on h.class_id=t.a and h.pos=x.pos group by t.a, t.b, hook)
+  join (select t.a as ga, t.b as gb, sum((x.v-y.v)*h.w) as gap from ({PATCH}) t join v x on x.row_key=t.row_a join v y on y.row_key=t.row_b and y.pos=x.pos join head h on h.class_id=t.a and h.pos=x.pos group by t.a, t.b) on a=ga and b=gb where n>={LEAST_ROWS} group by a, b, hook) group by hook""", ("pairs", "v"))
+def patch_by_hook(spark, sf):
+    """A hook is a part of the vector: a row's part is replaced by the other row's, and the head's loss is its recovery.
+
+    Class pairs with fewer than LEAST_ROWS matched rows are skipped.
+    """
+    t = patched_rows(spark, sf)
+    enough = t.groupBy("a", "b").count().where(F.col("count") >= LEAST_ROWS).select("a", "b")
+    t = t.join(F.broadcast(enough), ["a", "b"])
+    v = acts(spark, sf).select("row_key", "h")
+    met = t.join(v.toDF("row_a", "x"), "row_a").join(v.toDF("row_b", "y"), "row_b")
+    each = met.select("a", "b", F.posexplode(F.zip_with("x", "y", lambda x, y: x.cast("double") - y.cast("double"))).alias("pos", "d"))
+    sums = each.groupBy("a", "b", "pos").agg(F.sum("d").alias("d"))
+    parts = sums.join(F.broadcast(frame(spark, sf, "head").withColumnRenamed("class_id", "a")), ["a", "pos"]).groupBy("a", "b", F.floor(F.col("pos") / 16).alias("hook")).agg(F.sum(F.col("d") * F.col("w")).alias("d"))
+    r = F.round(F.try_divide("d", F.sum("d").over(W.partitionBy("a", "b"))), 9)
+    return parts.withColumn("r", r).groupBy("hook").agg(F.count("*").alias("class_pairs"), F.round(F.avg("r"), 6).alias("mean_recovery"), F.round(F.median("r"), 6).alias("median_recovery"))
+
+
+@query("alpha_monotonicity", "select target, count(*) as steps, count(*) filter (share_target>=before-1e-12) as rising, round(avg(case when share_target>=before-1e-12 then 1.0 else 0.0 end),6) as share from (select target, share_target, lag(share_target) over (partition by target order by alpha) as before from sweep_rows) where before is not null group by target", ("sweep_rows",))
+def alpha_monotonicity(spark, sf):
+    """Share of steps in strength over which the share of rows predicted as the target does not fall."""
+    before = F.lag("share_target").over(W.partitionBy("target").orderBy("alpha"))
+    steps = sweep_rows(spark, sf).withColumn("before", before).where("before is not null").withColumn("up", F.col("share_target") >= F.col("before") - 1e-12)
+    return steps.groupBy("target").agg(F.count("*").alias("steps"), F.count_if("up").alias("rising"), F.round(F.avg(F.col("up").cast("double")), 6).alias("share"))
+
+
+COARSE_SQL = "case when n like 'Tss%' or n like 'ReprPC%' then 'p' when n like 'Enh%' then 'e' when n like 'Tx%' then 't' else 'o' end"
+
+
+@query("confusion_family_share", f"select round(sum(case when fa=fb then w else 0 end)/nullif(sum(w),0),6) as share, sum(w) as mistakes from (select class_id, pred, n as w from conf where class_id<>pred) join (select state_int-1 as ka, {COARSE_SQL} as fa from (select state_int, substr(state_name, strpos(state_name,'_')+1) as n from states)) on ka=class_id join (select state_int-1 as kb, {COARSE_SQL} as fb from (select state_int, substr(state_name, strpos(state_name,'_')+1) as n from states)) on kb=pred", ("conf",), ("values_long", "head", "logits", "states"))
+def confusion_family_share(spark, sf):
+    """Of the classifier's mistakes, the share whose two states are of one coarse family."""
+    states = frame(spark, sf, "states").select((F.col("state_int") - 1).alias("k"), S.state_family(F.substring_index("state_name", "_", -1)).alias("family"))
+    wrong = E.confusion(pred(spark, sf)).where("class_id <> pred")
+    met = wrong.join(F.broadcast(states.toDF("class_id", "fa")), "class_id").join(F.broadcast(states.toDF("pred", "fb")), "pred")
+    same = F.sum(F.when(F.col("fa") == F.col("fb"), F.col("n")).otherwise(0))
+    return met.agg(F.round(F.try_divide(same, F.sum("n")), 6).alias("share"), F.sum("n").alias("mistakes"))
+
+
+@query("embedding_report", """select method, round(silhouette,6) as silhouette, round(nearest,6) as nearest_centroids, round(spread,6) as spread, row_number() over (order by round(silhouette,9) desc, method) as place from (select method, avg(s) as silhouette from sil group by method)
+join (select method, min(x) as nearest from (select a.method, a.class_id as ka, b.class_id as kb, sqrt(sum((a.m-b.m)*(a.m-b.m))) as x from ec a join ec b on a.method=b.method and a.pos=b.pos and a.class_id<b.class_id group by all) group by method) using(method)
+join (select method, avg(x) as spread from (select e.method, e.row_key, sqrt(sum((e.v-m)*(e.v-m))) as x from emb e join ec using(method, class_id, pos) group by all) group by method) using(method)""", ("emb", "sil", "ec"))
+def embedding_report(spark, sf):
+    """Each embedding's silhouette, nearest centroids and spread, and its rank by silhouette; over a seeded sample a class."""
+    a = per_group(acts(spark, sf), ["class_id"], "row_key", PER).select("row_key", "class_id", F.transform("h", lambda x: x.cast("double")).alias("h"))
+    pooled = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.aggregate(F.slice("h", i * 4 + 1, 4), F.lit(0.0), lambda s, x: s + x) / 4)
+    z = E.vectors(logits(spark, sf)).select("row_key", "class_id", F.col("z").alias("h")).join(a.select("row_key"), "row_key", "left_semi")
+    out = None
+    for method, rows in (("raw", a), ("pooled", a.withColumn("h", pooled)), ("logits", z)):
+        mean = C.silhouettes(rows).agg(F.avg("s").alias("silhouette"))
+        near = C.distances(rows).agg(F.min("x").alias("nearest_centroids"))
+        wide = C.spread(rows).agg((F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("spread"))
+        each = mean.crossJoin(near).crossJoin(wide).withColumn("method", F.lit(method))
+        out = each if out is None else out.unionByName(each)
+    out = out.withColumn("place", F.row_number().over(W.orderBy(F.round("silhouette", 9).desc(), "method")))
+    return rounded(out, "silhouette", "nearest_centroids", "spread")
+
+
 @query("layer_projections", "select class_id, part, round(avg(x),6) as projection from (select v.row_key, v.class_id, v.pos//16 as part, sum(v.v*d.d/nullif(u.len,0)) as x from v join dirs d on d.class_id=v.class_id and d.pos=v.pos join (select class_id, sqrt(sum(d*d)) as len from dirs group by 1) u on u.class_id=v.class_id group by all) group by all", ("dirs",))
 def layer_projections(spark, sf):
     """Mean projection of each row's parts (layers) on the unit direction of its true class."""
@@ -323,6 +395,28 @@ def feature_dictionary(spark, sf):
     return rounded(out, "entropy", "specificity")
 
 
+@query("feature_examples", f"""select f, m as rows, examples, family as top_family, round(n/m,6) as family_share, families from (select f, m, string_agg(cast(row_key as varchar), ',' order by place) as examples from ({TOP}) group by f, m)
+join (select f, family, n, count(*) over (partition by f) as families, row_number() over (partition by f order by n desc, family) as rk from (select f, class_id%3 as family, count(*) as n from ({TOP}) group by all)) using(f) where rk=1""", ("enc",))
+def feature_examples(spark, sf):
+    """Ids of each feature's strongest rows in order, and the leading family with its share."""
+    top = encoded(spark, sf).withColumn("place", F.row_number().over(W.partitionBy("f").orderBy(F.round("x", 9).desc(), "row_key"))).where("place <= 20")
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "row_key"))), lambda x: x["row_key"].cast("string")), ",")
+    listed = top.groupBy("f").agg(F.count("*").alias("rows"), ids.alias("examples"))
+    families = top.groupBy("f", (F.col("class_id") % 3).alias("family")).agg(F.count("*").alias("n"))
+    best = families.groupBy("f").agg(F.min_by(F.struct("family", "n"), F.struct(-F.col("n"), "family")).alias("x"), F.count("*").alias("families"))
+    return listed.join(best, "f").select("f", "rows", "examples", F.col("x.family").alias("top_family"), F.round(F.col("x.n") / F.col("rows"), 6).alias("family_share"), "families")
+
+
+@query("dictionary_summary", f"""select count(*) as features, count(*) filter (s is null) as dead, round(count(*) filter (s is null)/count(*),6) as dead_share, round(median(coalesce(s,0)),6) as median_specificity from (select distinct f from dictionary)
+left join (select f, round(1-(0-sum(n/m*log2(n/m)))/log2(10),9) as s from (select f, class_id, m, count(*) as n from ({TOP}) group by f, class_id, m) group by f) using(f)""", ("enc",))
+def dictionary_summary(spark, sf):
+    """Features that never fire, and the median specificity, a dead one's being 0."""
+    d = feature_dictionary(spark, sf).select("f", F.col("specificity").alias("s"))
+    every = frame(spark, sf, "dictionary").select("f").distinct().join(d, "f", "left")
+    dead = F.count_if(F.col("s").isNull())
+    return every.agg(F.count("*").alias("features"), dead.alias("dead"), F.round(dead / F.count("*"), 6).alias("dead_share"), F.round(F.median(F.coalesce("s", F.lit(0.0))), 6).alias("median_specificity"))
+
+
 @query("feature_classes", "select f, class_id, count(*) as n from enc group by all", ("enc",))
 def feature_classes(spark, sf):
     return encoded(spark, sf).groupBy("f", "class_id").agg(F.count("*").alias("n"))

@@ -10,13 +10,12 @@ from ..fixtures import ctes, frame
 from ..functions import sequence as S
 from ..operators import intervals as I
 from ..operators import sampling as P
-from ..schema import BIN, CHROMOSOMES, MINORITY, SEED, TEST, VALIDATION
+from ..schema import BIN, CAP, CHROMOSOMES, MINORITY, SEED, TEST, VALIDATION
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 NAMES = ",".join(f"'{c}'" for c in CHROMOSOMES)
 SPLIT = "case when chrom in ('chr18','chr19') then 'val' when chrom in ('chr20','chr21','chr22') then 'test' else 'train' end"
-QUERY_CAP, QUERY_SOURCES = 400, 20
 
 
 def query(name: str, body: str, views=("states", "segments"), steps=()):
@@ -61,7 +60,7 @@ from kept k left join ref_chunks r on r.chrom=k.chrom and r.chunk=k."start"//100
   when -list_sum(list_transform(['A','C','G','T'], lambda b: case when contains(seq,b) then length(regexp_replace(seq,'[^'||b||']','','g'))/200.0*log2(length(regexp_replace(seq,'[^'||b||']','','g'))/200.0) else 0 end))<=0.5 then 'low_complexity' end as seq_reason
   from fetched)""",
     "clean": "select * from corpus where seq_reason is null",
-    "sampled": f"""select * from (select *, row_number() over (partition by split, eid, state_int order by md5('{SEED}|'||bin_key), bin_key) as rk from clean) where split<>'train' or rk<={max(1, QUERY_CAP // QUERY_SOURCES)}""",
+    "sampled": f"""select * from (select *, row_number() over (partition by split, eid, state_int order by md5('{SEED}|'||bin_key), bin_key) as rk from clean) where split<>'train' or rk<=greatest(1,{CAP}//(select count(distinct eid) from segments))""",
 }
 ALL_VIEWS = ("states", "segments", "chain_blocks", "chrom_sizes", "ref_chunks")
 TO_KEPT = ("norm", "bins", "lift", "onlift", "kept")
@@ -108,8 +107,9 @@ def clean(spark: SparkSession, sf: str) -> DataFrame:
     return corpus(spark, sf).where("seq_reason is null")
 
 
-def sampled(spark: SparkSession, sf: str, cap: int = QUERY_CAP, sources: int = QUERY_SOURCES) -> DataFrame:
-    return P.capped(clean(spark, sf), cap, sources, "bin_key")
+def sampled(spark: SparkSession, sf: str, cap: int = CAP) -> DataFrame:
+    """The cap is shared by the sources of the segments, whose number is read from their one column."""
+    return P.capped(clean(spark, sf), cap, frame(spark, sf, "segments").select("eid").distinct().count(), "bin_key")
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,11 +261,11 @@ def class_weights(spark, sf):
     return counts.withColumn("weight", F.round(F.sum("n").over(W.partitionBy()) / (18 * F.col("n")), 6))
 
 
-@query("capped_with_fill", f"""select bin_key from (select *, row_number() over (partition by state_int order by case when rk>20 then 1 else 0 end, case when rk>20 then n end desc nulls last, eid, rk) as fill from (
-  select *, row_number() over (partition by eid, state_int order by md5('{SEED}|'||bin_key), bin_key) as rk, count(*) over (partition by eid, state_int) as n from (select *, seg_key||'-'||"start" as bin_key from bins))) where fill<=400""", steps=("norm", "bins"))
+@query("capped_with_fill", f"""select bin_key from (select *, row_number() over (partition by state_int order by case when rk>{CAP}//20 then 1 else 0 end, case when rk>{CAP}//20 then n end desc nulls last, eid, rk) as fill from (
+  select *, row_number() over (partition by eid, state_int order by md5('{SEED}|'||bin_key), bin_key) as rk, count(*) over (partition by eid, state_int) as n from (select *, seg_key||'-'||"start" as bin_key from bins))) where fill<={CAP}""", steps=("norm", "bins"))
 def capped_with_fill(spark, sf):
     rows = bins(spark, sf).withColumn("bin_key", F.concat_ws("-", "seg_key", F.col("start").cast("string")))
-    return P.capped_with_fill(rows, 400, 20, "bin_key").select("bin_key")
+    return P.capped_with_fill(rows, CAP, 20, "bin_key").select("bin_key")
 
 
 @query("group_consistency", """select a.grp, a.state_int, a.eid as eid_a, b.eid as eid_b, round(abs(a.g-b.g),6) as gap from (

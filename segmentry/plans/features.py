@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..fixtures import ctes, frame
 from ..functions import sequence as S
 from ..operators import kmers as K
+from ..operators import raw as R
+from ..operators.sampling import overall
 from ..schema import MOTIFS, OVERLAPPING, PAIRS, REPEATS
 
 QUERIES: dict = {}
@@ -102,7 +104,7 @@ def kmer_sql(k: int, rows: str = "sequences", key: str = "seq_key", s: str = "se
 
 @query("kmer_frequencies", kmer_sql(5))
 def kmer_frequencies(spark, sf):
-    return K.counted(frame(spark, sf, "sequences"), ["seq_key"], "seq", 5).withColumn("freq", F.round("freq", 9))
+    return K.frequencies(frame(spark, sf, "sequences"), ["seq_key"], "seq", 5).withColumn("freq", F.round("freq", 9))
 
 
 @query("dinucleotides", kmer_sql(2))
@@ -117,9 +119,9 @@ def positional_kmers(spark, sf):
 
 @query("kmer_class_profile", f"select label, kmer, sum(n) as n, round(sum(n)/sum(sum(n)) over (partition by label),9) as freq from ({kmer_sql(3)}) k join sequences using(seq_key) group by label, kmer")
 def kmer_class_profile(spark, sf):
-    """Words are exploded and counted by class at once: tasks send 18 * 64 partial counts."""
-    words = F.filter(S.kmers(F.col("seq"), 3), lambda w: ~w.rlike("[^ACGT]"))
-    counts = frame(spark, sf, "sequences").select("label", F.explode(words).alias("kmer")).groupBy("label", "kmer").agg(F.count("*").alias("n"))
+    """Words are counted inside rows, then by class: tasks send 18 * 64 partial sums."""
+    each = K.frequencies(frame(spark, sf, "sequences"), ["label"], "seq", 3)
+    counts = each.groupBy("label", "kmer").agg(F.sum("n").alias("n"))
     return counts.withColumn("freq", F.round(F.col("n") / F.sum("n").over(W.partitionBy("label")), 9))
 
 
@@ -145,18 +147,36 @@ def reverse_complements(spark, sf):
     return frame(spark, sf, "sequences").select("seq_key", S.reverse_complement(s).alias("rc"), S.reverse_complement_any(F.lower(s)).alias("rc_lower"))
 
 
-@query("one_hot_long", """select seq_key, cast(i as int) as pos, j as channel, case when substr(w,i+1,1) not in ('A','C','G','T') then 0.25 when substr(w,i+1,1)=substr('ACGT',j+1,1) then 1.0 else 0.0 end as v
-from (select seq_key, i, cast(unnest(range(0,4)) as int) as j, w from (select seq_key, rpad(substr(seq,1,210),210,'N') as w, unnest(range(0,210)) as i from sequences where seq_key%50=3))""")
+@query("one_hot_long", None)
 def one_hot_long(spark, sf):
-    rows = frame(spark, sf, "sequences").where("seq_key % 50 = 3").select("seq_key", F.posexplode(S.one_hot(F.col("seq"), 210)).alias("pos", "x"))
-    return rows.select("seq_key", "pos", F.posexplode("x").alias("channel", "v"))
+    """Every sequence as (pos, channel, v). Held against brute force in the tests; SQL compares its sums below."""
+    rows = frame(spark, sf, "sequences").select("seq_key", F.posexplode_outer(S.one_hot(F.col("seq"), 210)).alias("pos", "x"))
+    return rows.select("seq_key", "pos", F.posexplode_outer("x").alias("channel", "v"))
 
 
-@query("one_hot_reversed", "select seq_key, true as same from sequences where seq_key%50=3")
+def one_hot_sums_sql(s: str, length: int) -> str:
+    share = f"case when substr(w,i,1)=substr('ACGT',j+1,1) then 1.0 when substr(w,i,1) in ('A','C','G','T') then 0.0 else 0.25 end"
+    return f"select seq_key, cast(j as int) as channel, sum(v) as total, sum(v*i) as placed from (select seq_key, i, j, {share} as v from (select seq_key, w, i, unnest(range(0,4)) as j from (select seq_key, w, unnest(range(1,{length}+1)) as i from (select seq_key, rpad(substr({s},1,{length}),{length},'N') as w from sequences)))) group by all"
+
+
+def one_hot_sums(rows):
+    """By row (seq_key, x) and channel the sum of shares and that of shares times places, inside the row."""
+    channel = lambda x, j: F.transform(x, lambda r: r[j])
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    sums = [F.struct(F.lit(j).alias("channel"), total(channel("x", j)).alias("total"), total(F.transform(channel("x", j), lambda v, i: v * (i + 1))).alias("placed")) for j in range(4)]
+    return rows.select("seq_key", F.explode(F.array(*sums)).alias("s")).select("seq_key", "s.*")
+
+
+@query("one_hot_channels", one_hot_sums_sql("seq", 210))
+def one_hot_channels(spark, sf):
+    return one_hot_sums(frame(spark, sf, "sequences").select("seq_key", S.one_hot(F.col("seq"), 210).alias("x")))
+
+
+@query("one_hot_reversed", one_hot_sums_sql("reverse(translate(seq,'ACGT','TGCA'))", 200))
 def one_hot_reversed(spark, sf):
-    s = F.col("seq")
-    twice = S.reverse_complement_one_hot(S.one_hot(s, 200)) == S.one_hot(S.reverse_complement_any(s), 200)
-    return frame(spark, sf, "sequences").where("seq_key % 50 = 3").select("seq_key", twice.alias("same"))
+    """The encoding with rows and channels reversed is that of the reverse complement."""
+    x = S.reverse_complement_one_hot(S.one_hot(F.col("seq"), 200))
+    return one_hot_sums(frame(spark, sf, "sequences").select("seq_key", x.alias("x")))
 
 
 U = lambda *p: "cast('0x'||substr(md5(concat_ws('|'," + ",".join(p) + ")),1,8) as bigint)/4294967296.0"
@@ -172,21 +192,53 @@ def augmented(spark, sf):
     return frame(spark, sf, "sequences").select("seq_key", F.when(flip, "-").otherwise("+").alias("strand"), size.alias("valid_len"), view.alias("view_seq"))
 
 
-@query("state_families", "select state, case when state like 'Tss%' or state like 'ReprPC%' then 'promoter_polycomb' when state like 'Enh%' then 'enhancer' when state like 'Tx%' then 'transcribed' else 'other' end as coarse, count(*) as n from (select distinct state from prototypes) p join sequences s on s.label=length(p.state) group by all", ("prototypes", "sequences"))
+@query("state_families", "select state, case when state like 'Tss%' or state like 'ReprPC%' then 'promoter_polycomb' when state like 'Enh%' then 'enhancer' when state like 'Tx%' then 'transcribed' else 'other' end as coarse, count(*) as n from (select substr(state_name, strpos(state_name,'_')+1) as state from states join sequences on label=state_int) group by all", ("states", "sequences"))
 def state_families(spark, sf):
-    states = frame(spark, sf, "prototypes").select("state").distinct()
-    joined = frame(spark, sf, "sequences").join(F.broadcast(states), F.col("label") == F.length("state"))
-    return joined.groupBy("state", S.state_family(F.col("state")).alias("coarse")).agg(F.count("*").alias("n"))
+    states = frame(spark, sf, "states").select(F.col("state_int").alias("label"), F.substring_index("state_name", "_", -1).alias("state"))
+    joined = frame(spark, sf, "sequences").groupBy("label").agg(F.count("*").alias("n")).join(F.broadcast(states), "label")
+    return joined.select("state", S.state_family(F.col("state")).alias("coarse"), "n")
+
+
+def index_sql(k: int) -> str:
+    return "(" + "+".join(f"(strpos('ACGT',substr(kmer,{i + 1},1))-1)*{4 ** (k - 1 - i)}" for i in range(k)) + ")"
+
+
+GC_PARTS = "(select seq_key, cast(unnest(range(0,10)) as int) as i, seq from sequences)"
+RUN_PARTS = " union all ".join(f"select seq_key, {i} as i, cast(coalesce(list_max(list_transform(regexp_extract_all(seq,'{b}+'), lambda x: length(x))),0) as double) as v from sequences" for i, b in enumerate("ACGT"))
+
+
+@query("raw_vector_blocks", f"""select seq_key, block, count(*) filter (v<>0) as nonzero, round(sum(v),6) as total, round(sum(v*(i+1)),6) as placed from (
+  select seq_key, 0 as block, {index_sql(5)} as i, n/sum(n) over (partition by seq_key) as v from ({kmer_sql(5)})
+  union all select seq_key, 1, slice*256+{index_sql(4)}, n/sum(n) over (partition by seq_key, slice) from ({kmer_sql(4, "(select seq_key, cast(unnest(range(0,10)) as int) as slice, substr(seq,slice*20+1,20) as w from sequences)", "seq_key, slice", "w")})
+  union all select seq_key, 2, i, {n('GC', 'substr(seq,i*20+1,20)')}/20.0 from {GC_PARTS}
+  union all select seq_key, 3, {index_sql(2)}, n/sum(n) over (partition by seq_key) from ({kmer_sql(2)})
+  union all select seq_key, 4, i, v from ({RUN_PARTS})) where v<>0 group by seq_key, block""")
+def raw_vector_blocks(spark, sf):
+    """Of each of the five blocks of the raw vector: entries, their sum, and their sum weighted by place."""
+    each = raw_vectors(spark, sf).select("seq_key", F.explode("x").alias("e")).select("seq_key", "e.*")
+    first = F.array(*map(F.lit, R.STARTS))
+    block = F.size(F.filter(first, lambda s: s <= F.col("i"))) - 1
+    each = each.withColumn("block", block).withColumn("at", F.col("i") - F.get(first, F.col("block")) + 1)
+    return each.groupBy("seq_key", "block").agg(F.count("*").alias("nonzero"), F.round(F.sum("v"), 6).alias("total"), F.round(F.sum(F.col("v") * F.col("at")), 6).alias("placed"))
 
 
 @query("raw_vectors", None)
 def raw_vectors(spark, sf):
-    """One vector a row for Spark ML: GC of ten windows, counts of the 16 two-letter words, longest runs."""
-    from pyspark.ml.functions import array_to_vector
+    """(seq_key, x): the 3 614 numbers of the raw vector, sparse."""
+    return frame(spark, sf, "sequences").select("seq_key", R.sparse(F.col("seq")).alias("x"))
 
-    s = F.col("seq")
-    runs_ = F.array(*(S.longest_run_of(s, b).cast("double") for b in "ACGT"))
-    gc = F.transform(S.windows(s, 10), S.gc_fraction)
-    words = [a + b for a in "ACGT" for b in "ACGT"]
-    pairs = F.array(*(F.regexp_count(s, F.lit(f"(?={p})")).cast("double") for p in words))
-    return frame(spark, sf, "sequences").select("seq_key", array_to_vector(F.concat(gc, pairs, runs_)).alias("v"))
+
+@query("svd_projection", None)
+def svd_projection(spark, sf):
+    """Standardisation and truncated decomposition fitted on a seeded, bounded sample; every row is projected."""
+    rows = raw_vectors(spark, sf)
+    return R.project(rows, R.fit(overall(rows, "seq_key", R.SAMPLE)))
+
+
+@query("word_entropy", f"select label, count(*) as n, round(avg(h),6) as entropy from (select label, seq_key, 0-sum(f*log2(f)) as h from (select seq_key, n/sum(n) over (partition by seq_key) as f from ({kmer_sql(3)})) k join sequences using(seq_key) group by all) group by label")
+def word_entropy(spark, sf):
+    """Mean entropy of the three-letter words of a row by label; summed without bringing a row's words together."""
+    rows = frame(spark, sf, "sequences")
+    each = K.frequencies(rows, ["label"], "seq", 3).groupBy("label").agg(F.sum(-F.col("freq") * F.log2("freq")).alias("h"))
+    held = rows.where(F.size(S.known_kmers(F.upper("seq"), 3)) > 0).groupBy("label").agg(F.count("*").alias("n"))
+    return held.join(each, "label").select("label", "n", F.round(F.col("h") / F.col("n"), 6).alias("entropy"))

@@ -11,7 +11,7 @@ from ..operators.sampling import per_group
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-TOP, PER_CLASS = 50, 3
+TOP, PER_CLASS = 500, 16
 
 
 def filters() -> np.ndarray:
@@ -46,7 +46,7 @@ def motif_hypotheses(spark, sf):
 
 
 def sampled(spark, sf):
-    """A few rows of each class: the scan is 800 mutants a row, and a sample is what it is for."""
+    """A seeded sample of each class: the scan is 800 mutants a row, and a sample is what it is for."""
     fine = frame(spark, sf, "sequences").where("not seq rlike '[^ACGT]'")
     return per_group(fine, ["label"], "seq_key", PER_CLASS)
 
@@ -61,16 +61,18 @@ def mutation_profile(spark, sf):
     return m.groupBy("label", "pos").agg(F.round(F.avg(F.abs("delta")), 6).alias("mean_effect"))
 
 
-def filter_consensus(spark, sf):
-    """Consensus of the filters themselves, weights shifted to shares."""
-    w = frame(spark, sf, "filters").withColumn("v", F.col("w") + 1)
-    total = w.groupBy("f", "off").agg(F.sum("v").alias("t"))
-    pwm = w.join(F.broadcast(total), ["f", "off"]).select("f", "off", "base", F.round(F.col("v") / F.col("t"), 9).alias("p"))
-    return M.consensus(pwm, 0.45)
+def class_consensus(spark, sf):
+    """Consensus of the sequences of each label: counts of letters by place, then as for weight matrices."""
+    letters = frame(spark, sf, "sequences").select(F.col("label").alias("f"), F.posexplode(F.split("seq", "")).alias("off", "base"))
+    counts = letters.where("base in ('A', 'C', 'G', 'T')").groupBy("f", "off", "base").agg(F.count("*").alias("n"))
+    total = counts.groupBy("f", "off").agg(F.sum("n").alias("t"))
+    pwm = counts.join(total, ["f", "off"]).select("f", "off", "base", F.round(F.col("n") / F.col("t"), 9).alias("p"))
+    return M.consensus(pwm, 0.3).withColumnRenamed("f", "label")
 
 
-SQL["filter_consensus"] = ctes(("filters",)) + """select f, string_agg(case when p>=0.45 then base else lower(base) end, '' order by off) as consensus from (
-  select f, off, base, p, row_number() over (partition by f, off order by p desc, base) as rk from (select f, off, base, round((w+1)/sum(w+1) over (partition by f, off),9) as p from filters)) where rk=1 group by f"""
+SQL["class_consensus"] = ctes(("sequences",)) + """select label, string_agg(case when p>=0.3 then base else lower(base) end, '' order by off) as consensus from (
+  select label, off, base, p, row_number() over (partition by label, off order by p desc, base) as rk from (select label, off, base, round(count(*)/sum(count(*)) over (partition by label, off),9) as p from (
+    select label, off, substr(seq, off+1, 1) as base from (select label, seq, unnest(range(0,length(seq))) as off from sequences)) where base in ('A','C','G','T') group by label, off, base)) where rk=1 group by label"""
 
-for _q in (motif_windows, motif_matrices, motif_information, motif_classes, motif_hypotheses, mutation_effects, mutation_profile, filter_consensus):
+for _q in (motif_windows, motif_matrices, motif_information, motif_classes, motif_hypotheses, mutation_effects, mutation_profile, class_consensus):
     QUERIES[_q.__name__] = _q
