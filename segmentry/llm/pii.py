@@ -11,12 +11,10 @@ new spans to identifier-like words in their slot. New spans carry kinds of their
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, stored, table
+from .common import drop, let, stored, table
 
 # The base patterns, spelled so that no repetition backtracks over a long run.
 PATTERNS = {
@@ -48,11 +46,6 @@ def matches(text: Column, pattern: str) -> Column:
     return F.coalesce(let(parts, lambda p: let(pieces(p["gaps"], p["found"]), lambda q: let(chunks(q), placed))), empty)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def pieces(gaps: Column, found: Column) -> Column:
     """(l, m, r) for each match: the gap before it, the match, the gap after it."""
     pairs = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("l"), m.alias("m")))

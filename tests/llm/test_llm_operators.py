@@ -170,27 +170,66 @@ def test_units_are_encoded_as_the_whole(spark):
         assert encoder.encode([text])[0] == encoder.whole(text) + encoder.end
 
 
+def fair_targets(totals, weights=(1, 2, 3), most=3):
+    """Shares by weight, at most `most` times a source; the excess is shared again until none is above."""
+    names = sorted(totals, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    fixed = {}
+    while True:
+        left = sum(totals.values()) - sum(fixed.values())
+        free = [s for s in names if s not in fixed]
+        goal = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if goal[s] > most * totals[s]]
+        if not over:
+            return fixed | goal
+        fixed |= {s: most * totals[s] for s in over}
+
+
 def test_mixing_targets(spark):
     rng = random.Random(9)
-    texts = [(i, " ".join("w" for _ in range(rng.randint(1, 30)))) for i in range(4000)]
+    texts = [(i, " ".join("w" for _ in range(rng.choice([rng.randint(1, 30), rng.randint(1, 900)])))) for i in range(4000)]
     docs = spark.createDataFrame([(i, t, None if i % 2 == 0 else f"s{i % 7}") for i, t in texts], "doc_id long, text string, source string")
     made, sized = mixing.plan(spark, docs, rows_per_block=64)
-    rows = mixing.drawn(sized, made).select("doc_id", "source", "size", "target", "source_size", F.size("units").alias("n")).collect()
-    again = mixing.drawn(*reversed(mixing.plan(spark, docs.repartition(7), rows_per_block=64))).select("doc_id", F.size("units").alias("n")).collect()
-    assert sorted((r["doc_id"], r["n"]) for r in rows) == sorted((r["doc_id"], r["n"]) for r in again)
+    rows = mixing.drawn(sized, made).collect()
+    again = mixing.drawn(*reversed(mixing.plan(spark, docs.repartition(7), rows_per_block=64))).collect()
+    units = lambda rows: sorted((r["doc_id"], sorted((u["copy"], u["shard"]) for u in r["units"])) for r in rows)
+    assert units(rows) == units(again)
     totals, taken, target = Counter(), Counter(), {}
     for r in rows:
         totals[r["source"]] += r["size"]
-        taken[r["source"]] += r["n"] * r["size"]
+        taken[r["source"]] += len(r["units"]) * r["size"]
         target[r["source"]] = r["target"]
-        assert r["n"] <= 3
-    assert sum(target.values()) == pytest.approx(sum(totals.values()))
+        assert len(r["units"]) <= 3
+    want = fair_targets(totals)
     for s in totals:
-        assert target[s] <= 3 * totals[s] + 1e-6 and abs(taken[s] - target[s]) <= 30
-    shards = Counter(u["shard"] for r in mixing.drawn(sized, made).collect() for u in r["units"])
-    assert len(shards) == mixing.SHARDS
+        assert target[s] == pytest.approx(want[s]) and abs(taken[s] - target[s]) <= 0.01 * target[s]
+    shards = Counter(u["shard"] for r in rows for u in r["units"])
+    assert sorted(shards) == list(range(mixing.SHARDS)) and max(shards.values()) < 2 * min(shards.values())
+    # A block of a copy is in one shard only: its documents stay together.
     mixed = mixing.mix(spark, docs, rows_per_block=64)
-    assert mixed.count() == sum(r["n"] for r in mixing.drawn(sized, made).select(F.size("units").alias("n")).collect()) and set(docs.columns) < set(mixed.columns)
+    got = Counter((r["doc_id"], r["shard"]) for r in mixed.collect())
+    assert got == Counter((r["doc_id"], u["shard"]) for r in rows for u in r["units"]) and set(docs.columns) < set(mixed.columns)
+
+
+def test_hypergeometric_draws(spark):
+    from math import comb
+
+    n = 6000
+    for total, good, draws in ((20, 8, 7), (9, 9, 4), (50, 3, 25), (6, 0, 3)):
+        frame = spark.range(n).select(mixing.hypergeometric(F.lit(total), F.lit(good), F.lit(draws), (F.col("id") + 0.5) / n).alias("x"))
+        got = {r["x"]: r["count"] for r in frame.groupBy("x").count().collect()}
+        want = {x: n * comb(good, x) * comb(total - good, draws - x) / comb(total, draws) for x in range(max(0, draws - total + good), min(good, draws) + 1)}
+        assert all(abs(got.get(x, 0) - w) <= 2 for x, w in want.items()) and set(got) <= set(want)
+
+
+def test_tree_keeps_quotas(spark):
+    counts = [1000, 3, 0, 77, 20000]
+    for shards in (1, 2, 7, 8, 13):
+        rows = mixing.split_tree(spark.createDataFrame([(counts,)], "counts array<long>"), shards, 3).collect()
+        assert sorted(r["shard"] for r in rows) == list(range(shards))
+        assert [sum(x) for x in zip(*(r["counts"] for r in rows))] == counts
+        sizes = [sum(r["counts"]) for r in rows]
+        assert max(sizes) - min(sizes) <= 4 and all(c >= 0 for r in rows for c in r["counts"])
 
 
 @pytest.mark.parametrize("size", ["128m", "1k"])
