@@ -3,8 +3,9 @@
 DataFrame functions only. A source's documents are placed by a hash, and equal ranges of
 places are its blocks: a block is a random subset, and the block order a random
 permutation. A source's target gives whole copies of all its blocks and a quota of one
-further copy: the documents before a cut, which a search by digits of the place finds, and
-the one document beyond it whose size is nearest to what is missing.
+further copy: the documents before a cut, which a search by digits of the place finds, but
+for a few exchanges, each of the document whose words bring the quota nearest: one beyond
+the cut is drawn too, or one before it is not.
 
 The units (copy, block) are only numbers: of each source a quota of them. A binary tree
 over the output shards splits the quotas: a node draws how many units of each source its
@@ -34,6 +35,8 @@ ROWS_PER_BLOCK = 1024
 #: Fewest output shards, and rows drawn for which there is a further one.
 SHARDS, ROWS_PER_SHARD = 8, 1 << 18
 SEED = 20260408
+#: Most exchanges at a cut, and the part of a target off which there is none.
+EXCHANGES, NEAR = 8, 0.001
 #: A place is DIGITS digits of BITS bits of a hash.
 DIGITS, BITS = 5, 12
 TOP = 1 << DIGITS * BITS
@@ -162,7 +165,7 @@ def by_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def cuts(spark: SparkSession, sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, cut, fill): documents at places before cut, and those at fill, have nearest to the words `rest`.
+    """(source, cut, swaps): documents before cut, but at the swapped places those on its other side, have about the words `rest`.
 
     Each round looks at one more digit of the places, in sums by source and digit, and goes on
     inside the digit in which the words are reached, until that holds one document a source.
@@ -187,10 +190,23 @@ def cuts(spark: SparkSession, sized: DataFrame, sources: DataFrame) -> DataFrame
             break
     # Words that no digit reaches are those of all documents.
     state = state.withColumn("cut", F.when(F.col("all"), F.lit(TOP)).otherwise(F.col("cut")))
-    off = F.abs(F.col("size") - F.col("missing"))
-    beyond = by_source(sized.select("source", "place", "size"), state).where((F.col("place") >= F.col("cut")) & (off < F.col("missing")))
-    fills = beyond.groupBy("source").agg(F.min_by("place", F.struct(off, "place")).alias("fill"))
-    return state.alias("s").join(fills.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source")), "left").select("s.source", "s.cut", "f.fill")
+    state = state.withColumn("swaps", F.expr("cast(array() as array<bigint>)")).withColumn("open", F.lit(True))
+    near = by_source(state, sources.select("source", (F.col("target") * NEAR).alias("near")))
+    for _ in range(EXCHANGES):
+        gain = F.when(F.col("place") < F.col("cut"), -F.col("size")).otherwise(F.col("size"))
+        off = F.abs(F.col("missing") - gain)
+        every = by_source(sized.select("source", "place", "size"), near.where("open and abs(missing) > near"))
+        better = every.where((off < F.abs("missing")) & ~F.array_contains("swaps", F.col("place")))
+        best = better.groupBy("source").agg(F.min_by(F.struct("place", gain.alias("gain")), F.struct(off, "place")).alias("x"))
+        met = near.alias("s").join(best.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source")), "left")
+        some = F.col("f.x").isNotNull()
+        new = met.select("s.source", (F.col("s.missing") - F.coalesce("f.x.gain", F.lit(0))).alias("missing"), "s.cut", F.when(some, F.concat("s.swaps", F.array("f.x.place"))).otherwise(F.col("s.swaps")).alias("swaps"), some.alias("open"), "s.near")
+        near, new_path = stored(spark, new, "cuts")
+        drop(spark, path)
+        path = new_path
+        if near.where("open").isEmpty():
+            break
+    return near.select("source", "cut", "swaps")
 
 
 @dataclass
@@ -215,7 +231,7 @@ def plan(spark: SparkSession, docs: DataFrame, shards: int | None = None, rows_p
         shards = max(SHARDS, math.ceil((shares or 0) / ROWS_PER_SHARD))
 
     last = block_of(F.col("cut"), F.col("n_blocks"))
-    part = F.when((F.col("cut") > 0) | F.col("fill").isNotNull(), last + 1).otherwise(0)
+    part = F.when((F.col("cut") > 0) | (F.size("swaps") > 0), last + 1).otherwise(0)
     units = by_source(totals, cuts(spark, sized, totals)).withColumn("last", last).withColumn("quota", (F.col("whole") * F.col("n_blocks") + part).cast("long"))
     units, _ = stored(spark, units, "quotas")
     counts = F.transform(F.array_sort(F.collect_list(F.struct("at", "quota"))), lambda x: x["quota"])
@@ -223,7 +239,7 @@ def plan(spark: SparkSession, docs: DataFrame, shards: int | None = None, rows_p
     end = F.sum("n").over(W.partitionBy("at").orderBy("shard"))
     runs = leaves.withColumn("end", end).groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "end"))), lambda x: x["end"]).alias("ends"))
     sources, _ = stored(spark, units.join(runs, "at"), "draws")
-    return Plan(sources.select("source", "source_size", "target", "whole", "n_blocks", "cut", "fill", "last", "quota", "ends"), shards, seed), sized
+    return Plan(sources.select("source", "source_size", "target", "whole", "n_blocks", "cut", "swaps", "last", "quota", "ends"), shards, seed), sized
 
 
 def drawn(rows: DataFrame, made: Plan) -> DataFrame:
@@ -231,9 +247,9 @@ def drawn(rows: DataFrame, made: Plan) -> DataFrame:
     names = rows.columns
     met = by_source(rows, made.sources)
     block = block_of(F.col("place"), F.col("n_blocks"))
-    further = (F.col("place") < F.col("cut")) | F.coalesce(F.col("place") == F.col("fill"), F.lit(False))
+    further = (F.col("place") < F.col("cut")) != F.array_contains("swaps", F.col("place"))
     copies = F.col("whole") + further.cast("int")
-    # Blocks of the last copy end with that of the cut, which also has the document beyond it.
+    # Blocks of the last copy end with that of the cut, which also has the documents beyond it.
     number = lambda c: (c * F.col("n_blocks") + F.when(c < F.col("whole"), block).otherwise(F.least(block, F.col("last")))).cast("long")
     permuted = lambda c: F.pmod(number(c) * STEP + F.lit(made.seed), F.col("quota"))
     shard = lambda c: let(permuted(c), lambda p: F.size(F.filter("ends", lambda e: e <= p)))
