@@ -1,6 +1,7 @@
 """The ten operators against brute force, and on nulls, empties, long texts, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -273,6 +274,42 @@ def test_vectors(spark):
     assert got[906]["n_links"] == 1 and got[906]["component_id"] == 905
 
 
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def crowd(rng, n, spread, width=64):
+    return unit(unit(rng.normal(size=(1, width))) + rng.normal(size=(n, width)) * spread / math.sqrt(width))
+
+
+@pytest.mark.parametrize("case", ["pairs", "dense", "loose", "groups"])
+def test_recall_of_links(spark, case):
+    rng = np.random.default_rng(4)
+    base = unit(rng.normal(size=(3000, 64)))
+    x = {
+        "pairs": lambda: [base, unit(base + rng.normal(size=base.shape) * 0.31 / 8)],
+        "dense": lambda: [base, crowd(rng, 1500, 0.22)],
+        "loose": lambda: [base, crowd(rng, 1500, 0.33)],
+        "groups": lambda: [base, *(crowd(rng, 150, 0.2) for _ in range(15))],
+    }[case]()
+    x = np.concatenate(x)
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(spark, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    links = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert near.sum() > 50 and (links <= near.sum(axis=1)).all()
+    assert links.sum() >= 0.99 * near.sum()
+
+
+def test_vectors_of_many_lengths(spark):
+    rng = np.random.default_rng(6)
+    rows = [(100 * w + k, (v * (k + 1)).tolist()) for w in range(1, 101) for v in [rng.normal(size=w)] for k in range(2)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(spark, frame).collect()}
+    assert all(got[i]["n_links"] == 1 and got[i]["component_id"] == i // 100 * 100 for i, _ in rows)
+    assert vectors.near_duplicates(spark, frame.limit(0)).count() == 0
+
+
 def test_repeats_equal_brute_force():
     rng = random.Random(5)
     for trial in range(12):
