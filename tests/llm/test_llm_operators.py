@@ -392,13 +392,50 @@ def test_classifier_held_out(spark):
 
 
 def test_licence_passages():
-    scanner = licences.Scanner.of(licences.TEMPLATES)
+    scanner = licences.Scanner(licences.TEMPLATES)
     text = "prose about licences\nReleased under the MIT License.\nmore\n" + licences.TEMPLATES["Apache-2.0"].replace("Unless", "\nUnless") + "\nend"
     assert [(p[0], p[3] > 0.95) for p in scanner.passages(text)] == [("MIT-notice", True), ("Apache-2.0", True)]
     for name, template in licences.TEMPLATES.items():
         words = template.split()
-        assert scanner.passages(template)[0][0] == name
-        assert scanner.passages(" ".join(words[: len(words) // 3])) == [] or len(words) < 12
+        for shown in (template, "\n".join(words), "x y " * 500 + template + " z" * 500):
+            (found,) = scanner.passages(shown)
+            assert found[0] == name and found[3] == 1
+            assert re.findall("[a-z0-9]+", shown[found[1] : found[2]].lower()) == re.findall("[a-z0-9]+", template.lower())
+    assert [p[0] for p in scanner.passages("This project is released under the MIT License, see below.")] == ["MIT-notice"]
+    assert scanner.passages(None) == scanner.passages("") == scanner.passages("Permission is hereby granted to read this") == []
+
+
+def test_licences_equal_brute_force():
+    rng = random.Random(11)
+    scanner = licences.Scanner({"one": "a b c d e f a b g", "two": "c d c d h"})
+    for _ in range(300):
+        words = [rng.choice("abcdefgh.") for _ in range(rng.randint(0, 40))]
+        text = " ".join(words)
+        tokens = re.findall("[a-z]", text)
+        grams = list(zip(tokens, tokens[1:]))
+        ids = np.array([scanner.words.get(w.encode(), 0) for w in tokens])
+        for name, t in (("one", "a b c d e f a b g"), ("two", "c d c d h")):
+            want = t.split()
+            want = Counter(zip(want, want[1:]))
+            n = sum(want.values())
+            best = 0.0
+            for i in range(len(grams)):
+                for j in range(i + 1, len(grams) + 1):
+                    best = max(best, 2 * sum((Counter(grams[i:j]) & want).values()) / (j - i + n))
+            found = scanner.templates[name].windows(ids[:-1] * scanner.base + ids[1:] if len(ids) else ids, 0.8)
+            assert (max((x[0] for x in found), default=0.0)) == (pytest.approx(best) if best >= 0.8 else 0.0)
+
+
+def test_licences_in_long_texts_take_little():
+    import time
+
+    scanner = licences.Scanner(licences.TEMPLATES)
+    words = " ".join(licences.TEMPLATES.values()).split()
+    rng = random.Random(2)
+    text = "\n".join(" ".join(rng.choice(words) for _ in range(4)) for _ in range(3000))
+    began = time.time()
+    scanner.passages(text)
+    assert time.time() - began < 1
 
 
 @pytest.mark.parametrize("name", ["op5_warc", "op6_embeddings"])
