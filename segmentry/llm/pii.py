@@ -1,12 +1,19 @@
 """Personal data by bootstrapped contextual extraction. DataFrame functions only.
 
-Seeds are what the base patterns match. Their contexts (the two words before; the word
-before and the word after) are lexical patterns. Patterns and instances form a bipartite
-graph, in which Spark scores in turn: a pattern's confidence for a kind is the mean score
-of its different instances, damped by one; an instance's score is the chance that any of its patterns is
-right, and seeds keep 1. Patterns of high confidence and enough different seeds then give
-new spans to identifier-like words in their slot. New spans carry kinds of their own
-(`ctx_email` and so on), so counts and digests of base spans stay as the contract has them.
+Seeds are what the base patterns match, and long hexadecimal words as seeds of secrets. Their
+contexts (the two words before; the word before and the word after) are lexical patterns.
+Patterns and instances form a bipartite graph, in which Spark scores in turn: a pattern's
+confidence for a kind is the mean score of its different instances, damped by one; an
+instance's score is the chance that any of its supported patterns is right, and seeds keep 1.
+Instances of a high score support patterns as seeds do, so what is found in one round gives
+patterns to the next. Patterns of high confidence and enough support then give new spans to
+what stands in their slot: identifier-like words, groups of digits with spaces, brackets, dots
+or hyphens between them, and addresses with the at sign spelled out. New spans carry kinds of
+their own (`ctx_email` and so on), so counts and digests of base spans stay as the contract
+has them. A secret is reported only where a pattern of high confidence holds it.
+
+Contexts of seeds and of candidates are cut alike, from the text around the span: the last
+LEFT_CHARS characters before it and the first RIGHT_CHARS after it, whole words only.
 """
 
 from __future__ import annotations
@@ -25,9 +32,16 @@ PATTERNS = {
 }
 NEEDED = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 KINDS = tuple(PATTERNS)
+#: Kinds of the spans that contexts add.
+FOUND_KINDS = (*KINDS, "secret")
 BYTE_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: A word that holds a digit or an at sign.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Groups of digits with marks between them, and addresses with the at sign spelled out.
+GROUPS = r"(?<![^\x20\x09-\x0D(\[])[+(\[]?[0-9]{1,6}[)\]]?(?:[\x20./-]{1,2}[(]?[0-9]{1,6}[)]?){1,7}(?![0-9A-Za-z@])"
+SPELLED = r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,64}(?:(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{1,64}){1,4}"
+AT_SPELLED = r"[\[(]at[\])]"
+SECRET = "^[0-9a-f]{32,}$"
 EDGE = "\"'`.,;:!?()[]{}<>|*#$%&=_~"
 LEFT_CHARS, RIGHT_CHARS = 80, 40
 LEAST_SEEDS, LEAST_CONFIDENCE, ROUNDS, DAMPING = 4, 0.75, 3, 1.0
@@ -47,9 +61,12 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def pieces(gaps: Column, found: Column) -> Column:
-    """(l, m, r) for each match: the gap before it, the match, the gap after it."""
+    """(l, m, r) for each match: the gap before it, the match, and what stands after it."""
     pairs = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("l"), m.alias("m")))
-    triples = F.zip_with(pairs, F.slice(gaps, 2, 1 << 30), lambda p, r: F.struct(p["l"].alias("l"), p["m"].alias("m"), r.alias("r")))
+    # After a match come the gap and, where that is short, the next match and the gap after it.
+    short = lambda x: F.coalesce(F.left(x, F.lit(RIGHT_CHARS)), F.lit(""))
+    right = F.transform(F.slice(gaps, 2, 1 << 30), lambda g, i: F.left(F.concat(short(g), short(F.get(found, i + 1)), short(F.get(gaps, i + 2))), F.lit(RIGHT_CHARS)))
+    triples = F.zip_with(pairs, right, lambda p, r: F.struct(p["l"].alias("l"), p["m"].alias("m"), r.alias("r")))
     return F.filter(triples, lambda p: p["m"].isNotNull())
 
 
@@ -68,14 +85,21 @@ def placed(runs: Column) -> Column:
     def step(acc: Column, p: Column) -> Column:
         s = acc["at"] + F.length(p["l"])
         e = s + F.length(p["m"])
-        one = F.struct(s.alias("s"), e.alias("e"), p["m"].alias("m"), F.right(p["l"], F.lit(LEFT_CHARS)).alias("l"), F.left(p["r"], F.lit(RIGHT_CHARS)).alias("r"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        before = F.right(F.concat(acc["tail"], p["l"]), F.lit(LEFT_CHARS))
+        one = F.struct(s.alias("s"), e.alias("e"), p["m"].alias("m"), before.alias("l"), p["r"].alias("r"))
+        return F.struct(e.alias("at"), F.right(F.concat(before, p["m"]), F.lit(LEFT_CHARS)).alias("tail"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    def within(run: Column, base: Column) -> Column:
-        first = F.struct(base.alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+    def within(run: Column, at: Column) -> Column:
+        first = F.struct(at["base"].alias("at"), at["tail"].alias("tail"), F.expr(f"cast(array() as {SPAN})").alias("out"))
         return F.aggregate(run, first, step, lambda acc: acc["out"])
 
-    return F.flatten(F.zip_with(runs, bases, within))
+    def last(i: Column) -> Column:
+        """What stands before a run: the end of the run ahead of it."""
+        ahead = F.try_element_at(F.get(runs, i - 1), F.lit(-1))
+        return F.coalesce(F.right(F.concat(ahead["l"], ahead["m"]), F.lit(LEFT_CHARS)), F.lit(""))
+
+    starts = F.transform(bases, lambda b, i: F.struct(b.alias("base"), last(i).alias("tail")))
+    return F.flatten(F.zip_with(runs, starts, within))
 
 
 def digits(m: Column) -> Column:
@@ -121,7 +145,9 @@ def each(spans: Column, make, kind: str | None) -> Column:
 
 def mention(kind: Column, x: Column) -> Column:
     """A span with its patterns: the two words before it, the word before and the word after."""
-    left, right = words(x["l"]), words(x["r"])
+    # A word that the bound cuts is no word of the context.
+    left = let(words(x["l"]), lambda w: F.when(F.length(x["l"]) >= LEFT_CHARS, F.slice(w, 2, LEFT_CHARS)).otherwise(w))
+    right = let(words(x["r"]), lambda w: F.when(F.length(x["r"]) >= RIGHT_CHARS, F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))).otherwise(w))
     l1, l2, r1 = F.try_element_at(left, F.lit(-1)), F.try_element_at(left, F.lit(-2)), F.get(right, F.lit(0))
     return F.struct(
         kind.alias("kind"),
@@ -133,64 +159,70 @@ def mention(kind: Column, x: Column) -> Column:
 
 
 def trimmed(x: Column) -> Column:
-    """A candidate word without punctuation at its edges."""
-    core = F.btrim(x["m"], F.lit(EDGE))
-    s = x["s"] + F.length(x["m"]) - F.length(F.ltrim(x["m"], F.lit(EDGE)))
+    """A candidate without punctuation at its edges, but for the bracket or sign that a group of digits begins with."""
+    grouped = x["m"].rlike(r"^[(\[][0-9]+[)\]]")
+    begun = F.when(grouped, x["m"]).otherwise(F.ltrim(x["m"], F.lit(EDGE)))
+    core = F.rtrim(begun, F.lit(EDGE))
+    s = x["s"] + F.length(x["m"]) - F.length(begun)
     return F.struct(s.cast("int").alias("s"), (s + F.length(core)).cast("int").alias("e"), core.alias("m"), x["l"].alias("l"), x["r"].alias("r"))
 
 
+def candidates(text: Column) -> Column:
+    """What may be an identifier: it has five digits, an at sign, or one spelled out."""
+    empty = F.expr(f"cast(array() as {SPAN})")
+    plain, spelled = f"{GROUPS}|{CANDIDATE}", f"{SPELLED}|{GROUPS}|{CANDIDATE}"
+    near = F.when(text.rlike(AT_SPELLED), matches(text, spelled)).when(text.rlike("[0-9@]"), matches(text, plain)).otherwise(empty)
+    return F.filter(F.transform(near, trimmed), lambda c: (F.length(digits(c["m"])) >= 5) | F.contains(c["m"], F.lit("@")) | c["m"].rlike(AT_SPELLED))
+
+
 def base(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with a row key, the base spans of each kind, and the mentions of seeds and candidates."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text.alias("text"))
     rows = rows.select("*", *(spans(F.col("text"), k).alias(k) for k in KINDS))
     taken = F.concat(*KINDS)
-    empty = F.expr(f"cast(array() as {SPAN})")
-    near = F.when(F.col("text").rlike("[0-9@]"), F.transform(matches(F.col("text"), CANDIDATE), trimmed)).otherwise(empty)
-    near = F.filter(near, lambda c: (F.length(digits(c["m"])) >= 5) | F.contains(c["m"], F.lit("@")))
-    near = let(taken, lambda held: F.filter(near, lambda c: ~F.exists(held, lambda t: (t["s"] < c["e"]) & (c["s"] < t["e"]))))
+    secret = lambda c: c["m"].rlike(SECRET)
+    near = let(taken, lambda held: F.filter(candidates(F.col("text")), lambda c: secret(c) | ~F.exists(held, lambda t: (t["s"] < c["e"]) & (c["s"] < t["e"]))))
     seeds = [each(F.col(k), mention, k) for k in KINDS]
-    rest = each(near, mention, None)
+    rest = F.transform(near, lambda x: mention(F.when(secret(x), "secret"), x))
     flat = [F.transform(F.col(k), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(k) for k in KINDS]
     return rows.select("doc_id", "row", *flat, F.concat(*seeds, rest).alias("mentions"))
 
 
 def scored(spark: SparkSession, mentions: DataFrame) -> DataFrame:
-    """(pattern, value, kind) of the non-seed instances that patterns of high confidence hold."""
-    edges = mentions.select(F.explode("patterns").alias("pattern"), "value", "kind").distinct()
-    support = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-    strong, strong_path = stored(spark, support.where(F.col("seeds") >= LEAST_SEEDS), "patterns")
-    edges, edges_path = stored(spark, edges.join(strong.select("pattern").distinct(), "pattern", "left_semi"), "edges")
+    """(pattern, kind): patterns of high confidence with enough support."""
+    edges, edges_path = stored(spark, mentions.select(F.explode("patterns").alias("pattern"), "value", "kind").distinct(), "edges")
     different = edges.groupBy("pattern").agg(F.countDistinct("value").alias("instances"))
     seeds = edges.where("kind is not null").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
     others = edges.where("kind is null").select("pattern", "value").distinct()
     scores, path = stored(spark, seeds, "scores")
     for _ in range(ROUNDS):
         held = edges.select("pattern", "value").distinct().join(scores, "value")
-        sums = held.groupBy("pattern", "kind").agg(F.sum("score").alias("sum")).join(different, "pattern").join(strong, ["pattern", "kind"])
-        confident = sums.select("pattern", "kind", (F.col("sum") / (F.col("instances") + DAMPING)).alias("confidence"))
-        found = others.join(confident, "pattern").groupBy("value", "kind")
-        any_right = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-12)))))
-        found = found.agg(any_right.alias("score")).join(seeds.select("value", "kind"), ["value", "kind"], "left_anti")
-        new, new_path = stored(spark, seeds.union(found), "scores")
+        support = F.count_if(F.col("score") >= LEAST_CONFIDENCE)
+        sums = held.groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), support.alias("support")).where(F.col("support") >= LEAST_SEEDS)
+        confident = sums.join(different, "pattern").select("pattern", "kind", (F.col("sum") / (F.col("instances") + DAMPING)).alias("confidence"))
         known, known_path = stored(spark, confident, "confidence")
+        any_right = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-12)))))
+        found = others.join(known, "pattern").groupBy("value", "kind").agg(any_right.alias("score"))
+        new, new_path = stored(spark, seeds.union(found.join(seeds.select("value", "kind"), ["value", "kind"], "left_anti")), "scores")
         drop(spark, path)
         scores, path = new, new_path
-    sure = known.where(F.col("confidence") >= LEAST_CONFIDENCE).select("pattern", "kind")
-    return others.join(sure, "pattern").select("pattern", "value", "kind").distinct()
+    sure, _ = stored(spark, known.where(F.col("confidence") >= LEAST_CONFIDENCE).select("pattern", "kind"), "sure")
+    drop(spark, path, edges_path, known_path)
+    return sure
 
 
 def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with base spans by kind and context spans.
 
     Null and empty texts have no spans; repeated rows are each described; an empty table
-    gives no rows. A word found for several kinds takes the first of them by name.
+    gives no rows. A span found for several kinds takes the first of them by name.
     """
     rows, _ = stored(spark, base(docs), "base")
     mentions = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     sure = scored(spark, mentions)
-    open_ = mentions.where("kind is null").select("row", "s", "e", "value", F.explode("patterns").alias("pattern"))
-    new = open_.join(sure, ["pattern", "value"]).groupBy("row", "s", "e").agg(F.min("kind").alias("kind"))
+    open_ = mentions.where("kind is null or kind = 'secret'").select("row", "s", "e", F.col("kind").alias("own"), F.explode("patterns").alias("pattern"))
+    new = open_.join(sure, "pattern").where("own is null or own = kind").groupBy("row", "s", "e").agg(F.min("kind").alias("kind"))
     new = new.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e"))).alias("context"))
     found = rows.drop("mentions").join(new, "row", "left")
     return found.withColumn("context", F.coalesce("context", F.expr("cast(array() as array<struct<kind:string,s:int,e:int>>)")))
@@ -203,7 +235,7 @@ def place(kind: Column, x: Column) -> Column:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(spark, table(spark, sf_dir, "documents"))
     listed = F.concat(*(each(F.col(k), place, k) for k in KINDS))
-    more = [each(F.expr(f"filter(context, c -> c.kind = '{k}')"), place, f"ctx_{k}") for k in KINDS]
+    more = [each(F.expr(f"filter(context, c -> c.kind = '{k}')"), place, f"ctx_{k}") for k in FOUND_KINDS]
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select(
         "doc_id", *counts, F.sha2(F.array_join(listed, ","), 256).alias("base_sha256"), F.array_join(F.concat(listed, *more), ",").alias("spans"), F.size("context").cast("long").alias("n_context")

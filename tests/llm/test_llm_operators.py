@@ -383,6 +383,34 @@ def test_contexts_find_unseen_identifiers(spark):
     assert {d: [(c["kind"], c["s"], c["e"]) for c in x] for d, x in got.items()} == {100 + k: [("card", 18, 25)] for k in range(3)}
 
 
+def found_in(spark, texts):
+    rows = pii.find(spark, docs_of(spark, texts)).where("size(context) > 0").collect()
+    return {r["doc_id"]: [(c["kind"], dict(texts)[r["doc_id"]][c["s"] : c["e"]]) for c in r["context"]] for r in rows}
+
+
+def test_secrets_and_written_out_identifiers(spark):
+    rng = random.Random(4)
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    hexes = [secret() for _ in range(12)]
+    texts = [(i, f'some prose here token = "{h}" more prose') for i, h in enumerate(hexes[:8])]
+    # In the slot of secrets but of another form; secrets without such a context stay.
+    texts += [(20, 'prose token = "Zx81-99-07431q" prose'), (21, f"prose {hexes[8]} prose"), (22, f"a checksum {hexes[9]} follows")]
+    texts += [(30 + k, f"please call me at +1 (743) 555-{2000 + k} any time") for k in range(6)]
+    texts += [(40, "please call me at (743) 555-3824 any time"), (41, "in a table 1200 3400 5600 7800 of numbers")]
+    texts += [(50 + k, f"you can write to jane{k}@mail.example.com today") for k in range(6)] + [(60, "you can write to jane (at) mail dot com today")]
+    got = found_in(spark, texts)
+    assert got == {i: [("secret", h)] for i, h in enumerate(hexes[:8])} | {20: [("secret", "Zx81-99-07431q")], 40: [("phone", "(743) 555-3824")], 60: [("email", "jane (at) mail dot com")]}
+
+
+def test_found_identifiers_give_patterns(spark):
+    texts = [(i, f"mail me at user{i}@a.example.com now") for i in range(12)]
+    ids = [f"id-7700{k}-x" for k in range(5)]
+    # Found beside seeds, then the only support of a second pattern, which finds one more.
+    texts += [(100 + k, f"mail me at {v} now") for k, v in enumerate(ids[:4])] + [(200 + k, f"his handle was {v} then") for k, v in enumerate(ids)]
+    got = found_in(spark, texts)
+    assert got == {**{100 + k: [("email", v)] for k, v in enumerate(ids[:4])}, **{200 + k: [("email", v)] for k, v in enumerate(ids)}}
+
+
 def test_classifier_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, told = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
