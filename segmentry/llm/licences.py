@@ -118,8 +118,8 @@ class Template:
         self.counts = Counter(codes)
         self.size = len(codes)
 
-    def windows(self, codes: np.ndarray, least: float) -> list[tuple[float, int, int, int]]:
-        """(dice, shared, first, last bigram) of the best windows over `codes`, none overlapping.
+    def windows(self, at: np.ndarray, codes: np.ndarray, least: float) -> list[tuple[float, int, int, int]]:
+        """(dice, shared, first, last bigram) of the best windows, none overlapping, by the places `at` of its bigrams.
 
         A window that reaches the coefficient has between t / (2 - t) and (2 - t) / t times
         the template's bigrams and shares at least the former number. It begins and ends with
@@ -129,7 +129,8 @@ class Template:
         """
         ratio = (2 - least) / least
         need, most = self.size / ratio, int(self.size * ratio)
-        at = np.flatnonzero(np.isin(codes, list(self.counts)))
+        if len(at) < need:
+            return []
         ahead = np.searchsorted(at, at + most) - np.arange(len(at))
         starts = np.flatnonzero(ahead >= need)
         if not len(starts):
@@ -137,7 +138,7 @@ class Template:
         # Where the window must begin after for a bigram to count still: that many of it lie before.
         seen: dict[int, list[int]] = {}
         before = np.full(len(at), -1)
-        for k, code in enumerate(codes[at].tolist()):
+        for k, code in enumerate(codes.tolist()):
             held, n = seen.setdefault(code, []), self.counts[code]
             if len(held) >= n:
                 before[k] = held[-n]
@@ -177,15 +178,27 @@ class Scanner:
         coded = {k: [self.words.setdefault(w, len(self.words) + 1) for w in words_of(v)] for k, v in texts.items()}
         self.base = len(self.words) + 1
         self.templates = {k: Template([x * self.base + y for x, y in zip(c, c[1:])]) for k, c in coded.items() if len(c) > 1}
+        self.known = np.array(sorted(set().union(*(t.counts for t in self.templates.values()))), dtype=np.int64)
+        order = {c: i for i, c in enumerate(self.known.tolist())}
+        for t in self.templates.values():
+            t.counts = Counter({order[c]: n for c, n in t.counts.items()})
+        self.member = {k: np.array([i in t.counts for i in range(len(self.known))]) for k, t in self.templates.items()}
+
+    def places(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the bigrams that some template has, and their numbers among all such."""
+        number = self.words.get
+        ids = np.fromiter((number(w, 0) for w in words), dtype=np.int64, count=len(words))
+        # A pair with an unknown word is no template's.
+        pairs = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        codes = ids[pairs] * self.base + ids[pairs + 1] if len(pairs) else pairs
+        found = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
+        sure = self.known[found] == codes if len(pairs) else np.zeros(0, dtype=bool)
+        return pairs[sure], found[sure]
 
     def passages(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(licence, start, end, dice) of the best passages, none overlapping, in order. A null text has none."""
-        ids = np.array([self.words.get(w, 0) for w in words_of(text or "")], dtype=np.int64)
-        # A pair with an unknown word is no template's.
-        codes = np.where((ids[:-1] > 0) & (ids[1:] > 0), ids[:-1] * self.base + ids[1:], 0)
-        if not codes.any():
-            return []
-        found = [(*x, name) for name, t in self.templates.items() for x in t.windows(codes, self.least)]
+        at, codes = self.places(words_of(text or ""))
+        found = [(*x, name) for name, t in self.templates.items() for x in t.windows(at[self.member[name][codes]], codes[self.member[name][codes]], self.least)] if len(at) else []
         best = apart(found, lambda x: (-x[1], -x[0], x[2], x[4]))
         if not best:
             return []

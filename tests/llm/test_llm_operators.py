@@ -441,7 +441,7 @@ def test_licences_equal_brute_force():
         text = " ".join(words)
         tokens = re.findall("[a-z]", text)
         grams = list(zip(tokens, tokens[1:]))
-        ids = np.array([scanner.words.get(w.encode(), 0) for w in tokens])
+        at, codes = scanner.places([w.encode() for w in tokens])
         for name, t in (("one", "a b c d e f a b g"), ("two", "c d c d h")):
             want = t.split()
             want = Counter(zip(want, want[1:]))
@@ -450,7 +450,8 @@ def test_licences_equal_brute_force():
             for i in range(len(grams)):
                 for j in range(i + 1, len(grams) + 1):
                     best = max(best, 2 * sum((Counter(grams[i:j]) & want).values()) / (j - i + n))
-            found = scanner.templates[name].windows(ids[:-1] * scanner.base + ids[1:] if len(ids) else ids, 0.8)
+            mine = scanner.member[name][codes]
+            found = scanner.templates[name].windows(at[mine], codes[mine], 0.8)
             assert (max((x[0] for x in found), default=0.0)) == (pytest.approx(best) if best >= 0.8 else 0.0)
 
 
