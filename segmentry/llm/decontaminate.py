@@ -6,13 +6,15 @@ length reaches `WINDOW`, the last WINDOW words are a window of some item. Items
 words are terminals that the suffix links reach.
 
 Items are taken in blocks of at most `block_words` words, so that what is broadcast and
-held by a worker has a fixed bound; each block is matched against all documents in turn,
-and its spans are merged with those of the blocks before.
+held by a worker has a fixed bound: workers build the automaton of one block from its words
+and keep it for that block's tasks. If there are more blocks than one, documents are matched
+against each in a job of its own, whose hits are stored, and their spans are merged last.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -22,11 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import drop, stored, table
 
 WINDOW = 10
-#: Most words of items that one automaton holds (it has at most twice as many states).
-BLOCK_WORDS = 1_000_000
+#: Most words of items that one automaton holds: it has at most twice as many states, of about 350 bytes each.
+BLOCK_WORDS = 400_000
 NOT_WORD = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 TO_SPACE = bytes.maketrans(NOT_WORD, b" " * len(NOT_WORD))
 WORD_CHARS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -184,33 +186,79 @@ def with_hits(spark: SparkSession, docs: DataFrame, items: DataFrame, window: in
 
     starts and ends are the maximal hit spans in words. Null and empty texts have no words
     and no hits; null or wordless items match nothing; of repeated items each id is
-    reported. Rows are kept as they are, one by one, without a shuffle; a column `hits`
-    that docs already has is replaced.
+    reported. Rows are kept one by one; an empty table gives no rows; a column `hits` that
+    docs already has is replaced. With one block of items there is no shuffle.
     """
     kind = dict(items.dtypes)["item_id"]
     schema = f"n_words long, starts array<int>, ends array<int>, item_ids array<{kind}>"
-    docs = docs.withColumn("hits", F.lit(None).cast(f"struct<n_words:long,starts:array<int>,ends:array<int>,item_ids:array<{kind}>>"))
-    for block in blocks(items, block_words):
-        told = spark.sparkContext.broadcast(Automaton.of(block, window))
-        docs = docs.withColumn("hits", F.pandas_udf(matcher(told), schema)("text", "hits"))
-    return docs
-
-
-def matcher(told: Broadcast) -> Callable:
-    """A function over batches of texts and of the hits that earlier blocks of items gave."""
-
-    def matched(texts: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for text, starts, ends, items in zip(texts, before["starts"], before["ends"], before["item_ids"]):
+    ready = blocks(items, block_words)
+    block, following = next(ready), next(ready, None)
+    if following is None:
+        return docs.withColumn("hits", F.pandas_udf(matcher(spark, block, window), schema)("text"))
+    rows, _ = stored(spark, docs.select(F.struct(*docs.columns).alias("doc"), "text", F.monotonically_increasing_id().alias("key")), "documents")
+    parts, paths = [], []
+    while block is not None:
+        part = rows.select("key", F.pandas_udf(matcher(spark, block, window), schema)("text").alias("hits"))
+        part, path = stored(spark, part.where(F.size("hits.starts") > 0).select("key", "hits.*"), "hits")
+        parts.append(part)
+        paths.append(path)
+        block, following = following, next(ready, None)
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.union(more)
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "item_ids")]
+    merged_, _ = stored(spark, every.groupBy("key").agg(*lists).select("key", F.pandas_udf(union_of, schema)("starts", "ends", "item_ids").alias("found")), "merged")
+    drop(spark, *paths)
+    found = rows.join(merged_, "key", "left")
+    hits = F.struct(
+        count_words("text").alias("n_words"),
+        F.coalesce("found.starts", F.expr("cast(array() as array<int>)")).alias("starts"),
+        F.coalesce("found.ends", F.expr("cast(array() as array<int>)")).alias("ends"),
+        F.coalesce("found.item_ids", F.expr(f"cast(array() as array<{kind}>)")).alias("item_ids"),
+    )
+    return found.select("doc.*", hits.alias("__hits")).drop("hits").withColumnRenamed("__hits", "hits")
+
+
+@F.pandas_udf(T.LongType())
+def count_words(texts: pd.Series) -> pd.Series:
+    return pd.Series([len(words_of(t)) for t in texts], dtype="int64")
+
+
+def union_of(starts: pd.Series, ends: pd.Series, items: pd.Series) -> pd.DataFrame:
+    """Hits of several blocks as those of one; n_words is left open."""
+    rows = []
+    for s, e, found in zip(starts, ends, items):
+        spans = merged([*zip(map(int, s), map(int, e))])
+        rows.append((None, [a for a, _ in spans], [b for _, b in spans], sorted(set(found))))
+    return pd.DataFrame(rows, columns=["n_words", "starts", "ends", "item_ids"])
+
+
+union_of.__annotations__ = {"starts": pd.Series, "ends": pd.Series, "items": pd.Series, "return": pd.DataFrame}
+#: The automaton of the block that this worker is at.
+BUILT: dict[str, Automaton] = {}
+
+
+def automaton(name: str, block: Broadcast, window: int) -> Automaton:
+    """Built once for a worker and block; the one before it is let go."""
+    if name not in BUILT:
+        BUILT.clear()
+        BUILT[name] = Automaton.of(block.value, window)
+    return BUILT[name]
+
+
+def matcher(spark: SparkSession, block: list[tuple], window: int) -> Callable:
+    """A function over batches of texts, which gives their hits by one block of items."""
+    told, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def matched(texts: pd.Series) -> pd.DataFrame:
+        match, rows = automaton(name, told, window).match, []
+        for text in texts:
             words = words_of(text)
-            spans, found = told.value.match(words)
-            if starts is not None and len(starts):
-                spans = merged([*zip(map(int, starts), map(int, ends)), *spans])
-            if items is not None and len(items):
-                found = found.union(items)
+            spans, found = match(words)
             rows.append((len(words), [s for s, _ in spans], [e for _, e in spans], sorted(found)))
         return pd.DataFrame(rows, columns=["n_words", "starts", "ends", "item_ids"])
 
+    matched.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
     return matched
 
 
@@ -247,18 +295,22 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, max_span: int = 0, max_coverage: float = 1.0) -> DataFrame:
     """docs without hit spans of over max_span words and without documents of which over max_coverage is hit.
 
-    Columns and the texts of documents without such spans stay as they are.
+    Columns, whatever their names, and the texts of documents without such spans stay as they
+    are. Null and empty texts stay; repeated rows are judged one by one.
     """
-    names = docs.columns
-    found = with_hits(spark, docs, items).where(n_hit() <= F.lit(max_coverage) * F.col("hits.n_words"))
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    found = with_hits(spark, packed, items).where(n_hit() <= F.lit(max_coverage) * F.col("hits.n_words"))
     if max_coverage <= 0:
-        return found.select(*names)
+        return found.select("doc.*")
     long_spans = F.filter(F.arrays_zip("hits.starts", "hits.ends"), lambda s: s["ends"] - s["starts"] > max_span)
     found = found.withColumn("hits", long_spans)
     text = F.when(F.size("hits") > 0, cut("text", "hits.starts", "hits.ends")).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*names)
+    return found.select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the coverage limit is zero, so documents that hold a window of an item go whole; others stay as they are."""
+    """Pipeline stage: the coverage limit is zero, so documents that hold a window of an item go whole; others stay as they are.
+
+    Null and empty texts, and repeats of clean rows, stay; an empty table gives no rows.
+    """
     return clean(spark, docs, table(spark, sf_dir, "benchmark"), max_coverage=0.0)

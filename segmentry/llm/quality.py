@@ -159,10 +159,16 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go. All columns stay as they are."""
+    """Pipeline stage: documents that the classifier rejects go. All columns stay as they are, whatever their names.
+
+    Labels teach as in `scored`. Null and empty texts are judged by the features of a text
+    without words, repeated rows alike; without labels every document scores as the two
+    classes would at even odds; an empty table gives no rows.
+    """
     labels = table(spark, sf_dir, "labels")
     taught = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("y in (0, 1)").where(bucket() != 0)
-    teaching = docs.select("doc_id", features("text").alias("x")).join(taught, "doc_id")
-    model = fit(teaching.select("x", "y"))
-    kept = docs.withColumn("__x", features("text"))
-    return kept.where(model.score(F.col("__x")) >= THRESHOLD).select(*docs.columns)
+    # Only texts that have a label are described here; their ids are joined first.
+    teaching = docs.select("doc_id", "text").join(taught, "doc_id").select(features("text").alias("x"), "y")
+    model = fit(teaching)
+    kept = docs.select(F.struct(*docs.columns).alias("doc"), features("text").alias("x"))
+    return kept.where(model.score(F.col("x")) >= THRESHOLD).select("doc.*")

@@ -1,8 +1,8 @@
-"""Exact repeats of at least LENGTH bytes by a hash-compared suffix sort.
+"""Exact repeats of at least a length of bytes by a hash-compared suffix sort.
 
-Only places that can repeat are sorted. In every window of LENGTH bytes the gram with the
+Only places that can repeat are sorted. In every window of that length the gram with the
 smallest hash is its anchor, so equal windows share an anchor at the same place. A window
-holds all of a string that reaches HALF bytes left of its anchor or, if it begins nearer,
+holds all of a string that reaches half of its other bytes left of its anchor or, if it begins nearer,
 one that reaches as far right; anchors where neither string occurs twice are dropped.
 Texts that equal another one whole are found by their digest and stand aside, but for one
 of them.
@@ -13,11 +13,17 @@ Contexts of one gram are sorted as suffixes from the anchor to the right, and as
 prefixes to the left, by mergesort; a comparison finds the common extension of two
 suffixes by binary search over prefix polynomial hashes, so it takes logarithmically many
 steps. Windows with l bytes left of the anchor are equal exactly within runs of both
-orders whose common extensions reach LENGTH - l and l; every such run is verified by its
+orders whose common extensions reach length - l and l; every such run is verified by its
 bytes. All windows of an anchor overlap in it, so its repeated bytes are one interval.
 
-Grams with over `crowded` different contexts are not sorted in one task: their windows are
-counted by hash over all tasks instead, which gives the same intervals.
+Grams with over `crowded` different contexts are not sorted in one task. The windows of such a
+group are halved by how many bytes lie left of the anchor: those of a half all hold a longer
+string around it, and equal windows hold the same, so the contexts, cut to each half, are
+grouped again by the hash of that string. This goes on until no group is crowded; at last a
+group has windows of one place only, which are equal, so it always ends.
+
+Equal texts are known by SHA-256 and equal contexts by BLAKE2b; what is hashed shorter
+(anchors, strings, groups) only brings candidates together, which bytes then decide.
 """
 
 from __future__ import annotations
@@ -35,10 +41,10 @@ from pyspark.sql import functions as F
 from .common import drop, stored, table
 
 LENGTH, GRAM = 400, 64
-SPAN = LENGTH - GRAM + 1
-HALF = SPAN // 2
-CROWDED = 8192
-#: Longest piece of a text whose anchors are found at once; pieces overlap by LENGTH - 1.
+#: Passages: repeated runs of over so many words, in strings of so many bytes.
+PASSAGE_WORDS, PASSAGE_LENGTH = 50, 256
+CROWDED = 512
+#: Longest piece of a text whose anchors are found at once; pieces overlap by length - 1.
 PIECE = 1 << 19
 #: Contexts that a task remembers as sent, 16 bytes each.
 SEEN = 500_000
@@ -81,29 +87,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def anchors(raw: bytes) -> dict[str, np.ndarray]:
+def anchors(raw: bytes, length: int = LENGTH) -> dict[str, np.ndarray]:
     """Places of the anchors of all windows of a text: `pos`, the least and most bytes (`low`, `high`) that their
     windows hold left of them, the hash of the `gram`, and hashes of the strings that reach left and right; 0: none."""
-    found = [anchors_of_piece(raw, at) for at in range(0, max(len(raw) - LENGTH + 1, 0), PIECE)]
+    found = [anchors_of_piece(raw, at, length) for at in range(0, max(len(raw) - length + 1, 0), PIECE)]
     return {name: np.concatenate([x[name] for x in found]) if found else np.zeros(0, dtype=np.int64) for name in ANCHOR}
 
 
-def anchors_of_piece(raw: bytes, at: int) -> dict[str, np.ndarray]:
-    piece = np.frombuffer(raw, dtype=np.uint8, count=min(PIECE + LENGTH - 1, len(raw) - at), offset=at)
+def anchors_of_piece(raw: bytes, at: int, length: int) -> dict[str, np.ndarray]:
+    span = length - GRAM + 1
+    half = span // 2
+    piece = np.frombuffer(raw, dtype=np.uint8, count=min(PIECE + length - 1, len(raw) - at), offset=at)
     sums = prefixes(piece)
     n = len(piece) - GRAM + 1
     grams = mixed((sums[GRAM:] - sums[:-GRAM]) * POWERS.down[:n])
     bits = np.uint64((1 << 20) - 1)
     # The smallest hash of a window and, of equal ones, the leftmost.
     ranked = (grams & ~bits) | np.arange(n, dtype=np.uint64)
-    rows = -(-n // SPAN)
-    padded = np.full(rows * SPAN, MASK, dtype=np.uint64)
+    rows = -(-n // span)
+    padded = np.full(rows * span, MASK, dtype=np.uint64)
     padded[:n] = ranked
-    blocks = padded.reshape(rows, SPAN)
+    blocks = padded.reshape(rows, span)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    windows = n - SPAN + 1
-    least = np.minimum(behind[:windows], ahead[SPAN - 1 : SPAN - 1 + windows])
+    windows = n - span + 1
+    least = np.minimum(behind[:windows], ahead[span - 1 : span - 1 + windows])
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     last = np.concatenate([first[1:], [windows]]) - 1
     place = (least[first] & bits).astype(np.int64)
@@ -115,8 +123,8 @@ def anchors_of_piece(raw: bytes, at: int) -> dict[str, np.ndarray]:
         out[there] = (mixed((sums[e] - sums[b]) * POWERS.down[b] + np.uint64(side)) | np.uint64(1)).view(np.int64)
         return out
 
-    left = hashes(place - HALF, place + GRAM, high >= HALF, 1)
-    right = hashes(place, place + LENGTH - HALF + 1, low < HALF, 2)
+    left = hashes(place - half, place + GRAM, high >= half, 1)
+    right = hashes(place, place + length - half + 1, low < half, 2)
     return {"pos": place + at, "low": low, "high": high, "gram": grams[place].view(np.int64), "left": left, "right": right}
 
 
@@ -124,32 +132,63 @@ def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def find_anchors(batches):
-    for batch in batches:
-        found = [anchors(utf8(t)) for t in batch["text"]]
-        at = np.repeat(np.arange(len(batch)), [len(x["pos"]) for x in found])
-        out = batch[["key", "h"]].iloc[at].reset_index(drop=True)
-        for name, kind in ANCHOR.items():
-            out[name] = np.concatenate([x[name] for x in found]).astype(kind) if found else np.zeros(0, dtype=kind)
-        yield out
+def find_anchors(length: int):
+    def found_in(batches):
+        for batch in batches:
+            found = [anchors(utf8(t), length) for t in batch["text"]]
+            at = np.repeat(np.arange(len(batch)), [len(x["pos"]) for x in found])
+            out = batch[["key", "h"]].iloc[at].reset_index(drop=True)
+            for name, kind in ANCHOR.items():
+                out[name] = np.concatenate([x[name] for x in found]).astype(kind) if found else np.zeros(0, dtype=kind)
+            yield out
+
+    return found_in
+
 
+def digest(left: int, context: bytes) -> bytes:
+    return hashlib.blake2b(b"%d:" % left + context, digest_size=16).digest()
 
-def cut_contexts(batches):
+
+def cut_contexts(length: int):
     """For texts with their repeated anchors: a row for each place, with its context where the task meets it first."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        rows = []
-        if len(seen) > SEEN:
-            seen.clear()
-        for doc, h, text, *marks in zip(*(batch[x] for x in ("key", "h", "text", "places", "lows", "highs", "grams"))):
-            raw = utf8(text)
-            for pos, low, high, gram in zip(*(x.tolist() for x in marks)):
-                context = raw[pos - high : pos - low + LENGTH]
-                cid = hashlib.blake2b(b"%d:" % high + context, digest_size=16).digest()
-                rows.append((doc, h, pos, gram, cid, high, None if cid in seen else context))
-                seen.add(cid)
-        out = pd.DataFrame(rows, columns=["key", "h", "pos", "gram", "cid", "left", "context"])
-        yield out.astype({"h": "int64", "pos": "int64", "gram": "int64", "left": "int32"})
+
+    def cut(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            rows = []
+            if len(seen) > SEEN:
+                seen.clear()
+            for doc, h, text, *marks in zip(*(batch[x] for x in ("key", "h", "text", "places", "lows", "highs", "grams"))):
+                raw = utf8(text)
+                for pos, low, high, gram in zip(*(x.tolist() for x in marks)):
+                    context = raw[pos - high : pos - low + length]
+                    cid = digest(high, context)
+                    rows.append((doc, h, pos, gram, cid, high, None if cid in seen else context))
+                    seen.add(cid)
+            out = pd.DataFrame(rows, columns=["key", "h", "pos", "gram", "cid", "left", "context"])
+            yield out.astype({"h": "int64", "pos": "int64", "gram": "int64", "left": "int32"})
+
+    return cut
+
+
+def halved(length: int):
+    """Contexts of crowded groups, whose windows have `first` to `last` bytes left of the anchor, cut to either half of those."""
+
+    def halves(batches):
+        for batch in batches:
+            rows = []
+            for gram, cid, left, first, last, context, n in batch[["gram", "cid", "left", "first", "last", "context", "n"]].itertuples(index=False, name=None):
+                low, middle = max(0, left + length - len(context)), (first + last + 1) // 2
+                for a, b in ((first, middle - 1), (middle, last)):
+                    lo, hi = max(low, a), min(left, b)
+                    if lo <= hi:
+                        part = context[left - hi : left - lo + length]
+                        core = hashlib.blake2b(b"%d:%d:%d:" % (gram, a, b) + context[left - a : left - b + length], digest_size=8).digest()
+                        rows.append((gram, cid, int.from_bytes(core, "little", signed=True), digest(hi, part), hi, a, b, part, n))
+            out = pd.DataFrame(rows, columns=["up_gram", "up_cid", "gram", "cid", "left", "first", "last", "context", "n"])
+            yield out.astype({"up_gram": "int64", "gram": "int64", "left": "int32", "first": "int32", "last": "int32", "n": "int64"})
+
+    return halves
 
 
 class Sorted:
@@ -193,7 +232,7 @@ class Sorted:
         return out
 
 
-def intervals(contexts: list[bytes], lefts: list[int], counts: list[int]) -> list[tuple[int, int] | None]:
+def intervals(contexts: list[bytes], lefts: list[int], counts: list[int], length: int = LENGTH) -> list[tuple[int, int] | None]:
     """For each context the least and most bytes left of the anchor over its repeated windows, or none.
 
     Bytes beyond what a context shares with any other on a side are cut first; contexts
@@ -205,33 +244,33 @@ def intervals(contexts: list[bytes], lefts: list[int], counts: list[int]) -> lis
         behind = Sorted([c[:left][::-1] for c, left in zip(contexts, lefts)]).longest()
         cut: dict[tuple[bytes, bytes], list[int]] = {}
         for i, (c, left, r, b) in enumerate(zip(contexts, lefts, right.tolist(), behind.tolist())):
-            if r + b >= LENGTH:
+            if r + b >= length:
                 cut.setdefault((c[left - b : left][::-1], c[left : left + r]), []).append(i)
-        for members, mark in zip(cut.values(), shared([*cut], [len(x) for x in cut.values()])):
+        for members, mark in zip(cut.values(), shared([*cut], [len(x) for x in cut.values()], length)):
             for i in members:
                 found[i] = mark
     for i, (c, left, n) in enumerate(zip(contexts, lefts, counts)):
-        if n > 1 and len(c) >= LENGTH:
-            found[i] = (max(0, left + LENGTH - len(c)), left)
+        if n > 1 and len(c) >= length:
+            found[i] = (max(0, left + length - len(c)), left)
     return found
 
 
-def shared(sides: list[tuple[bytes, bytes]], counts: list[int]) -> list[tuple[int, int] | None]:
+def shared(sides: list[tuple[bytes, bytes]], counts: list[int], length: int) -> list[tuple[int, int] | None]:
     """Of different (reversed left, right) sides, each held `counts` times: least and most left bytes of repeated windows."""
     m = len(sides)
-    found: list[tuple[int, int] | None] = [(LENGTH - len(r), len(b)) if n > 1 else None for (b, r), n in zip(sides, counts)]
+    found: list[tuple[int, int] | None] = [(length - len(r), len(b)) if n > 1 else None for (b, r), n in zip(sides, counts)]
     found = [(max(0, x[0]), x[1]) if x else None for x in found]
     if m < 2:
         return found
     right, behind = Sorted([r for _, r in sides]), Sorted([b for b, _ in sides])
-    for l in sorted({x for x in [*behind.common.tolist(), *(LENGTH - right.common).tolist()] if 0 <= x < SPAN}):
-        ids = right.runs(LENGTH - l) * m + behind.runs(l)
+    for l in sorted({x for x in [*behind.common.tolist(), *(length - right.common).tolist()] if 0 <= x <= length - GRAM}):
+        ids = right.runs(length - l) * m + behind.runs(l)
         _, inverse, sizes = np.unique(ids, return_inverse=True, return_counts=True)
         windows = {}
         for i in np.flatnonzero(sizes[inverse] > 1).tolist():
             b, r = sides[i]
-            if len(b) >= l and len(r) >= LENGTH - l:
-                windows[i] = b[:l][::-1] + r[: LENGTH - l]
+            if len(b) >= l and len(r) >= length - l:
+                windows[i] = b[:l][::-1] + r[: length - l]
         # Collisions of hashes: only windows whose bytes are held twice count.
         held = Counter(windows.values())
         for i, w in windows.items():
@@ -241,37 +280,30 @@ def shared(sides: list[tuple[bytes, bytes]], counts: list[int]) -> list[tuple[in
     return found
 
 
-def sort_groups(batches):
+def sort_groups(length: int):
     """Contexts in order of their gram to (gram, cid, low, high)."""
-    gram, held = None, []
 
-    def done():
-        marks = intervals([r[3] for r in held], [r[2] for r in held], [r[4] for r in held])
-        return [(gram, r[1], *mark) for r, mark in zip(held, marks) if mark]
+    def grouped(batches):
+        gram, held = None, []
 
-    def frame(rows):
-        return pd.DataFrame(rows, columns=["gram", "cid", "low", "high"])
+        def done():
+            marks = intervals([r[3] for r in held], [r[2] for r in held], [r[4] for r in held], length)
+            return [(gram, r[1], *mark) for r, mark in zip(held, marks) if mark]
 
-    for batch in batches:
-        rows = []
-        for row in batch[["gram", "cid", "left", "context", "n"]].itertuples(index=False, name=None):
-            if row[0] != gram:
-                rows += done() if held else []
-                gram, held = row[0], []
-            held.append(row)
-        yield frame(rows)
-    yield frame(done() if held else [])
+        def frame(rows):
+            return pd.DataFrame(rows, columns=["gram", "cid", "low", "high"])
 
+        for batch in batches:
+            rows = []
+            for row in batch[["gram", "cid", "left", "context", "n"]].itertuples(index=False, name=None):
+                if row[0] != gram:
+                    rows += done() if held else []
+                    gram, held = row[0], []
+                held.append(row)
+            yield frame(rows)
+        yield frame(done() if held else [])
 
-def window_hashes(batches):
-    """For contexts of crowded grams: a row for each window, with its digest."""
-    for batch in batches:
-        rows = []
-        for gram, cid, left, context, n in batch[["gram", "cid", "left", "context", "n"]].itertuples(index=False, name=None):
-            for l in range(max(0, left + LENGTH - len(context)), left + 1):
-                digest = hashlib.blake2b(context[left - l : left - l + LENGTH], digest_size=16).digest()
-                rows.append((gram, cid, l, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), n))
-        yield pd.DataFrame(rows, columns=["gram", "cid", "l", "one", "two", "n"])
+    return grouped
 
 
 def merge(lows: list[int], highs: list[int]) -> list[tuple[int, int]]:
@@ -284,42 +316,47 @@ def merge(lows: list[int], highs: list[int]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove(batches):
-    """Texts with the intervals of their repeated bytes to what is left."""
-    for batch in batches:
-        rows = []
-        for doc, text, copied, starts, ends in zip(batch["doc_id"], batch["text"], batch["copied"], batch["starts"], batch["ends"]):
-            raw = utf8(text)
-            if copied and len(raw) >= LENGTH:
-                spans = [(0, len(raw))]
-            else:
-                spans = merge(list(starts), list(ends)) if starts is not None else []
-            kept, at = [], 0
-            for s, e in spans:
-                kept.append(raw[at:s])
-                at = e
-            kept.append(raw[at:])
-            rows.append((doc, len(raw), sum(e - s for s, e in spans), len(spans), hashlib.sha256(b"".join(kept)).hexdigest(), [s for s, _ in spans], [e for _, e in spans]))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"])
-        yield out.astype({"doc_id": batch["doc_id"].dtype})
+def spans_of(raw: bytes, length: int, copied, starts, ends) -> list[tuple[int, int]]:
+    if copied and len(raw) >= length:
+        return [(0, len(raw))]
+    return merge(list(starts), list(ends)) if starts is not None else []
 
 
-def repeats(spark: SparkSession, docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends) for each row of docs (doc_id, text).
+def remove(length: int, passage_length: int, passage_words: int):
+    """Texts with the intervals of their repeated bytes to what is left, and to their passages."""
 
-    Null and empty texts have no bytes and lose none; rows that repeat, with the same id or
-    another, are removed whole if they have LENGTH bytes; an empty table gives no rows.
-    """
-    kind = dict(docs.dtypes)["doc_id"]
-    # Ids as text, so that rows without an id are joined too; with the hash a key is one text.
+    def removed(batches):
+        for batch in batches:
+            rows = []
+            for doc, text, copied, starts, ends, begins, stops in zip(*(batch[x] for x in ("doc_id", "text", "copied", "starts", "ends", "passage_starts", "passage_ends"))):
+                raw = utf8(text)
+                spans = spans_of(raw, length, copied, starts, ends)
+                passages = [(s, e) for s, e in spans_of(raw, passage_length, copied, begins, stops) if len(raw[s:e].split()) > passage_words]
+                kept, at = [], 0
+                for s, e in spans:
+                    kept.append(raw[at:s])
+                    at = e
+                kept.append(raw[at:])
+                width = lambda x: sum(e - s for s, e in x)
+                sides = [[s for s, _ in spans], [e for _, e in spans], [s for s, _ in passages], [e for _, e in passages]]
+                rows.append((doc, len(raw), width(spans), len(spans), hashlib.sha256(b"".join(kept)).hexdigest(), *sides, width(passages)))
+            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "passage_starts", "passage_ends", "n_passage_bytes"])
+            yield out.astype({"doc_id": batch["doc_id"].dtype})
+
+    return removed
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a key: ids as text, so that rows without an id are joined too; with the hash a key is one text."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", key.alias("key"), F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"), "text")
-    same = ["h", "size"]
-    copies, copies_path = stored(spark, rows.groupBy(*same).agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")
-    # Of equal texts the first stands for all; what says so are keys, never texts.
+    return docs.select("doc_id", key.alias("key"), F.xxhash64("text").alias("h"), "text")
+
+
+def covered(spark: SparkSession, rows: DataFrame, aside: DataFrame, length: int, crowded: int) -> DataFrame:
+    """(key, h, starts, ends): intervals of the repeated bytes of texts that do not stand aside, overlapping as found."""
     schema = "key string, h long, pos long, low short, high short, gram long, left long, right long"
-    found, found_path = stored(spark, rows.mapInPandas(find_anchors, schema), "anchors")
-    found = found.join(copies.select("h", "first"), "h", "left").where("first is null or key = first")
+    found, found_path = stored(spark, rows.mapInPandas(find_anchors(length), schema), "anchors")
+    found = found.join(aside, ["key", "h"], "left_anti")
     sides = found.select("key", "h", F.struct("pos", "low", "high", "gram").alias("a"), F.explode(F.array("left", "right")).alias("side")).where("side <> 0")
     # As a table, the counted strings join in a way that Spark can split where one string is very frequent.
     several, several_path = stored(spark, sides.groupBy("side").count().where("count > 1").select("side"), "several")
@@ -327,30 +364,69 @@ def repeats(spark: SparkSession, docs: DataFrame, crowded: int = CROWDED) -> Dat
     listed = listed.select("key", "h", F.col("a.pos").alias("places"), F.col("a.low").alias("lows"), F.col("a.high").alias("highs"), F.col("a.gram").alias("grams"))
     texts = rows.select("key", "h", "text").join(listed, ["key", "h"]).dropDuplicates(["key", "h"])
     schema = "key string, h long, pos long, gram long, cid binary, left int, context binary"
-    contexts, contexts_path = stored(spark, texts.mapInPandas(cut_contexts, schema), "contexts")
-    counts = contexts.groupBy("gram", "cid").count().groupBy("gram").count()
-    large, large_path = stored(spark, counts.where(F.col("count") > crowded).select("gram"), "large")
-    any_large = not large.isEmpty()
-    different = contexts.groupBy("gram", "cid").agg(F.count("*").alias("n"), F.any_value("left").alias("left"), F.any_value("context", F.lit(True)).alias("context"))
-    sortable = different.join(large, "gram", "left_anti") if any_large else different
-    marks = sortable.repartition("gram").sortWithinPartitions("gram").mapInPandas(sort_groups, "gram long, cid binary, low int, high int")
-    if any_large:
-        windows = different.join(large, "gram").mapInPandas(window_hashes, "gram long, cid binary, l int, one long, two long, n long")
-        key = ["gram", "l", "one", "two"]
-        shared = windows.groupBy(*key).agg(F.sum("n").alias("all")).where("all > 1").drop("all")
-        hot = windows.join(shared, key).groupBy("gram", "cid").agg(F.min("l").alias("low"), F.max("l").alias("high"))
-        marks = marks.unionByName(hot)
-    marks, _ = stored(spark, marks, "marks")
-    placed = contexts.select("key", "h", "pos", "gram", "cid").join(marks, ["gram", "cid"])
-    spans = placed.groupBy("key", "h").agg(F.collect_list(F.struct((F.col("pos") - F.col("high")).alias("s"), (F.col("pos") + LENGTH - F.col("low")).alias("e"))).alias("x"))
-    spans = spans.select("key", "h", F.col("x.s").alias("starts"), F.col("x.e").alias("ends"))
-    copied = rows.select("key", *same).join(copies, same, "left_semi").select("key", "h").distinct().withColumn("copied", F.lit(True))
-    marked, _ = stored(spark, spans.join(copied, ["key", "h"], "full"), "marked")
-    drop(spark, found_path, several_path, contexts_path, large_path, copies_path)
-    ready = rows.join(marked, ["key", "h"], "left").select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "starts", "ends")
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
-    return ready.mapInPandas(remove, schema)
+    contexts, contexts_path = stored(spark, texts.mapInPandas(cut_contexts(length), schema), "contexts")
+    drop(spark, found_path, several_path)
+
+    paths, marks, ups = [contexts_path], [], []
+    work = contexts.select("gram", "cid", "left", F.lit(0).alias("first"), F.lit(length - GRAM).alias("last"), "context", F.lit(1).cast("long").alias("n"))
+    while True:
+        counts = work.groupBy("gram", "cid").count().groupBy("gram").count()
+        large, path = stored(spark, counts.where(F.col("count") > crowded).select("gram"), "large")
+        paths.append(path)
+        last = large.isEmpty()
+        any_of = [F.any_value(c, F.lit(True)).alias(c) for c in ("left", "first", "last", "context")]
+        different = work.groupBy("gram", "cid").agg(*any_of, F.sum("n").alias("n"))
+        sortable = different if last else different.join(large, "gram", "left_anti")
+        sorted_ = sortable.repartition("gram").sortWithinPartitions("gram").mapInPandas(sort_groups(length), "gram long, cid binary, low int, high int")
+        sorted_, path = stored(spark, sorted_, "marks")
+        marks.append(sorted_)
+        paths.append(path)
+        if last:
+            break
+        schema = "up_gram long, up_cid binary, gram long, cid binary, left int, first int, last int, context binary, n long"
+        work, path = stored(spark, different.join(large, "gram").mapInPandas(halved(length), schema), "halves")
+        ups.append(work.select("up_gram", "up_cid", "gram", "cid"))
+        paths.append(path)
+    every = marks[-1]
+    for mark, up in zip(marks[-2::-1], ups[::-1]):
+        every = mark.union(every.join(up, ["gram", "cid"]).select("up_gram", "up_cid", "low", "high"))
+    placed = contexts.select("key", "h", "pos", "gram", "cid").join(every, ["gram", "cid"])
+    spans = placed.groupBy("key", "h").agg(F.collect_list(F.struct((F.col("pos") - F.col("high")).alias("s"), (F.col("pos") + length - F.col("low")).alias("e"))).alias("x"))
+    out, _ = stored(spark, spans.select("key", "h", F.col("x.s").alias("starts"), F.col("x.e").alias("ends")), "spans")
+    drop(spark, *paths)
+    return out
+
+
+def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, passage_length: int = PASSAGE_LENGTH, passage_words: int = PASSAGE_WORDS, crowded: int = CROWDED) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends, passage_starts, passage_ends, n_passage_bytes) for each row of docs (doc_id, text).
+
+    Bytes of strings of `length` that occur again are removed. Passages are reported beside
+    that, and removed only so far as they are as long: runs of bytes of repeated strings of
+    passage_length that hold over passage_words words.
+
+    Null and empty texts have no bytes and lose none; rows that repeat, with the same id or
+    another, are removed whole if they have that many bytes; an empty table gives no rows.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = keyed(docs)
+    whole = rows.select("key", "h", F.sha2("text", 256).alias("digest")).where("digest is not null")
+    copies = whole.groupBy("digest").agg(F.min(F.struct("key", "h")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Of equal texts the first stands for all; what says so are keys, never texts.
+    copied = whole.join(copies.select("digest", "first"), "digest").groupBy("key", "h").agg(F.max(F.struct("key", "h") == F.col("first")).alias("first"))
+    copied, copies_path = stored(spark, copied, "copies")
+    aside = copied.where("not first").select("key", "h")
+    spans = covered(spark, rows, aside, length, crowded)
+    passages = covered(spark, rows, aside, passage_length, crowded)
+    marked = spans.join(passages.withColumnsRenamed({"starts": "passage_starts", "ends": "passage_ends"}), ["key", "h"], "full")
+    marked, _ = stored(spark, marked.join(copied.select("key", "h", F.lit(True).alias("copied")), ["key", "h"], "full"), "marked")
+    drop(spark, copies_path)
+    ready = rows.join(marked, ["key", "h"], "left").select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "starts", "ends", "passage_starts", "passage_ends")
+    arrays = ", ".join(f"{c} array<long>" for c in ("starts", "ends", "passage_starts", "passage_ends"))
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, {arrays}, n_passage_bytes long"
+    return ready.mapInPandas(remove(length, passage_length, passage_words), schema)
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """The contract's columns, and the bytes of passages of over PASSAGE_WORDS words, which are often under LENGTH bytes."""
+    found = repeats(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes")

@@ -1,6 +1,8 @@
 """Token ids in flat binary files with 64-bit document offsets.
 
-Documents are range-partitioned by id, so partition k holds the k-th run of ids. Each task
+Documents are range-partitioned by id, by as many partitions as their bytes need, so
+partition k holds the k-th run of ids; rows that share an id are dealt further by their text,
+and equal rows, which the files cannot tell apart, by their place. Each task
 encodes its documents and writes three files for its partition: `.ids`, unsigned little-
 endian integers (16 bits wide if the vocabulary allows, else 32); `.off`, int64 offsets of
 the documents inside it and its end; `.doc`, their int64 ids. A file is written under a
@@ -38,6 +40,8 @@ END_ID = 2
 KEPT_UNITS = 600_000
 #: The letter that stands for the space byte in byte-level vocabularies.
 SPACE = "\u0120"
+#: Bytes of text for which there is a partition.
+PART_BYTES = 32 << 20
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -125,6 +129,8 @@ def encoder(path: str, end_id: int) -> Encoder:
 
 
 def folder(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder; s3a is Spark's name for what Arrow calls s3."""
+    uri = uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a://") else uri
     return pafs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")
 
 
@@ -133,7 +139,20 @@ def put(fs: pafs.FileSystem, path: str, data) -> None:
     own = f"{path}.{uuid.uuid4().hex}"
     with fs.open_output_stream(own) as out:
         out.write(data)
-    fs.move(own, path)
+    settle(fs, own, path)
+
+
+def settle(fs: pafs.FileSystem, own: str, path: str) -> None:
+    """Give an attempt's file its name; where another attempt has done so, that one stays, as both hold the same."""
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        fs.delete_file(own)
+        return
+    try:
+        fs.move(own, path)
+    except OSError:
+        if fs.get_file_info(path).type == pafs.FileType.NotFound:
+            raise
+        fs.delete_file(own)
 
 
 def part_name(root: str, part: int, kind: str) -> str:
@@ -144,7 +163,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, uri: str, path: str | Non
     """Write docs (doc_id, text) to the folder `uri` in ascending doc_id order, nulls first.
 
     Null and empty texts are the end id alone. Documents that share an id keep a row each,
-    ordered by text. An empty table leaves a manifest without documents.
+    ordered by a hash of the text and by the text. An empty table leaves a manifest without documents.
     """
     path = path or public_tokenizer()
     fs, root = folder(uri)
@@ -166,11 +185,14 @@ def write_tokens(spark: SparkSession, docs: DataFrame, uri: str, path: str | Non
         out.close()
         put(fs, part_name(root, part, "off"), np.cumsum(counts, dtype="<i8").tobytes())
         put(fs, part_name(root, part, "doc"), np.array(ids, dtype="<i8").tobytes())
-        fs.move(own, part_name(root, part, "ids"))
+        settle(fs, own, part_name(root, part, "ids"))
         yield pd.DataFrame({"part": [part], "docs": [len(ids)], "tokens": [int(sum(counts))], "width": [encode.dtype.itemsize]})
 
-    dealt = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(-(-size // PART_BYTES), spark.sparkContext.defaultParallelism)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    dealt = docs.select("doc_id", "text").repartitionByRange(n, *order, F.monotonically_increasing_id().asc())
+    dealt = dealt.sortWithinPartitions(*order, "text")
     parts = dealt.mapInPandas(write, "part int, docs long, tokens long, width int").collect()
     base, manifest = 0, []
     for p in sorted(parts, key=lambda p: p["part"]):
@@ -230,7 +252,10 @@ def public_tokenizer(name: str = VOCABULARY) -> str:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents to token files, and what the files hold."""
+    """Pipeline stage: documents to token files, and what the files hold.
+
+    Nulls, empty texts, repeats and an empty table are as in `write_tokens`.
+    """
     uri = scratch(spark, "tokens")
     write_tokens(spark, docs, uri)
     return read_tokens(spark, uri)
