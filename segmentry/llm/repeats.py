@@ -43,7 +43,7 @@ from .common import drop, stored, table
 LENGTH, GRAM = 400, 64
 #: Passages: repeated runs of over so many words, in strings of so many bytes.
 PASSAGE_WORDS, PASSAGE_LENGTH = 50, 256
-CROWDED = 512
+CROWDED = 2048
 #: Longest piece of a text whose anchors are found at once; pieces overlap by length - 1.
 PIECE = 1 << 19
 #: Contexts that a task remembers as sent, 16 bytes each.

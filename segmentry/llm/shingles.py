@@ -186,8 +186,8 @@ def in_blocks(parted: DataFrame, texts: DataFrame, words: int, similarity: float
     return both.groupBy("band", "i", "j").applyInPandas(across(words, similarity), "a long, b long")
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """(doc, key, label) for each row of docs (text, ...): the row, a key of its own, and the same label for all that link.
+def near_copies(spark: SparkSession, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(doc, key) for each row of docs (text, ...), key being its own, and (key, label) with the same label for all that link.
 
     Texts without a word (null, empty, white space) link with each other only. Rows that
     repeat an id are rows of their own. An empty table gives no rows.
@@ -256,7 +256,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, words: int = WORDS, simila
     labelled = classes.join(labels, "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     labelled, _ = stored(spark, labelled, "labelled")
     drop(spark, *paths)
-    return rows.select("doc", "key", F.col("s.digest").alias("digest")).join(labelled, "digest").select("doc", "key", "label")
+    return rows.select("doc", "key"), rows.select("key", F.col("s.digest").alias("digest")).join(labelled, "digest").select("key", "label")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -267,8 +267,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one component. Repeated rows are one component, of which one row stays. Columns stay as
     they are, whatever their names; an empty table gives no rows.
     """
-    found = near_copies(spark, docs)
+    rows, labels = near_copies(spark, docs)
     doc = lambda c: F.col(f"doc.{c}")
     order = F.struct(doc("doc_id").isNull(), doc("doc_id"), F.xxhash64(doc("text")), F.xxhash64("doc"), "key")
-    winners = found.groupBy("label").agg(F.min_by("key", order).alias("key")).select("key")
-    return found.join(winners, "key", "left_semi").select("doc.*")
+    # Only keys and their order are brought together; documents are joined once.
+    places = rows.select("key", order.alias("place")).join(labels, "key")
+    winners = places.groupBy("label").agg(F.min_by("key", "place").alias("key")).select("key")
+    return rows.join(winners, "key", "left_semi").select("doc.*")
