@@ -167,8 +167,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = table(spark, sf_dir, "labels")
     taught = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("y in (0, 1)").where(bucket() != 0)
-    # Only texts that have a label are described here; their ids are joined first.
-    teaching = docs.select("doc_id", "text").join(taught, "doc_id").select(features("text").alias("x"), "y")
-    model = fit(teaching)
+    # Texts are described before the join, so that it moves features and no text.
+    teaching = docs.select("doc_id", features("text").alias("x")).join(taught, "doc_id")
+    model = fit(teaching.select("x", "y"))
     kept = docs.select(F.struct(*docs.columns).alias("doc"), features("text").alias("x"))
     return kept.where(model.score(F.col("x")) >= THRESHOLD).select("doc.*")
