@@ -22,6 +22,7 @@ import json
 import os
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -42,6 +43,8 @@ KEPT_UNITS = 600_000
 SPACE = "\u0120"
 #: Bytes of text for which there is a partition.
 PART_BYTES = 32 << 20
+#: Characters of text whose words a worker holds apart at once, unless one text has more.
+SLICE_CHARS = 1_000_000
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -122,6 +125,19 @@ def units(text: str) -> list[str]:
     return out
 
 
+def slices(texts: Iterable[str | None], most: int = SLICE_CHARS) -> Iterator[list[str]]:
+    """The texts in order, nulls as empty, in lists that end where they reach so many characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text or "")
+        size += len(held[-1])
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 @cache
 def encoder(path: str, end_id: int) -> Encoder:
     """One for each worker process."""
@@ -176,9 +192,10 @@ def write_tokens(spark: SparkSession, docs: DataFrame, uri: str, path: str | Non
         out = None
         for batch in batches:
             out = out or fs.open_output_stream(own)
-            for data in encode.encode([t or "" for t in batch["text"]]):
-                counts.append(len(data) // encode.dtype.itemsize)
-                out.write(data)
+            for texts in slices(batch["text"]):
+                for data in encode.encode(texts):
+                    counts.append(len(data) // encode.dtype.itemsize)
+                    out.write(data)
             ids += [NO_ID if pd.isna(i) else int(i) for i in batch["doc_id"].array]
         if out is None:
             return

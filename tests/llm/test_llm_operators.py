@@ -212,6 +212,14 @@ def test_tokens_round_trip(spark):
         start += len(ids)
 
 
+def test_slices_hold_every_text_in_order():
+    texts = ["a b", None, "", "x" * 25, "c", "d" * 9, "e"]
+    cut = list(tokens.slices(texts, 10))
+    assert [t for part in cut for t in part] == [t or "" for t in texts]
+    assert all(sum(map(len, part[:-1])) < 10 for part in cut)
+    assert list(tokens.slices([], 10)) == []
+
+
 def test_units_are_encoded_as_the_whole(spark):
     encoder = tokens.Encoder(tokens.public_tokenizer(), kept_units=5)
     rng = random.Random(5)
