@@ -78,18 +78,19 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             .agg(F.min("label").alias("near"))
         )
         told = labels.join(near, "v").select("v", "label", F.least("label", "near").alias("near"))
+        # A vertex keeps the label it had, so that a scan of the table tells whether any changed.
         hooked = (
-            told.select("v", F.col("near").alias("label"))
-            .union(told.where("near < label").select(F.col("label").alias("v"), F.col("near").alias("label")))
+            told.select("v", F.col("near").alias("label"), F.col("label").alias("old"))
+            .union(told.where("near < label").select("label", "near", F.lit(None)))
             .groupBy("v")
-            .agg(F.min("label").alias("label"))
+            .agg(F.min("label").alias("label"), F.min("old").alias("old"))
         )
         up = hooked.select(F.col("v").alias("label"), F.col("label").alias("up"))
-        jumped = hooked.join(up, "label").select("v", F.col("up").alias("label"))
+        jumped = hooked.join(up, "label").select("v", F.col("up").alias("label"), "old")
         new, new_path = stored(spark, jumped, "labels")
-        changed = new.join(labels.withColumnRenamed("label", "old"), "v").where("label <> old").limit(1).count()
+        changed = not new.where("label <> old").isEmpty()
         drop(spark, path)
-        labels, path = new, new_path
+        labels, path = new.drop("old"), new_path
         if not changed:
             drop(spark, kept)
             return labels
