@@ -8,9 +8,9 @@ candidates come from `BANDS` keys, each made of `ROWS` minimum hashes, as well:
 0.8 is missed with a probability of (1 - 0.8^5)^20, 0.04 %. Every candidate of either kind
 that links is verified on the words themselves.
 
-Texts of equal shingle sets are one class first. A key is then compared in rounds: in each
-its members meet one member drawn by a hash, but for those that are connected to it. When a
-round links little, what is still apart is compared whole: of each key the members outside
+Texts of equal shingle sets are one class first. A key is then compared in rounds, the first
+together with the links of the index: in each its members meet one member drawn by a hash,
+but for those that are connected to it. When a round links little, what is still apart is compared whole: of each key the members outside
 its largest component meet all members, in pairs where the key is small, else in blocks whose
 shared shingles are counted by matrix products. So no candidate that could join two components is left out, and a large group of copies costs members, not their square; only texts that share
 keys with very many and link with none meet them all.
@@ -230,8 +230,21 @@ def near_copies(spark: SparkSession, docs: DataFrame, words: int = WORDS, simila
             every = every.union(more)
         return components(spark, every).withColumnRenamed("v", "rep")
 
-    add(linking(pairs))
-    for turn in range(rounds + 1):
+    def stars(parted: DataFrame, turn: int) -> DataFrame:
+        """Pairs of each key's members with one of them, but for those that are connected to it."""
+        centre = parted.groupBy("band").agg(F.min_by(F.struct("rep", "n", "label"), F.xxhash64(F.lit(turn), "rep")).alias("c"))
+        met = parted.join(centre, "band").select(F.col("rep").alias("b"), "n", "label", F.col("c.rep").alias("a"), F.col("c.n").alias("m"), F.col("c.label").alias("other"))
+        return met.where((F.col("label") != F.col("other")) & sized("m", "n", similarity)).select("a", "b")
+
+    def compare(found: DataFrame) -> tuple[int, int]:
+        """Numbers of distinct pairs compared and linked."""
+        found, path = stored(spark, found.distinct(), "pairs")
+        paths.append(path)
+        return found.count(), add(linking(found))
+
+    # The links of the SimHash index and the first stars need no labels, so they are compared at once.
+    compared, linked = compare(pairs.union(stars(members.withColumn("label", F.col("rep")), 0)))
+    for turn in range(1, max(rounds, 1) + 1):
         labels = connected()
         parted = members.join(labels, "rep", "left").select("band", "rep", "n", F.coalesce("label", "rep").alias("label"))
         apart = parted.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
@@ -239,7 +252,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, words: int = WORDS, simila
         paths.append(path)
         if parted.isEmpty():
             break
-        if turn == rounds or turn and linked < LEAST_LINKED * compared:
+        if turn >= rounds or linked < LEAST_LINKED * compared:
             small = parted.groupBy("band").count().where(F.col("count") <= SMALL).select("band")
             few = parted.join(small, "band", "left_semi")
             left, right = few.toDF("band", "a", "m", "la"), few.toDF("band", "b", "n", "lb")
@@ -247,12 +260,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, words: int = WORDS, simila
             add(linking(rest).union(in_blocks(parted.join(small, "band", "left_anti"), texts, words, similarity)))
             labels = connected()
             break
-        centre = parted.groupBy("band").agg(F.min_by(F.struct("rep", "n", "label"), F.xxhash64(F.lit(turn), "rep")).alias("c"))
-        stars = parted.join(centre, "band").select(F.col("rep").alias("b"), "n", "label", F.col("c.rep").alias("a"), F.col("c.n").alias("m"), F.col("c.label").alias("other"))
-        stars = stars.where((F.col("label") != F.col("other")) & sized("m", "n", similarity)).select("a", "b").distinct()
-        stars, path = stored(spark, stars, "pairs")
-        paths.append(path)
-        compared, linked = stars.count(), add(linking(stars))
+        compared, linked = compare(stars(parted, turn))
     labelled = classes.join(labels, "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     labelled, _ = stored(spark, labelled, "labelled")
     drop(spark, *paths)
