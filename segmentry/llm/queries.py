@@ -8,6 +8,8 @@ from .mixing import op10_mixing
 from .pii import op2_pii
 from .quality import op3_quality
 from .repeats import op7_repeats
+from .search import SQL as SEARCH_SQL
+from .search import op11_search
 from .simhash import op4_simhash
 from .tokens import op9_tokens
 from .vectors import SQL as VECTORS_SQL
@@ -26,9 +28,11 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_tokens": op9_tokens,
     "op10_mixing": op10_mixing,
+    "op11_search": op11_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": WARC_SQL,
     "op6_embeddings": VECTORS_SQL,
+    "op11_search": SEARCH_SQL,
 }
