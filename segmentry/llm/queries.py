@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .audit import SQL as AUDIT_SQL
+from .audit import op12_audit
 from .decontaminate import op8_decontamination
 from .licences import op1_licences
 from .mixing import op10_mixing
@@ -29,10 +31,12 @@ QUERIES = {
     "op9_tokens": op9_tokens,
     "op10_mixing": op10_mixing,
     "op11_search": op11_search,
+    "op12_audit": op12_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": WARC_SQL,
     "op6_embeddings": VECTORS_SQL,
     "op11_search": SEARCH_SQL,
+    "op12_audit": AUDIT_SQL,
 }
