@@ -5,6 +5,7 @@ from __future__ import annotations
 from .audit import SQL as AUDIT_SQL
 from .audit import op12_audit
 from .decontaminate import op8_decontamination
+from .fingerprints import op13_fingerprints
 from .licences import op1_licences
 from .mixing import op10_mixing
 from .pii import op2_pii
@@ -32,6 +33,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_search": op11_search,
     "op12_audit": op12_audit,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {

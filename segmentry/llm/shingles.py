@@ -186,13 +186,14 @@ def in_blocks(parted: DataFrame, texts: DataFrame, words: int, similarity: float
     return both.groupBy("band", "i", "j").applyInPandas(across(words, similarity), "a long, b long")
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def near_copies(spark: SparkSession, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, rounds: int = ROUNDS, sketcher=None) -> tuple[DataFrame, DataFrame]:
     """(doc, key) for each row of docs (text, ...), key being its own, and (key, label) with the same label for all that link.
 
     Texts without a word (null, empty, white space) link with each other only. Rows that
-    repeat an id are rows of their own. An empty table gives no rows.
+    repeat an id are rows of their own. An empty table gives no rows. A `sketcher` other than
+    `sketch` gives other keys of candidates.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("key"), sketch(words)("text").alias("s"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("key"), (sketcher or sketch(words))("text").alias("s"))
     rows, _ = stored(spark, rows, "shingled")
     classes, _ = stored(spark, rows.groupBy(F.col("s.digest").alias("digest")).agg(F.min("key").alias("rep")), "classes")
     heads = rows.select(F.col("key").alias("rep"), "s.n", "s.fp", "s.bands").where("n > 0").join(classes, "rep", "left_semi")
