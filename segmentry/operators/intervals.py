@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import BIN, CHROMOSOMES, MIN_ENTROPY, MIN_MATCH
 from ..functions import sequence as S
+from . import ranges as R
 
 BUCKET = 65536
 
@@ -36,11 +36,12 @@ def bins(clean: DataFrame) -> DataFrame:
     return clean.withColumn("start", F.explode(starts)).withColumn("end", F.col("start") + BIN).drop("start_pos", "end_pos")
 
 
-def order_violations(segments: DataFrame, line: str) -> DataFrame:
-    """By eid, kept rows that sort before the kept row ahead of them in file order."""
+def order_violations(segments: DataFrame, line: str, parts: int | None = None) -> DataFrame:
+    """By eid, kept rows that sort before the kept row ahead of them in file order, which crosses the ranges of a file."""
     here = F.struct("chrom", "start_pos")
-    ahead = F.lag(here).over(W.partitionBy("eid").orderBy(line))
-    return segments.withColumn("violation", F.coalesce(here < ahead, F.lit(False))).groupBy("eid").agg(F.count_if("violation").alias("sort_order_violations"))
+    met = R.before(segments, ("eid",), (line,), here, "__ahead", parts)
+    late = F.coalesce(here < F.col("__ahead"), F.lit(False))
+    return met.groupBy("eid").agg(F.count_if(late).alias("sort_order_violations"))
 
 
 def lifted(places: DataFrame, blocks: DataFrame, min_match: float = MIN_MATCH) -> DataFrame:
@@ -69,18 +70,12 @@ def lifted(places: DataFrame, blocks: DataFrame, min_match: float = MIN_MATCH) -
     return out.withColumn("status", F.coalesce("status", F.lit("deleted")))
 
 
-def without_overlaps(rows: DataFrame, group: tuple[str, ...] = ("eid", "chrom"), ties: tuple[str, ...] = ()) -> DataFrame:
+def without_overlaps(rows: DataFrame, group: tuple[str, ...] = ("eid", "chrom"), ties: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """Rows (start, end) that stay when each row that overlaps the pending row takes it away with itself.
 
     Rows that each overlap the one before are an island; its last row stays if the island is odd.
     """
-    order = W.partitionBy(*group).orderBy("start", "end", *ties)
-    flagged = rows.withColumn("__over", F.coalesce(F.col("start") < F.lag("end").over(order), F.lit(False)))
-    numbered = flagged.withColumn("__island", F.sum((~F.col("__over")).cast("int")).over(order))
-    numbered = numbered.withColumn("__n", F.row_number().over(order)).withColumn("__first", F.min("__n").over(W.partitionBy(*group, "__island")))
-    last = F.coalesce(~F.lead("__over").over(order), F.lit(True))
-    kept = numbered.withColumn("__last", last).where(F.col("__last") & ((F.col("__n") - F.col("__first")) % 2 == 0))
-    return kept.drop("__over", "__island", "__n", "__first", "__last")
+    return R.odd_islands(rows, group, ("start", "end", *ties), parts=parts)
 
 
 def with_reference(places: DataFrame, chunks: DataFrame, size: int = 1000) -> DataFrame:

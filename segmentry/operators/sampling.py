@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import SEED
+from . import ranges as R
 
 
 def draw(key: str, seed: int = SEED) -> Column:
@@ -30,28 +31,40 @@ def first_in_order(rows: DataFrame, group: list[str], order: str, k: int) -> Dat
 
 
 def capped(rows: DataFrame, cap: int, sources: int, key: str, seed: int = SEED) -> DataFrame:
-    """Rows (eid, state_int, split): of train, max(1, cap // sources) for each source and state; all others stay."""
+    """Rows (eid, state_int, split): of train, max(1, cap // sources) for each source and state; all others stay.
+
+    The rows are stored, as they are read to count the hash, and again to choose by it.
+    """
     each = max(1, cap // max(sources, 1))
+    rows = R.stored(rows, "capped")
     train = F.col("split") == "train"
-    rank = F.row_number().over(W.partitionBy("split", "eid", "state_int").orderBy(draw(key, seed), key))
-    # Only train is ranked, by itself, so each task keeps its first rows of a group before the shuffle.
-    kept = rows.where(train).withColumn("__rank", rank).where(F.col("__rank") <= each).drop("__rank")
-    return kept.unionByName(rows.where(~train | F.col("split").isNull()))
+    kept = R.first_by_draw(rows.where(train), ("eid", "state_int"), draw(key, seed), key, each)
+    return kept.union(rows.where(~train | F.col("split").isNull()))
 
 
 def capped_with_fill(rows: DataFrame, cap: int, sources: int, key: str, seed: int = SEED) -> DataFrame:
-    """As `capped` by state, and what a state lacks to its cap is filled from the sources with most rows."""
+    """As `capped` by state, and what a state lacks to its cap is filled from the sources with most rows.
+
+    The place of a row in its state follows from its rank in its source and from the numbers of
+    rows of the sources: first the shares of all sources, by id, then what is beyond them, by size.
+    """
     each = max(1, cap // max(sources, 1))
-    by = W.partitionBy("eid", "state_int")
-    ranked = rows.withColumn("__rank", F.row_number().over(by.orderBy(draw(key, seed), key))).withColumn("__n", F.count("*").over(by))
-    fill = F.row_number().over(W.partitionBy("state_int").orderBy((F.col("__rank") > each).cast("int"), F.when(F.col("__rank") > each, F.col("__n")).desc_nulls_last(), "eid", "__rank"))
-    return ranked.withColumn("__fill", fill).where(F.col("__fill") <= cap).drop("__rank", "__n", "__fill")
+    rows = R.ranked(R.stored(rows, "filled"), ("eid", "state_int"), draw(key, seed), key, "__rank")
+    sizes = rows.groupBy("eid", "state_int").agg(F.count("*").alias("__n"))
+    share, ahead = F.least(F.col("__n"), F.lit(each)), lambda *o: W.partitionBy("state_int").orderBy(*o).rowsBetween(W.unboundedPreceding, -1)
+    by_size = (F.col("__n").desc(), "eid")
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum(share).over(ahead("eid")), F.lit(0)))
+    beyond = F.sum(share).over(W.partitionBy("state_int")) + F.coalesce(F.sum(F.col("__n") - share).over(ahead(*by_size)), F.lit(0)) - each
+    sizes = sizes.withColumn("__beyond", beyond)
+    match = F.col("r.eid").eqNullSafe(F.col("s.eid")) & F.col("r.state_int").eqNullSafe(F.col("s.state_int"))
+    met = rows.alias("r").join(sizes.alias("s"), match).select("r.*", "s.__before", "s.__beyond")
+    fill = F.col("__rank") + F.when(F.col("__rank") <= each, F.col("__before")).otherwise(F.col("__beyond"))
+    return met.where(fill <= cap).drop("__rank", "__before", "__beyond")
 
 
 def folds(rows: DataFrame, label: str, key: str, n: int = 5, seed: int = SEED) -> DataFrame:
-    """Stratified folds 1..n."""
-    rank = F.row_number().over(W.partitionBy(label).orderBy(draw(key, seed), key))
-    return rows.withColumn("fold", (rank - 1) % n + 1)
+    """Stratified folds 1..n: exact ranks, with no label in one task."""
+    return R.ranked(rows, (label,), draw(key, seed), key, "__rank").withColumn("fold", (F.col("__rank") - 1) % n + 1).drop("__rank")
 
 
 def split_of(chrom: Column) -> Column:
