@@ -56,12 +56,9 @@ def cpg_frequency(s: Column) -> Column:
 
 
 def entropy(s: Column, total: Column | None = None) -> Column:
-    """Shannon entropy in bits of the four letters over the length, or over another total."""
-    out = F.lit(0.0)
-    for b in BASES:
-        p = share(count_of(s, b), F.length(s) if total is None else total)
-        out = out - F.when(p > 0, p * F.log2(F.greatest(p, F.lit(1e-300)))).otherwise(0.0)
-    return out
+    """Shannon entropy in bits of the four letters over the length, or over another total; each share is computed once."""
+    shares = F.array(*(share(count_of(s, b), F.length(s) if total is None else total) for b in BASES))
+    return F.aggregate(shares, F.lit(0.0), lambda h, p: h - F.when(p > 0, p * F.log2(F.greatest(p, F.lit(1e-300)))).otherwise(0.0))
 
 
 def entropy_of_known(s: Column) -> Column:

@@ -87,10 +87,14 @@ def with_reference(places: DataFrame, chunks: DataFrame, size: int = 1000) -> Da
 
 
 def sequence_reason(s: Column) -> Column:
-    """The first check that a bin's letters fail, or null."""
-    return (
-        F.when(s.isNull() | (F.length(s) != BIN), "bad_sequence_length")
-        .when(F.contains(s, F.lit("N")), "contains_n")
-        .when(s.rlike("[^ACGT]"), "non_acgt")
-        .when(S.entropy(s) <= MIN_ENTROPY, "low_complexity")
-    )
+    """The first check that a bin's letters fail, or null. The letters are bound once, so that a filter on it does not fetch them for every check."""
+
+    def reason(s: Column) -> Column:
+        return (
+            F.when(s.isNull() | (F.length(s) != BIN), "bad_sequence_length")
+            .when(F.contains(s, F.lit("N")), "contains_n")
+            .when(s.rlike("[^ACGT]"), "non_acgt")
+            .when(S.entropy(s) <= MIN_ENTROPY, "low_complexity")
+        )
+
+    return F.get(F.transform(F.array(s), reason), F.lit(0))
