@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..fixtures import ctes, frame
 from ..operators.sampling import per_group, split_of
 from ..scratch import path as scratch
+from ..sources import fasta
 from ..sources import tables as B
 from ..sources import text as T
 from ..streaming import metrics
@@ -43,6 +44,15 @@ def aligned_lines(spark, sf):
     return T.zipped(*(T.read_lines(spark, at) for at in paths))
 
 
+@query("fasta_chunks", """select chrom, cast(c as int) as chunk, substr(body, c*1000+1, 1200) as seq from (
+  select chrom, body, unnest(range(0, (length(body)+999)//1000)) as c from (select chrom, string_agg(seq, '' order by seq_key) as body from sequences group by chrom))""", ("sequences",))
+def fasta_chunks(spark, sf):
+    """Records of all sequences of a chromosome are written as FASTA and read in byte ranges, many to a record."""
+    at = scratch(spark, "fasta")
+    fasta.write_fasta(frame(spark, sf, "sequences"), at, "chrom", "seq_key", "seq", 100)
+    return fasta.read_fasta(spark, at, letters=100_000, scan_bytes=1 << 20)
+
+
 @query("guessed_columns", "select cast(label as int) as label, count(*) as n, cast(max(length(seq)) as int) as longest from sequences group by label", ("sequences",))
 def guessed_columns(spark, sf):
     at = scratch(spark, "table")
