@@ -1,9 +1,8 @@
-"""Class geometry over (row_key, class_id, h): centroids, spreads, distances, silhouettes, agreement, neighbours."""
+"""Class geometry over (row_key, class_id, h): centroids, spreads, distances, silhouettes, agreement, votes of neighbours."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -75,19 +74,6 @@ def adjusted_rand(rows: DataFrame, a: str, b: str) -> DataFrame:
     return both.crossJoin(one).crossJoin(two).select(((F.col("both") - expected) / (top - expected)).alias("ari"))
 
 
-def neighbours(queries: DataFrame, known: DataFrame, k: int) -> DataFrame:
-    """(row_key, rank, other, class_id): k nearest known rows of each query, in blocks of known rows.
-
-    Each task keeps k a query and block, so what is ranked at last is k times the blocks.
-    """
-    blocks = 16
-    q = queries.select("row_key", "h", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    r = known.select(F.col("row_key").alias("other"), F.col("class_id"), F.col("h").alias("g"), F.pmod(F.xxhash64("row_key"), F.lit(blocks)).alias("block"))
-    met = q.join(r, "block").select("row_key", "block", "other", "class_id", A.distance(F.col("h"), F.col("g")).alias("x"))
-    near = met.withColumn("rank", F.row_number().over(W.partitionBy("row_key", "block").orderBy("x", "other"))).where(F.col("rank") <= k)
-    return near.withColumn("rank", F.row_number().over(W.partitionBy("row_key").orderBy("x", "other"))).where(F.col("rank") <= k).select("row_key", "rank", "other", "class_id")
-
-
 def majority(near: DataFrame) -> DataFrame:
     """Most frequent class of each query's neighbours, the smaller of equals."""
     votes = near.groupBy("row_key", "class_id").agg(F.count("*").alias("n"))

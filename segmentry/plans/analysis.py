@@ -13,6 +13,7 @@ from ..functions import arrays as A
 from ..functions import sequence as S
 from ..operators import classes as C
 from ..operators import evaluation as E
+from ..operators import neighbours as N
 from ..operators.sampling import per_group
 from ..schema import SEED
 
@@ -131,10 +132,17 @@ def adjusted_rand(spark, sf):
   from v q join v r on q.pos=r.pos where q.row_key%10=0 and r.row_key%10<>0 group by q.row_key, r.row_key, r.class_id) where rk<=30 group by all) group by row_key""", ("v",))
 def knn_classes(spark, sf):
     rows = acts(spark, sf)
-    near = C.neighbours(rows.where("row_key % 10 = 0"), rows.where("row_key % 10 <> 0"), 30)
+    near, _ = N.nearest(rows.where("row_key % 10 = 0"), rows.where("row_key % 10 <> 0"), 30)
     return C.majority(near)
 
 
+@query("knn_cost", None)
+def knn_cost(spark, sf):
+    """Pairs that the search of `knn_classes` compares, of queries times known rows."""
+    rows = acts(spark, sf)
+    return N.nearest(rows.where("row_key % 10 = 0"), rows.where("row_key % 10 <> 0"), 30)[1]
+
+
 @query("confusion", "select class_id, pred, n, round(share,6) as share from conf", ("conf",))
 def confusion(spark, sf):
     return rounded(E.confusion(pred(spark, sf)), "share")
