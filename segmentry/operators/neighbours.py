@@ -5,8 +5,9 @@ pivot, so a unit is a few thousand rows with a least and a greatest distance. By
 inequality no row of a unit is nearer to a query than the query's distance to the pivot lies
 outside those, and none is farther than their sum. A query first meets the units that must
 hold k rows within the smallest bound; the k-th distance found there is its radius, and the
-second round visits only units that can hold a row within it. Both are exact: a unit is left
-out only if its bound says so.
+second round visits only units that can hold a row within it. In a unit, a row is compared
+only if its own distance to the pivot lies within the radius of the query's. All is exact:
+what is left out is so by its bound.
 
 What is sent to all tasks is bounded: the pivots, and five numbers for each unit.
 """
@@ -67,15 +68,14 @@ class Units:
     low: np.ndarray
     high: np.ndarray
 
-    def bounds(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each query and unit, the least and greatest distance that a row of the unit can have."""
-        d = lengths(h, self.pivots)[:, self.pivot]
+    def bounds(self, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By the distances of queries to the pivots of all units, the least and greatest distance that a row of each can have."""
         slack = SLACK * (1 + d + self.high)
         return np.maximum(0, np.maximum(d - self.high, self.low - d)) - slack, d + self.high + slack
 
 
 def placed(known: DataFrame, pivots: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """Known rows (other, class_id, g, pivot, ring, salt) and the units (pivot, ring, n, low, high, salts)."""
+    """Known rows (other, class_id, g, d, pivot, ring, salt) and the units (pivot, ring, n, low, high, salts)."""
     near = known.withColumn("p", nearest_pivot(pivots)("g")).select("other", "class_id", "g", "p.pivot", "p.d")
     near = R.stored(near, "near")
     steps = [i / RINGS for i in range(1, RINGS)]
@@ -88,11 +88,11 @@ def placed(known: DataFrame, pivots: np.ndarray) -> tuple[DataFrame, DataFrame]:
     units = ringed.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
     units = R.stored(units.withColumn("salts", F.greatest(F.lit(1), F.ceil(F.col("n") / UNIT)).cast("int")), "units")
     salted = ringed.join(units.select("pivot", "ring", "salts"), ["pivot", "ring"])
-    return salted.withColumn("salt", F.pmod(F.xxhash64("other"), F.col("salts")).cast("int")).drop("salts", "d"), units
+    return salted.withColumn("salt", F.pmod(F.xxhash64("other"), F.col("salts")).cast("int")).drop("salts"), units
 
 
 def visits(queries: DataFrame, told, k: int, second: bool) -> DataFrame:
-    """(row_key, h, most, pivot, ring): the units that a query meets, and the distance up to which rows count.
+    """(row_key, h, most, away, pivot, ring): the units that a query meets, the distance up to which rows count, and that to the pivot.
 
     First: those of the smallest upper bounds that together hold k rows. Second, of queries with
     the k-th distance `most`: all others that can hold a row as near.
@@ -103,7 +103,8 @@ def visits(queries: DataFrame, told, k: int, second: bool) -> DataFrame:
         u = told.value
         for batch in batches:
             h = matrix(batch["h"], dims)
-            low, high = u.bounds(h)
+            away = lengths(h, u.pivots)[:, u.pivot]
+            low, high = u.bounds(away)
             keys, rows, units, most = batch["row_key"].to_numpy(), [], [], []
             order = np.argsort(high, axis=1, kind="stable")
             for i, by in enumerate(order):
@@ -118,33 +119,41 @@ def visits(queries: DataFrame, told, k: int, second: bool) -> DataFrame:
                 rows += [i] * len(chosen)
                 units += chosen.tolist()
                 most += [reach] * len(chosen)
-            yield pd.DataFrame({"row_key": keys[rows], "h": batch["h"].iloc[rows].to_numpy(), "most": most, "pivot": u.pivot[units].astype("int32"), "ring": u.ring[units].astype("int32")})
+            yield pd.DataFrame({"row_key": keys[rows], "h": batch["h"].iloc[rows].to_numpy(), "most": most, "away": away[rows, units], "pivot": u.pivot[units].astype("int32"), "ring": u.ring[units].astype("int32")})
 
     kind, vector = dict(queries.dtypes)["row_key"], dict(queries.dtypes)["h"]
-    return queries.mapInPandas(plan, f"row_key {kind}, h {vector}, most double, pivot int, ring int")
+    return queries.mapInPandas(plan, f"row_key {kind}, h {vector}, most double, away double, pivot int, ring int")
 
 
 def compared(k: int, dims: int):
-    """A block of queries and a unit to the k nearest of each query within its reach."""
+    """A block of queries and a unit to the k nearest of each query within its reach, and one row that counts the pairs compared."""
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["row_key", "other", "class_id", "x"]
+        columns = ["row_key", "other", "class_id", "x", "pairs"]
         if not len(left) or not len(right):
             return pd.DataFrame({c: [] for c in columns})
-        right = right.sort_values("other")
-        x = lengths(matrix(left["h"], dims), matrix(right["g"], dims))
-        near = np.argsort(x, axis=1, kind="stable")[:, :k]
-        row = np.repeat(np.arange(len(left)), near.shape[1])
-        at, d = near.ravel(), np.take_along_axis(x, near, axis=1).ravel()
-        on = d <= left["most"].to_numpy()[row]
-        row, at, d = row[on], at[on], d[on]
-        return pd.DataFrame({"row_key": left["row_key"].to_numpy()[row], "other": right["other"].to_numpy()[at], "class_id": right["class_id"].to_numpy()[at], "x": d})
+        q, r, most = matrix(left["h"], dims), matrix(right["g"], dims), left["most"].to_numpy()
+        away, d = left["away"].to_numpy(), right["d"].to_numpy()
+        reach = most + SLACK * (1 + away)
+        at, near = np.nonzero(np.abs(away[:, None] - d[None]) <= reach[:, None] + SLACK * d[None])
+        step = max(1, (1 << 22) // dims)
+        x = np.concatenate([np.zeros(0), *(np.sqrt(((q[at[i : i + step]] - r[near[i : i + step]]) ** 2).sum(axis=1)) for i in range(0, len(at), step))])
+        n, on = len(at), x <= most[at]
+        at, near, x = at[on], near[on], x[on]
+        other = right["other"].to_numpy()
+        order = np.lexsort((other[near], x, at))
+        first = np.searchsorted(at[order], np.arange(len(left)))
+        order = order[np.arange(len(order)) - first[at[order]] < k]
+        # The count comes last, under the first query's key and the first row's.
+        at, near, x = np.append(at[order], 0), np.append(near[order], 0), np.append(x[order], -1.0)
+        pairs = np.append(np.zeros(len(order), dtype=np.int64), n)
+        return pd.DataFrame({"row_key": left["row_key"].to_numpy()[at], "other": other[near], "class_id": right["class_id"].to_numpy()[near], "x": x, "pairs": pairs})
 
     return meet
 
 
-def met(where: DataFrame, known: DataFrame, k: int, dims: int) -> DataFrame:
-    """Candidates (row_key, other, class_id, x) of all visits: a unit with many queries meets them in blocks."""
+def met(where: DataFrame, known: DataFrame, k: int, dims: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates (row_key, other, class_id, x) of all visits, and counts (pairs). A unit with many queries meets them in blocks."""
     counts = where.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
     unit = ["pivot", "ring", "salt", "block"]
     salts = known.select("pivot", "ring", "salt").distinct()
@@ -152,10 +161,12 @@ def met(where: DataFrame, known: DataFrame, k: int, dims: int) -> DataFrame:
     right = known.join(counts, ["pivot", "ring"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     kinds = dict(known.dtypes) | dict(where.dtypes)
     # Columns of its own, as both sides come from the same tables.
-    left = left.select("row_key", "h", "most", *(F.col(c).alias(f"q_{c}") for c in unit))
-    right = right.select("other", "class_id", "g", *unit)
+    left = left.select("row_key", "h", "most", "away", *(F.col(c).alias(f"q_{c}") for c in unit))
+    right = right.select("other", "class_id", "g", "d", *unit)
     both = left.groupBy(*(f"q_{c}" for c in unit)).cogroup(right.groupBy(*unit))
-    return both.applyInPandas(compared(k, dims), f"row_key {kinds['row_key']}, other {kinds['other']}, class_id {kinds['class_id']}, x double")
+    out = both.applyInPandas(compared(k, dims), f"row_key {kinds['row_key']}, other {kinds['other']}, class_id {kinds['class_id']}, x double, pairs long")
+    out = R.stored(out, "met")
+    return out.where("x >= 0").drop("pairs"), out.where("x < 0").select("pairs")
 
 
 def ranked(rows: DataFrame, k: int) -> DataFrame:
@@ -187,11 +198,11 @@ def nearest(queries: DataFrame, known: DataFrame, k: int) -> tuple[DataFrame, Da
     u = units.select("pivot", "ring", "n", "low", "high").toPandas()
     told = spark.sparkContext.broadcast(Units(pivots, *(u[c].to_numpy() for c in ("pivot", "ring", "n", "low", "high"))))
     first_visits = R.stored(visits(queries, told, k, False), "visits")
-    first = R.stored(ranked(met(first_visits, held, k, dims), k), "first")
+    near, pairs = met(first_visits, held, k, dims)
+    first = ranked(near, k).drop("rank")
     reach = first.groupBy("row_key").agg(F.when(F.count("*") == k, F.max("x")).otherwise(math.inf).alias("most"))
     second_visits = R.stored(visits(queries.join(reach, "row_key"), told, k, True), "visits")
-    second = met(second_visits, held, k, dims)
-    every = first.drop("rank").union(second)
-    seen = first_visits.select("pivot", "ring").union(second_visits.select("pivot", "ring")).join(units.select("pivot", "ring", "n"), ["pivot", "ring"])
-    cost = seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("compared")).crossJoin(queries.agg(F.count("*").alias("queries")))
-    return ranked(every, k).select("row_key", "rank", "other", "class_id", "x"), cost.select("queries", F.lit(n).cast("long").alias("known"), "compared")
+    more, more_pairs = met(second_visits, held, k, dims)
+    seen = pairs.union(more_pairs).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("compared"))
+    cost = seen.crossJoin(queries.agg(F.count("*").alias("queries"))).select("queries", F.lit(n).cast("long").alias("known"), "compared")
+    return ranked(first.union(more), k).select("row_key", "rank", "other", "class_id", "x"), cost

@@ -1,24 +1,22 @@
-"""The raw feature vector of a sequence and its projection: fitted on a bounded sample, applied to every row."""
+"""The raw feature vector of a sequence and its projection, fitted on all rows and applied to every row."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from . import components as C
 
 #: Five-letter words; four-letter words of ten slices; GC of ten windows; two-letter words; longest runs.
 SIZES = (4**5, 10 * 4**4, 10, 4**2, 4)
 STARTS = tuple(int(x) for x in np.cumsum((0, *SIZES[:-1])))
 WIDTH = sum(SIZES)
-#: Rows that fit the decomposition, which the driver holds (58 MB); components kept.
-SAMPLE, COMPONENTS = 2000, 32
-#: Rows of a dense block in a task.
-ROWS = 256
+#: Components kept, and passes over all rows that fit them: the first and five that refine it.
+COMPONENTS, PASSES = 32, 6
 
 
 def words(s: Column, k: int, start: int | Column) -> Column:
@@ -43,44 +41,32 @@ def sparse(s: Column) -> Column:
     return F.concat(words(s, 5, 0), slices, dense(F.transform(S.windows(s, 10), S.gc_fraction), STARTS[2]), words(s, 2, STARTS[3]), dense(runs, STARTS[4]))
 
 
-def matrix(rows) -> np.ndarray:
-    """Dense rows of sparse entries."""
-    out = np.zeros((len(rows), WIDTH))
-    for r, entries in enumerate(rows):
-        for e in entries if entries is not None else ():
-            out[r, e["i"]] = e["v"]
+def dense_rows(batch: pa.RecordBatch) -> np.ndarray:
+    """Dense rows of sparse entries (x); those of a null are zero."""
+    column = batch.column("x")
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    entries = column.flatten()
+    out = np.zeros((batch.num_rows, WIDTH))
+    out[np.repeat(np.arange(batch.num_rows), sizes), entries.field("i").to_numpy(zero_copy_only=False)] = entries.field("v").to_numpy(zero_copy_only=False)
     return out
 
 
-@dataclass(frozen=True)
-class Projection:
-    mean: np.ndarray
-    scale: np.ndarray
-    components: np.ndarray
-
-    def of(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) / self.scale @ self.components.T
-
-
-def fit(sample: DataFrame, components: int = COMPONENTS) -> Projection:
-    """Mean, deviation and leading right singular vectors of a bounded sample of rows (x)."""
-    x = matrix([r["x"] for r in sample.select("x").collect()])
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-8
-    _, _, right = np.linalg.svd((x - mean) / scale, full_matrices=False)
-    right = right[:components]
-    # The largest entry of a component is positive, so that its sign is defined.
-    signs = np.sign(right[np.arange(len(right)), np.abs(right).argmax(axis=1)])
-    return Projection(mean, scale, right * signs[:, None])
+def fit(rows: DataFrame, components: int = COMPONENTS, passes: int = PASSES) -> C.Components | None:
+    """Mean, deviation and leading right singular vectors over all rows (x)."""
+    return C.fit(rows.select("x"), dense_rows, components, passes, ddof=0, least=1e-8)
 
 
-def project(rows: DataFrame, made: Projection) -> DataFrame:
+def project(rows: DataFrame, made: C.Components) -> DataFrame:
     """(seq_key, p) of every row."""
-    told = rows.sparkSession.sparkContext.broadcast(made)
+    told = rows.sparkSession.sparkContext.broadcast((made.mean, made.scale, made.vectors))
 
     def run(batches):
+        mean, scale, vectors = told.value
         for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                part = batch.iloc[at : at + ROWS]
-                yield pd.DataFrame({"seq_key": part["seq_key"], "p": list(told.value.of(matrix(part["x"])))})
+            for at in range(0, batch.num_rows, C.ROWS):
+                part = batch.slice(at, C.ROWS)
+                p = (dense_rows(part) - mean) / scale @ vectors.T
+                held = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("seq_key"), held], ["seq_key", "p"])
 
-    return rows.mapInPandas(run, "seq_key long, p array<double>")
+    return rows.select("seq_key", "x").mapInArrow(run, "seq_key long, p array<double>")

@@ -12,6 +12,7 @@ from ..fixtures import ctes, frame
 from ..functions import arrays as A
 from ..functions import sequence as S
 from ..operators import classes as C
+from ..operators import components
 from ..operators import evaluation as E
 from ..operators import neighbours as N
 from ..operators.sampling import per_group
@@ -459,11 +460,14 @@ def as_vectors(spark, sf):
 @query("principal_variance", None)
 def principal_variance(spark, sf):
     """Standardise and fit principal components; explained and cumulative variance of each."""
-    from pyspark.ml.feature import PCA, StandardScaler
+    rows = acts(spark, sf).select("h")
 
-    rows = as_vectors(spark, sf)
-    scaled = StandardScaler(withMean=True, inputCol="x", outputCol="z").fit(rows).transform(rows)
-    shares = PCA(k=10, inputCol="z", outputCol="p").fit(scaled).explainedVariance.toArray().tolist()
+    def dense(batch):
+        return batch.column("h").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+
+    # As many directions as a vector has numbers: one pass is exact.
+    made = components.fit(rows, dense, 64, 1)
+    shares = made.shares()[:10].tolist() if made else []
     out = spark.createDataFrame([(i + 1, float(s)) for i, s in enumerate(shares)], "component int, share double")
     return out.withColumn("cumulative", F.sum("share").over(W.orderBy("component")))
 

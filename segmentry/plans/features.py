@@ -9,7 +9,7 @@ from ..fixtures import ctes, frame
 from ..functions import sequence as S
 from ..operators import kmers as K
 from ..operators import raw as R
-from ..operators.sampling import overall
+from ..operators.ranges import stored
 from ..schema import MOTIFS, OVERLAPPING, PAIRS, REPEATS
 
 QUERIES: dict = {}
@@ -230,9 +230,9 @@ def raw_vectors(spark, sf):
 
 @query("svd_projection", None)
 def svd_projection(spark, sf):
-    """Standardisation and truncated decomposition fitted on a seeded, bounded sample; every row is projected."""
-    rows = raw_vectors(spark, sf)
-    return R.project(rows, R.fit(overall(rows, "seq_key", R.SAMPLE)))
+    """Standardisation and truncated decomposition fitted on all rows; every row is projected."""
+    rows = stored(raw_vectors(spark, sf), "raw")
+    return R.project(rows, R.fit(rows))
 
 
 @query("word_entropy", f"select label, count(*) as n, round(avg(h),6) as entropy from (select label, seq_key, 0-sum(f*log2(f)) as h from (select seq_key, n/sum(n) over (partition by seq_key) as f from ({kmer_sql(3)})) k join sequences using(seq_key) group by all) group by label")
