@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -98,6 +99,46 @@ def hypotheses(windows: DataFrame, n_classes: int = 18, least_bits: float = 0.3,
     return out.withColumn("score", F.col("bits") * (1 - F.col("entropy") / F.log2(F.lit(float(n_classes))))).orderBy(F.col("score").desc(), "f").limit(top)
 
 
+def upper_tail(n: pd.Series, m: pd.Series, k: pd.Series, total: pd.Series) -> pd.Series:
+    """Logarithm to base 10 of the chance to draw n or more of k marked rows in m of total, summed from the largest term down."""
+    choose = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+
+    def one(n: int, m: int, k: int, total: int) -> float:
+        if n <= max(0, m + k - total):
+            return 0.0
+        terms = [choose(k, x) + choose(total - k, m - x) - choose(total, m) for x in range(n, min(m, k) + 1)]
+        most = max(terms)
+        return min(0.0, (most + math.log(math.fsum(math.exp(t - most) for t in terms))) / math.log(10))
+
+    return pd.Series([one(*map(int, x)) for x in zip(n, m, k, total)], dtype="float64")
+
+
+def enrichment(windows: DataFrame, rows: DataFrame, rate: float = 0.05) -> DataFrame:
+    """(f, label, n, m, k, total, fold, log10_p, q): classes that a filter's windows are of more often than chance has it.
+
+    Of all rows (seq_key, label), `total`, k are of the class; of the m rows that hold the windows of a
+    filter, n are. The hypergeometric tail of each filter and class is a test, also of classes without
+    a window; those with a false-discovery rate (Benjamini-Hochberg) up to `rate` are returned. No
+    windows give no rows; rows without a label are in no class and not in the total.
+    """
+    rows = rows.where("label is not null")
+    classes = rows.groupBy("label").agg(F.count("*").alias("k"))
+    classes = classes.withColumn("total", F.sum("k").over(W.partitionBy()))
+    held = windows.where("label is not null").select("f", "seq_key", "label").distinct()
+    counts = held.groupBy("f", "label").agg(F.count("*").alias("n"))
+    filters = counts.groupBy("f").agg(F.sum("n").alias("m"))
+    # Filters times classes: both are fixed dimensions.
+    tests = filters.crossJoin(F.broadcast(classes)).join(counts, ["f", "label"], "left").fillna(0, ["n"])
+    tail = F.pandas_udf(upper_tail, "double")
+    tests = tests.withColumn("log10_p", tail("n", "m", "k", "total"))
+    every = W.partitionBy()
+    place = F.row_number().over(W.orderBy("log10_p", "f", "label"))
+    tests = tests.withColumn("raw", F.pow(F.lit(10.0), "log10_p") * F.count("*").over(every) / place)
+    tests = tests.withColumn("q", F.least(F.lit(1.0), F.min("raw").over(W.orderBy(F.col("log10_p").desc(), F.col("f").desc(), F.col("label").desc()))))
+    fold = (F.col("n") / F.col("m")) / (F.col("k") / F.col("total"))
+    return tests.where(F.col("q") <= rate).select("f", "label", "n", "m", "k", "total", fold.alias("fold"), "log10_p", "q")
+
+
 def mutations(rows: DataFrame, weights: np.ndarray, length: int = 200) -> DataFrame:
     """(seq_key, label, pos, base, delta): change of the summed responses for every place and letter.
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -51,6 +53,13 @@ def dense_rows(batch: pa.RecordBatch) -> np.ndarray:
     return out
 
 
+def vocabulary(spark: SparkSession) -> DataFrame:
+    """(i, name) of the numbers of the vector: the block, and the word, slice and word, window or letter."""
+    word = lambda k: ["".join(w) for w in product("ACGT", repeat=k)]
+    names = [*(f"word5:{w}" for w in word(5)), *(f"slice{j}:{w}" for j in range(10) for w in word(4)), *(f"gc:{j}" for j in range(10)), *(f"word2:{w}" for w in word(2)), *(f"run:{b}" for b in "ACGT")]
+    return spark.createDataFrame(list(enumerate(names)), "i int, name string")
+
+
 def fit(rows: DataFrame, components: int = COMPONENTS, passes: int = PASSES) -> C.Components | None:
     """Mean, deviation and leading right singular vectors over all rows (x)."""
     return C.fit(rows.select("x"), dense_rows, components, passes, ddof=0, least=1e-8)

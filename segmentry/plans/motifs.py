@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import ctes, frame
 from ..operators import motifs as M
+from ..operators.ranges import stored
 from ..operators.sampling import per_group
 
 QUERIES: dict = {}
@@ -45,6 +46,15 @@ def motif_hypotheses(spark, sf):
     return M.hypotheses(windows(spark, sf))
 
 
+def motif_enrichment(spark, sf):
+    """Filters with the classes that hold their windows more often than chance has it, their information and consensus."""
+    w = stored(windows(spark, sf), "windows")
+    pwm = M.weight_matrices(w)
+    found = M.enrichment(w, frame(spark, sf, "sequences"))
+    out = found.join(M.information(pwm), "f").join(M.consensus(pwm), "f")
+    return out.select("f", "label", "n", "m", "k", "total", F.round("fold", 6).alias("fold"), F.round("log10_p", 6).alias("log10_p"), F.round("q", 9).alias("q"), F.round("bits", 6).alias("bits"), "consensus")
+
+
 def sampled(spark, sf):
     """A seeded sample of each class: the scan is 800 mutants a row, and a sample is what it is for."""
     fine = frame(spark, sf, "sequences").where("not seq rlike '[^ACGT]'")
@@ -74,5 +84,5 @@ SQL["class_consensus"] = ctes(("sequences",)) + """select label, string_agg(case
   select label, off, base, p, row_number() over (partition by label, off order by p desc, base) as rk from (select label, off, base, round(count(*)/sum(count(*)) over (partition by label, off),9) as p from (
     select label, off, substr(seq, off+1, 1) as base from (select label, seq, unnest(range(0,length(seq))) as off from sequences)) where base in ('A','C','G','T') group by label, off, base)) where rk=1 group by label"""
 
-for _q in (motif_windows, motif_matrices, motif_information, motif_classes, motif_hypotheses, mutation_effects, mutation_profile, class_consensus):
+for _q in (motif_windows, motif_matrices, motif_information, motif_classes, motif_hypotheses, motif_enrichment, mutation_effects, mutation_profile, class_consensus):
     QUERIES[_q.__name__] = _q

@@ -1,8 +1,12 @@
-"""Parquet tables of the corpus, of features and of selections, and small JSON manifests."""
+"""Parquet tables of the corpus, of features and of selections, aligned line files, and small JSON manifests."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import ranges as R
+from .text import read_lines
 
 
 def write_corpus(rows: DataFrame, path: str) -> None:
@@ -16,8 +20,85 @@ def read_corpus(spark: SparkSession, path: str, split: str | None = None, column
     return rows.select(*columns) if columns else rows
 
 
-def write_features(rows: DataFrame, path: str) -> None:
-    rows.write.parquet(path)
+#: Features of a block: a reader of a few features reads their blocks only.
+BLOCK = 256
+
+
+def write_features(rows: DataFrame, names: DataFrame, path: str, key: str, block: int = BLOCK) -> None:
+    """Sparse rows (key, x: array of (i, v)) with their vocabulary (i, name).
+
+    `rows` holds the keys, `vectors` a row for each key and block of the vocabulary with entries there,
+    compressed to arrays of places and values, a folder a block; `vocabulary` has, for each feature, its
+    block and its number of entries, sum, sum of squares, least and greatest value. Entries are to have
+    places of the vocabulary, each once a row; null rows are as empty ones.
+    """
+    rows.select(key).write.parquet(f"{path}/rows")
+    place = lambda e: F.floor(e["i"] / block).cast("int")
+    x = F.array_sort(F.coalesce("x", F.expr("filter(x, e -> false)")))
+    blocks = F.explode(F.array_distinct(F.transform(x, place))).alias("block")
+    parted = rows.where("size(x) > 0").select(key, x.alias("x"), blocks)
+    parted = parted.withColumn("x", F.filter("x", lambda e: place(e) == F.col("block")))
+    parted.select(key, "block", F.col("x.i").alias("places"), F.col("x.v").alias("numbers")).repartition("block", key).write.partitionBy("block").parquet(f"{path}/vectors")
+    entries = rows.select(F.explode("x").alias("e")).select("e.*")
+    sums = entries.groupBy("i").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("squares"), F.min("v").alias("least"), F.max("v").alias("most"))
+    told = names.select("i", "name", F.floor(F.col("i") / block).cast("int").alias("block")).join(sums, "i", "left").fillna(0, ["n", "total", "squares"])
+    told.write.parquet(f"{path}/vocabulary")
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/vocabulary")
+
+
+def read_features(spark: SparkSession, path: str, key: str, chosen: Column | str | None = None) -> DataFrame:
+    """(key, x) of every row, with the entries of the features whose vocabulary row is `chosen`.
+
+    Only folders of blocks with such a feature are read; rows without entries have an empty x.
+    """
+    keys, names = spark.read.parquet(f"{path}/rows"), read_vocabulary(spark, path)
+    names = names if chosen is None else names.where(chosen)
+    # One array of places a block, of at most so many as a block has.
+    wanted = names.groupBy("block").agg(F.collect_set("i").alias("wanted"))
+    # Of the vocabulary, folders of blocks that have entries.
+    blocks = [r["block"] for r in names.where("n > 0").select("block").distinct().collect()]
+    kind = "array<struct<i: int, v: double>>"
+    if not blocks:
+        return keys.select(key, F.expr(f"cast(array() as {kind})").alias("x"))
+    vectors = spark.read.parquet(f"{path}/vectors").where(F.col("block").isin(blocks))
+    x = F.zip_with("places", "numbers", lambda i, v: F.struct(i.cast("int").alias("i"), v.alias("v")))
+    met = vectors.join(wanted, "block").select(key, F.filter(x, lambda e: F.array_contains("wanted", e["i"])).alias("x"))
+    rows = met.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("x"))
+    return keys.join(rows, key, "left").select(key, F.coalesce("x", F.expr(f"cast(array() as {kind})")).alias("x"))
+
+
+def write_aligned(rows: DataFrame, path: str, order: str, columns: dict[str, Column], parts: int | None = None) -> None:
+    """Line files, one folder a column, of which row n of each is the same row, in the order of the unique `order`.
+
+    Rows get their range of the order in a table that all files are written from, a file for each range in
+    each folder; so a task that runs again writes the same lines. The manifest, a row for each range, comes
+    last: without it nothing was written. Values are to be single lines; null is an empty one.
+    """
+    values = rows.select(F.col(order).alias("__order"), *(c.cast("string").alias(n) for n, c in columns.items()))
+    staged = R.in_ranges(values, (), ("__order",), parts)
+    name = F.lpad(F.col(R.PART).cast("string"), 6, "0").alias("part")
+    for n in columns:
+        lines = staged.select(name, "__order", F.coalesce(n, F.lit("")).alias("value")).repartition("part").sortWithinPartitions("part", "__order")
+        lines.select("part", "value").write.partitionBy("part").text(f"{path}/{n}")
+    staged.groupBy(name).agg(F.count("*").alias("rows")).coalesce(1).write.json(f"{path}/manifest")
+
+
+def read_aligned(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """(row_id, the columns) of files by write_aligned; files that do not have the manifest's rows are an error."""
+    told = spark.read.schema("part string, rows long").json(f"{path}/manifest")
+    want = told.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    out = None
+    for n in names:
+        lines = read_lines(spark, f"{path}/{n}").withColumnRenamed("value", n) if want else spark.createDataFrame([], f"row_id long, {n} string")
+        out = lines if out is None else out.join(lines, "row_id", "full")
+    gone = [F.count_if(F.col(n).isNull()) for n in names]
+    checks = out.agg(F.count("*"), *gone).first()
+    if checks[0] != want or any(checks[1:]):
+        raise ValueError(f"{path}: line files do not have the {want} rows of the manifest")
+    return out
 
 
 def write_selection(keys: DataFrame, path: str) -> None:
