@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..fixtures import ctes, frame
 from ..functions import sequence as S
 from ..operators import kmers as K
+from ..operators import profiles as P
 from ..operators import raw as R
 from ..operators.ranges import stored
 from ..schema import MOTIFS, OVERLAPPING, PAIRS, REPEATS
@@ -242,3 +243,38 @@ def word_entropy(spark, sf):
     each = K.frequencies(rows, ["label"], "seq", 3).groupBy("label").agg(F.sum(-F.col("freq") * F.log2("freq")).alias("h"))
     held = rows.where(F.size(S.known_kmers(F.upper("seq"), 3)) > 0).groupBy("label").agg(F.count("*").alias("n"))
     return held.join(each, "label").select("label", "n", F.round(F.col("h") / F.col("n"), 6).alias("entropy"))
+
+
+PATTERNS = "+".join(matched_sql(p) for p in REPEATS)
+PAIR_SHARES = ", ".join(f"round(coalesce(max(n) filter (kmer='{p}')/sum(n),0),9) as dinuc_{p}" for p in P.PAIRS)
+
+
+@query("full_profile", f"""select seq_key, round({n('GC')}/length(seq),9) as gc_content, round(1-{n('GC')}/length(seq),9) as at_content, round(case when {n('C')}*{n('G')}=0 then 0 else {CG}/({n('C')}*{n('G')}/length(seq)) end,9) as cpg_ratio,
+  round(least(({PATTERNS})/length(seq),1),9) as repeat_density, {", ".join(f"coalesce(dinuc_{p},0) as dinuc_{p}" for p in P.PAIRS)}, coalesce(dinuc_CG,0) as cpg_freq,
+  (length(seq)-length(replace(seq,'AAAA','')))//4 as poly_A, (length(seq)-length(replace(seq,'TTTT','')))//4 as poly_T, {"+".join(f"(length(seq)-length(replace(seq,'{b * 4}','')))//4" for b in "ACGT")} as total_homopolymers,
+  {", ".join(f"cast(len(regexp_extract_all(seq,'{x}')) as bigint) as motif_{m}" for m, x in MOTIFS.items())}
+from sequences left join (select seq_key, {PAIR_SHARES} from ({kmer_sql(2)}) group by seq_key) using(seq_key)""")
+def full_profile(spark, sf):
+    """Every feature of a sequence from one scan, without a join or a shuffle."""
+    f = frame(spark, sf, "sequences").select("seq_key", P.full_profile(F.col("seq")).alias("f"))
+    names = [c.name for c in f.schema["f"].dataType]
+    shares = {"gc_content", "at_content", "cpg_ratio", "repeat_density", "cpg_freq"}
+    return f.select("seq_key", *((F.round(F.col(f"f.{c}"), 9) if c in shares or c.startswith("dinuc_") else F.col(f"f.{c}").cast("long")).alias(c) for c in names))
+
+
+@query("extended_label_profiles", f"""select label, n, round(max_run,6) as max_run, round(h3,6) as h3, {", ".join(f"round(motif_{m},6) as motif_{m}" for m in P.MEANS)} from (
+  select label, count(*) as n, avg(greatest(1, coalesce(list_max({RUNS}),1))) as max_run, avg(coalesce(h,0)) as h3, {", ".join(f"avg(len(regexp_extract_all(seq,'{MOTIFS[m]}'))) as motif_{m}" for m in P.MEANS)}
+  from sequences left join (select seq_key, 0-sum(n/t*log2(n/t)) as h from (select seq_key, n, sum(n) over (partition by seq_key) as t from ({kmer_sql(3)})) group by seq_key) using(seq_key) group by label)""")
+def extended_label_profiles(spark, sf):
+    """Rows and means of each label: longest run, entropy of three-letter words, motifs; of one scan with label_components."""
+    names, labels, means, _ = P.label_profiles(frame(spark, sf, "sequences"))
+    rows = [(int(c), *(int(v) if k == "n" else round(float(v), 6) for k, v in zip(names, row))) for c, row in zip(labels, means)]
+    return spark.createDataFrame(rows, "label int, " + ", ".join(f"{k} {'long' if k == 'n' else 'double'}" for k in names))
+
+
+@query("label_components", None)
+def label_components(spark, sf):
+    """Mean place of each label's rows on the leading components of three-letter words."""
+    _, labels, _, places = P.label_profiles(frame(spark, sf, "sequences"))
+    rows = [(int(c), k + 1, float(v)) for c, row in zip(labels, places) for k, v in enumerate(row)]
+    return spark.createDataFrame(rows, "label int, component int, value double")
