@@ -49,7 +49,7 @@ PIECE = 1 << 19
 #: Contexts that a task remembers as sent, 16 bytes each.
 SEEN = 500_000
 #: Columns of an anchor.
-ANCHOR = {"pos": "int64", "low": "int16", "high": "int16", "gram": "int64", "left": "int64", "right": "int64"}
+ANCHOR = {"pos": "int64", "low": "int16", "high": "int16", "gram": "int64", "left": "int64", "right": "int64", "to": "int64"}
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MASK = (1 << 64) - 1
 
@@ -89,7 +89,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def anchors(raw: bytes, length: int = LENGTH) -> dict[str, np.ndarray]:
     """Places of the anchors of all windows of a text: `pos`, the least and most bytes (`low`, `high`) that their
-    windows hold left of them, the hash of the `gram`, and hashes of the strings that reach left and right; 0: none."""
+    windows hold left of them, the hash of the `gram`, and hashes of the strings that reach left and right; 0: none.
+
+    Where a text repeats itself at once, as in a run of one letter, an anchor whose windows all equal those of the
+    anchor before is left out: another occurrence of such a window is found by the one that stays. The bytes from
+    `pos` to `to` of such windows are repeated; `to` is 0 for anchors."""
     found = [anchors_of_piece(raw, at, length) for at in range(0, max(len(raw) - length + 1, 0), PIECE)]
     return {name: np.concatenate([x[name] for x in found]) if found else np.zeros(0, dtype=np.int64) for name in ANCHOR}
 
@@ -117,6 +121,12 @@ def anchors_of_piece(raw: bytes, at: int, length: int) -> dict[str, np.ndarray]:
     place = (least[first] & bits).astype(np.int64)
     low, high = place - last, place - first
 
+    again = repeated_at_once(piece, place, low, high, grams[place], length)
+    begin, end = (place - high)[again] - np.diff(place, prepend=0)[again], (place - low)[again] + length
+    first = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]])) if len(begin) else np.zeros(0, dtype=np.int64)
+    runs = {"pos": begin[first] + at, "to": end[np.append(first[1:], len(end)) - 1] + at if len(first) else first}
+    place, low, high = place[~again], low[~again], high[~again]
+
     def hashes(begin: np.ndarray, end: np.ndarray, there: np.ndarray, side: int) -> np.ndarray:
         out = np.zeros(len(place), dtype=np.int64)
         b, e = begin[there], end[there]
@@ -125,7 +135,21 @@ def anchors_of_piece(raw: bytes, at: int, length: int) -> dict[str, np.ndarray]:
 
     left = hashes(place - half, place + GRAM, high >= half, 1)
     right = hashes(place, place + length - half + 1, low < half, 2)
-    return {"pos": place + at, "low": low, "high": high, "gram": grams[place].view(np.int64), "left": left, "right": right}
+    out = {"pos": place + at, "low": low, "high": high, "gram": grams[place].view(np.int64), "left": left, "right": right, "to": np.zeros(len(place), dtype=np.int64)}
+    none = np.zeros(len(first), dtype=np.int64)
+    return {name: np.concatenate([out[name], runs.get(name, none)]) for name in ANCHOR}
+
+
+def repeated_at_once(piece: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, grams: np.ndarray, length: int) -> np.ndarray:
+    """Which anchors have only windows that equal those as far before them as the anchor before is."""
+    out, gap = np.zeros(len(place), dtype=bool), np.diff(place, prepend=0)
+    alike = np.flatnonzero(grams[1:] == grams[:-1]) + 1
+    for p in np.unique(gap[alike]).tolist():
+        at = alike[gap[alike] == p]
+        differ = np.concatenate([[0], np.cumsum(piece[:-p] != piece[p:])])
+        begin, end = place[at] - high[at] - p, place[at] - low[at] - p + length
+        out[at] = (begin >= 0) & (differ[end] == differ[np.maximum(begin, 0)])
+    return out
 
 
 def utf8(text: str | None) -> bytes:
@@ -331,7 +355,7 @@ def remove(length: int, passage_length: int, passage_words: int):
             for doc, text, copied, starts, ends, begins, stops in zip(*(batch[x] for x in ("doc_id", "text", "copied", "starts", "ends", "passage_starts", "passage_ends"))):
                 raw = utf8(text)
                 spans = spans_of(raw, length, copied, starts, ends)
-                passages = [(s, e) for s, e in spans_of(raw, passage_length, copied, begins, stops) if len(raw[s:e].split()) > passage_words]
+                passages = [(s, e) for s, e in spans_of(raw, passage_length, copied, begins, stops) if len(raw[s:e].split(None, passage_words)) > passage_words]
                 kept, at = [], 0
                 for s, e in spans:
                     kept.append(raw[at:s])
@@ -354,7 +378,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def covered(spark: SparkSession, rows: DataFrame, aside: DataFrame, length: int, crowded: int) -> DataFrame:
     """(key, h, starts, ends): intervals of the repeated bytes of texts that do not stand aside, overlapping as found."""
-    schema = "key string, h long, pos long, low short, high short, gram long, left long, right long"
+    schema = "key string, h long, pos long, low short, high short, gram long, left long, right long, to long"
     found, found_path = stored(spark, rows.mapInPandas(find_anchors(length), schema), "anchors")
     found = found.join(aside, ["key", "h"], "left_anti")
     sides = found.select("key", "h", F.struct("pos", "low", "high", "gram").alias("a"), F.explode(F.array("left", "right")).alias("side")).where("side <> 0")
@@ -365,9 +389,9 @@ def covered(spark: SparkSession, rows: DataFrame, aside: DataFrame, length: int,
     texts = rows.select("key", "h", "text").join(listed, ["key", "h"]).dropDuplicates(["key", "h"])
     schema = "key string, h long, pos long, gram long, cid binary, left int, context binary"
     contexts, contexts_path = stored(spark, texts.mapInPandas(cut_contexts(length), schema), "contexts")
-    drop(spark, found_path, several_path)
+    drop(spark, several_path)
 
-    paths, marks, ups = [contexts_path], [], []
+    paths, marks, ups = [found_path, contexts_path], [], []
     work = contexts.select("gram", "cid", "left", F.lit(0).alias("first"), F.lit(length - GRAM).alias("last"), "context", F.lit(1).cast("long").alias("n"))
     while True:
         counts = work.groupBy("gram", "cid").count().groupBy("gram").count()
@@ -391,7 +415,9 @@ def covered(spark: SparkSession, rows: DataFrame, aside: DataFrame, length: int,
     for mark, up in zip(marks[-2::-1], ups[::-1]):
         every = mark.union(every.join(up, ["gram", "cid"]).select("up_gram", "up_cid", "low", "high"))
     placed = contexts.select("key", "h", "pos", "gram", "cid").join(every, ["gram", "cid"])
-    spans = placed.groupBy("key", "h").agg(F.collect_list(F.struct((F.col("pos") - F.col("high")).alias("s"), (F.col("pos") + length - F.col("low")).alias("e"))).alias("x"))
+    each = placed.select("key", "h", (F.col("pos") - F.col("high")).alias("s"), (F.col("pos") + length - F.col("low")).alias("e"))
+    each = each.union(found.where("to > 0").select("key", "h", "pos", "to"))
+    spans = each.groupBy("key", "h").agg(F.collect_list(F.struct("s", "e")).alias("x"))
     out, _ = stored(spark, spans.select("key", "h", F.col("x.s").alias("starts"), F.col("x.e").alias("ends")), "spans")
     drop(spark, *paths)
     return out

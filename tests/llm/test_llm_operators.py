@@ -382,16 +382,18 @@ def test_repeats_equal_brute_force():
                 text += part[a : rng.randint(a, len(part))] + "".join(rng.choice("xyz") for _ in range(rng.choice([0, 0, 200])))
             texts.append(text)
         texts += ["a" * 900, "ab" * 600, texts[0]] if trial % 4 == 0 else []
-        groups = {}
+        groups, cover = {}, [[] for _ in texts]
         found = [[dict(zip(x, row)) for row in zip(*(v.tolist() for v in x.values()))] for x in (repeats.anchors(t.encode()) for t in texts)]
         sides = Counter(x[side] for places in found for x in places for side in ("left", "right") if x[side])
         for d, (raw, places) in enumerate(zip((t.encode() for t in texts), found)):
-            assert sum(x["high"] - x["low"] + 1 for x in places) == max(0, len(raw) - 399)
+            runs, places = [x for x in places if x["to"]], [x for x in places if not x["to"]]
+            windows = sum(x["high"] - x["low"] + 1 for x in places)
+            assert windows == max(0, len(raw) - 399) if not runs else windows < len(raw) - 399
+            cover[d] += [(x["pos"], x["to"]) for x in runs]
             for x in places:
                 if sides[x["left"]] > 1 or sides[x["right"]] > 1:
                     context = raw[x["pos"] - x["high"] : x["pos"] - x["low"] + repeats.LENGTH]
                     groups.setdefault(x["gram"], {}).setdefault((x["high"], context), []).append((d, x["pos"]))
-        cover = [[] for _ in texts]
         for held in groups.values():
             keys = list(held)
             for key, mark in zip(keys, repeats.intervals([c for _, c in keys], [x for x, _ in keys], [len(held[k]) for k in keys])):
@@ -433,6 +435,46 @@ def test_repeats_of_a_table_equal_brute_force(spark, crowded):
         assert r["n_passage_bytes"] == sum(e - s for s, e in runs if len(raw[s:e].split()) > 50)
 
 
+def periodic(seed):
+    """Runs of all kinds of periods, with and without changes in them, alone and beside other letters, and single windows of them elsewhere."""
+    rng = random.Random(seed)
+    texts = ["a" * 3000, "a" * 400, "x" + "a" * 400 + "y", "a" * 399, "b" * 500 + "c" + "b" * 500, "".join(rng.choice("uvw") for _ in range(500))]
+    for p in (2, 3, 7, 50, 99, 101, 200, 336, 337, 338, 400):
+        unit = "".join(rng.choice("abc") for _ in range(p))
+        run = unit * (1200 // p + 2)
+        texts.append("".join(rng.choice("uvw") for _ in range(rng.choice([0, 50, 450]))) + run + "".join(rng.choice("uvw") for _ in range(rng.choice([0, 30]))))
+        at = rng.randrange(p)
+        texts.append("z" * rng.choice([0, 3, 70]) + run[at : at + 400] + "q")
+        broken = list(run)
+        broken[rng.randrange(len(run))] = "X"
+        texts.append("".join(broken))
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize(("seed", "piece"), [(1, None), (2, 700)])
+def test_periodic_texts_equal_brute_force(spark, monkeypatch, seed, piece):
+    texts = periodic(seed)
+    raws = [t.encode() for t in texts]
+    if piece:
+        monkeypatch.setattr(repeats, "PIECE", piece)
+        kept = sum((repeats.anchors(r)["to"] == 0).sum() for r in raws)
+        assert kept < sum(map(len, raws)) / 20
+    got = {r["doc_id"]: r for r in repeats.repeats(spark, docs_of(spark, list(enumerate(texts)))).collect()}
+    for i, (raw, hit) in enumerate(zip(raws, marked_bytes(raws, 400))):
+        kept = bytes(b for b, x in zip(raw, hit) if not x)
+        assert (got[i]["kept_sha256"], got[i]["n_removed"]) == (hashlib.sha256(kept).hexdigest(), sum(hit))
+
+
+def test_a_long_run_has_few_anchors(spark):
+    raw = b"a" * 20_000_000
+    found = repeats.anchors(raw)
+    assert len(found["pos"]) < 200 and (found["to"] > 0).sum() >= 1
+    docs = docs_of(spark, [(1, raw.decode()), (2, "x" + "a" * 400)])
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in repeats.repeats(spark, docs).collect()}
+    assert got == {1: (20_000_000, 1), 2: (400, 1)}
+
+
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
