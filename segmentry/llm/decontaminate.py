@@ -286,6 +286,7 @@ def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hit words and items of every document, by all benchmark items. Edges as in `with_hits`."""
     found = with_hits(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("hits.item_ids", lambda i: i.cast("string"))), ",")
     found = found.select("doc_id", "hits.n_words", n_hit().alias("n_hit"), F.size("hits.item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"))

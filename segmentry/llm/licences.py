@@ -225,6 +225,7 @@ def scan(spark: SparkSession, docs: DataFrame, texts: dict[str, str] | None = No
 
 
 def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences of every document, with where they stand. Edges as in `scan`."""
     found = scan(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
     shown = F.transform("licences", lambda p: F.concat_ws(":", p["licence"], p["start"].cast("string"), p["end"].cast("string")))
     return found.select(

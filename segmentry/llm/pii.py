@@ -233,6 +233,7 @@ def place(kind: Column, x: Column) -> Column:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and list of the spans of personal data in every document. Edges as in `find`."""
     found = find(spark, table(spark, sf_dir, "documents"))
     listed = F.concat(*(each(F.col(k), place, k) for k in KINDS))
     more = [each(F.expr(f"filter(context, c -> c.kind = '{k}')"), place, f"ctx_{k}") for k in FOUND_KINDS]

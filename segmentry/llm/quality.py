@@ -155,6 +155,7 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document. Edges as in `scored`."""
     return scored(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 

@@ -135,5 +135,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, heavy: int = HEAVY) ->
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Edges as in `near_duplicates`."""
     found = near_duplicates(spark, table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

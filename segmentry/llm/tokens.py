@@ -279,4 +279,5 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document in the token files. Edges as in `token_files`."""
     return token_files(spark, table(spark, sf_dir, "documents"), sf_dir)

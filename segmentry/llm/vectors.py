@@ -218,6 +218,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, limit: float = LIMI
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector. Edges as in `near_duplicates`."""
     found = near_duplicates(spark, table(spark, sf_dir, "embeddings"))
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 

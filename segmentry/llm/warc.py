@@ -54,7 +54,8 @@ def write_archives(spark: SparkSession, pages: DataFrame, uri: str, least_bytes:
 
     Of equal payloads of at least least_bytes the largest page_id is written whole and the
     others refer to it. A null html is an empty payload, a null url an empty one; rows that
-    repeat the largest page_id are all whole, and without any page_id so are all.
+    repeat the largest page_id are all whole, and without any page_id so are all. Without pages
+    the archives hold no record.
     """
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", "").alias("url"), payload.alias("payload"))
@@ -172,7 +173,8 @@ def read_archives(spark: SparkSession, uri: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each response and revisit in the archives.
 
     Digests of responses are computed from what was read; those of revisits, whose payload
-    is elsewhere, are the ones they state, as their sizes are.
+    is elsewhere, are the ones they state, as their sizes are. Archives without records, or no
+    archives, give no rows.
     """
     found = candidates(spark, uri)
     chain = reachable(spark, found.select("file", "offset", "next"))
@@ -194,6 +196,7 @@ def read_archives(spark: SparkSession, uri: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back of the record of every page. Edges as in `write_archives` and `read_archives`."""
     uri = scratch(spark, "warc")
     write_archives(spark, table(spark, sf_dir, "pages"), uri)
     return read_archives(spark, uri)
