@@ -21,6 +21,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +30,8 @@ from .common import components, drop, stored, table
 
 LIMIT = 0.95
 PREFIX, SHARED = 8, 2
-#: Pivots for the square root of the number of vectors; most pivots of all lengths (34 MB at 64 components); cosine of two at most.
-PER_ROOT, MOST_PIVOTS, SEPARATION = 8, 1 << 17, 0.9
+#: Pivots for the square root of the number of vectors; most pivots of all lengths, and most bytes of them; cosine of two at most.
+PER_ROOT, MOST_PIVOTS, PIVOT_BYTES, SEPARATION = 8, 1 << 17, 1 << 26, 0.9
 BLOCK = 1024
 STEPS = 32767
 
@@ -63,24 +64,30 @@ def thinned(x: np.ndarray, most: int, separation: float = SEPARATION) -> np.ndar
 
 
 def pivots_of(classes: DataFrame, seed: int) -> dict[int, np.ndarray]:
-    """Pivots by length, for lengths of over a block of vectors while MOST_PIVOTS lasts; the longest lists come first."""
+    """Pivots by length, for lengths of over a block of vectors while MOST_PIVOTS and PIVOT_BYTES last; the longest lists come first.
+
+    Vectors of other lengths are in one list of their length, whose blocks are all compared.
+    """
     widths = classes.groupBy(F.size("v").alias("width")).count().where(F.col("count") > BLOCK)
-    wanted, left = {}, MOST_PIVOTS
+    wanted, left, room = {}, MOST_PIVOTS, PIVOT_BYTES
     for r in widths.orderBy(F.desc("count"), "width").limit(MOST_PIVOTS // (PER_ROOT * 32)).collect():
-        n = min(left, int(PER_ROOT * math.sqrt(r["count"])))
+        n = min(left, int(PER_ROOT * math.sqrt(r["count"])), room // (4 * r["width"]))
         if n:
             wanted[r["width"]] = (n, min(1.0, 1.5 * n / r["count"]))
-        left -= n
+        left, room = left - n, room - 4 * n * r["width"]
     out = {}
     if wanted:
         parts = classes.sparkSession.createDataFrame([(w, p) for w, (_, p) in wanted.items()], "width int, part double")
         place = F.xxhash64(F.lit(seed), "v")
         drawn = F.shiftrightunsigned(place, 11).cast("double") / float(1 << 53) < F.col("part")
         sample = classes.withColumn("width", F.size("v")).join(F.broadcast(parts), "width").where(drawn).select("width", "v", place.alias("place"))
-        rows: dict[int, list] = {}
-        for r in sorted(sample.collect(), key=lambda r: r["place"]):
-            rows.setdefault(r["width"], []).append(r["v"])
-        out = {w: thinned(unit(np.array(v, dtype=np.float64)), wanted[w][0]) for w, v in rows.items()}
+        # About one and a half times the pivots, as arrays.
+        held = sample.toArrow().combine_chunks()
+        for w, (n, _) in wanted.items():
+            own = held.filter(pc.equal(held["width"], w)).sort_by("place")
+            v = own["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, w)
+            if len(v):
+                out[w] = thinned(unit(v), n)
     return out
 
 
