@@ -48,6 +48,8 @@ CROWDED = 2048
 PIECE = 1 << 19
 #: Contexts that a task remembers as sent, 16 bytes each.
 SEEN = 500_000
+#: Keys of texts that stand aside that are broadcast at most, about 25 MB.
+FEW = 1 << 18
 #: Columns of an anchor.
 ANCHOR = {"pos": "int64", "low": "int16", "high": "int16", "gram": "int64", "left": "int64", "right": "int64", "to": "int64"}
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -381,6 +383,7 @@ def covered(spark: SparkSession, rows: DataFrame, aside: DataFrame, length: int,
     schema = "key string, h long, pos long, low short, high short, gram long, left long, right long, to long"
     found, found_path = stored(spark, rows.mapInPandas(find_anchors(length), schema), "anchors")
     found = found.join(aside, ["key", "h"], "left_anti")
+    runs, runs_path = stored(spark, found.where("to > 0").select("key", "h", "pos", "to"), "runs")
     sides = found.select("key", "h", F.struct("pos", "low", "high", "gram").alias("a"), F.explode(F.array("left", "right")).alias("side")).where("side <> 0")
     # As a table, the counted strings join in a way that Spark can split where one string is very frequent.
     several, several_path = stored(spark, sides.groupBy("side").count().where("count > 1").select("side"), "several")
@@ -389,9 +392,9 @@ def covered(spark: SparkSession, rows: DataFrame, aside: DataFrame, length: int,
     texts = rows.select("key", "h", "text").join(listed, ["key", "h"]).dropDuplicates(["key", "h"])
     schema = "key string, h long, pos long, gram long, cid binary, left int, context binary"
     contexts, contexts_path = stored(spark, texts.mapInPandas(cut_contexts(length), schema), "contexts")
-    drop(spark, several_path)
+    drop(spark, found_path, several_path)
 
-    paths, marks, ups = [found_path, contexts_path], [], []
+    paths, marks, ups = [runs_path, contexts_path], [], []
     work = contexts.select("gram", "cid", "left", F.lit(0).alias("first"), F.lit(length - GRAM).alias("last"), "context", F.lit(1).cast("long").alias("n"))
     while True:
         counts = work.groupBy("gram", "cid").count().groupBy("gram").count()
@@ -416,7 +419,7 @@ def covered(spark: SparkSession, rows: DataFrame, aside: DataFrame, length: int,
         every = mark.union(every.join(up, ["gram", "cid"]).select("up_gram", "up_cid", "low", "high"))
     placed = contexts.select("key", "h", "pos", "gram", "cid").join(every, ["gram", "cid"])
     each = placed.select("key", "h", (F.col("pos") - F.col("high")).alias("s"), (F.col("pos") + length - F.col("low")).alias("e"))
-    each = each.union(found.where("to > 0").select("key", "h", "pos", "to"))
+    each = each.union(runs)
     spans = each.groupBy("key", "h").agg(F.collect_list(F.struct("s", "e")).alias("x"))
     out, _ = stored(spark, spans.select("key", "h", F.col("x.s").alias("starts"), F.col("x.e").alias("ends")), "spans")
     drop(spark, *paths)
@@ -441,6 +444,8 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, passage_
     copied = whole.join(copies.select("digest", "first"), "digest").groupBy("key", "h").agg(F.max(F.struct("key", "h") == F.col("first")).alias("first"))
     copied, copies_path = stored(spark, copied, "copies")
     aside = copied.where("not first").select("key", "h")
+    # While they are few their keys go to all tasks, so that anchors are not shuffled for them.
+    aside = F.broadcast(aside) if aside.limit(FEW + 1).count() <= FEW else aside
     spans = covered(spark, rows, aside, length, crowded)
     passages = covered(spark, rows, aside, passage_length, crowded)
     marked = spans.join(passages.withColumnsRenamed({"starts": "passage_starts", "ends": "passage_ends"}), ["key", "h"], "full")
