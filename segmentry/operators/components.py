@@ -60,10 +60,10 @@ def unpacked(raw: bytes) -> list[np.ndarray]:
     return [held[k] for k in held.files]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], dense: Dense) -> Iterator[np.ndarray]:
+def blocks(batches: Iterator[pa.RecordBatch], dense: Dense, step: int = ROWS) -> Iterator[np.ndarray]:
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            yield dense(batch.slice(at, ROWS))
+        for at in range(0, batch.num_rows, step):
+            yield dense(batch.slice(at, step))
 
 
 def together(parts: DataFrame, merge: Callable[[list[list[np.ndarray]]], list[np.ndarray]]) -> list[np.ndarray] | None:
@@ -89,12 +89,13 @@ def add_moments(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [n, mean, m2]
 
 
-def moments(rows: DataFrame, dense: Dense) -> list[np.ndarray] | None:
+def moments(rows: DataFrame, dense: Dense, step: int = ROWS) -> list[np.ndarray] | None:
     def run(batches):
         held = None
-        for x in blocks(batches, dense):
+        for x in blocks(batches, dense, step):
             mean = x.mean(axis=0)
-            part = [np.array(float(len(x))), mean, ((x - mean) ** 2).sum(axis=0)]
+            x -= mean
+            part = [np.array(float(len(x))), mean, np.einsum("ij,ij->j", x, x)]
             held = add_moments([held, part]) if held else part
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([packed(*held)], pa.binary())], ["part"])
@@ -104,36 +105,37 @@ def moments(rows: DataFrame, dense: Dense) -> list[np.ndarray] | None:
 
 def add_sketches(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     factor = np.linalg.qr(np.concatenate([p[0] for p in parts]), mode="r")
-    return [factor, sum(p[1] for p in parts), sum(p[2] for p in parts)]
+    return [factor, sum(p[1] for p in parts)]
 
 
-def sketched(rows: DataFrame, dense: Dense, mean: np.ndarray, scale: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
-    """The triangular factor of Y = A W, Y'A, and the sum of squares of A."""
+def sketched(rows: DataFrame, dense: Dense, mean: np.ndarray, scale: np.ndarray, w: np.ndarray, step: int = ROWS) -> list[np.ndarray]:
+    """The triangular factor of Y = A W, and Y'A; the deviations divide W and Y'A, not each row."""
     told = rows.sparkSession.sparkContext.broadcast((mean, scale, w))
 
     def run(batches):
         mean, scale, w = told.value
-        held = None
-        for x in blocks(batches, dense):
-            a = (x - mean) / scale
-            y = a @ w
-            part = [np.linalg.qr(y, mode="r"), y.T @ a, np.array((a**2).sum())]
+        held, scaled = None, w / scale[:, None]
+        for x in blocks(batches, dense, step):
+            x -= mean
+            y = x @ scaled
+            part = [np.linalg.qr(y, mode="r"), y.T @ x]
             held = add_sketches([held, part]) if held else part
         if held:
+            held[1] /= scale
             yield pa.RecordBatch.from_arrays([pa.array([packed(*held)], pa.binary())], ["part"])
 
     return together(rows.mapInArrow(run, "part binary"), add_sketches)
 
 
-def fit(rows: DataFrame, dense: Dense, components: int, passes: int, ddof: int = 1, least: float = 0.0, settled: float = SETTLED) -> Components | None:
+def fit(rows: DataFrame, dense: Dense, components: int, passes: int, ddof: int = 1, least: float = 0.0, settled: float = SETTLED, step: int = ROWS) -> Components | None:
     """Leading components of all rows, `dense` giving the rows of a batch as a matrix; None without rows.
 
     Columns are centred and divided by their deviation (plus `least`; constant ones by 1). At
     most `passes` passes are made; those beyond the first end when no value changes by more
-    than `settled` of it. The largest entry of a vector is positive. There are no more components than
+    than `settled` of it. `dense` gets `step` rows at a time, and its matrix is written to. The largest entry of a vector is positive. There are no more components than
     columns, or than rows; those of a value of zero are left out.
     """
-    found = moments(rows, dense)
+    found = moments(rows, dense, step)
     if found is None:
         return None
     n, mean, m2 = int(found[0]), found[1], found[2]
@@ -144,7 +146,7 @@ def fit(rows: DataFrame, dense: Dense, components: int, passes: int, ddof: int =
     w = np.eye(columns) if wide == columns else np.linalg.qr(np.random.default_rng(SEED).normal(size=(columns, wide)))[0]
     values = vectors = None
     for made in range(1, passes + 1):
-        factor, product, total = sketched(rows, dense, mean, scale, w)
+        factor, product = sketched(rows, dense, mean, scale, w, step)
         _, s, v = np.linalg.svd(factor, full_matrices=False)
         on = s > s.max(initial=0) * 1e-13
         _, new, right = np.linalg.svd((v[on] @ product) / s[on, None], full_matrices=False)
@@ -155,4 +157,4 @@ def fit(rows: DataFrame, dense: Dense, components: int, passes: int, ddof: int =
     real = values > values.max(initial=0) * 1e-12
     values, vectors = values[real][:components], vectors[real][:components]
     signs = np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(axis=1)]) if len(vectors) else np.zeros(0)
-    return Components(n, mean, scale, values, vectors * signs[:, None], float(total), made)
+    return Components(n, mean, scale, values, vectors * signs[:, None], float((m2 / scale**2).sum()), made)

@@ -121,8 +121,7 @@ def positional_kmers(spark, sf):
 @query("kmer_class_profile", f"select label, kmer, sum(n) as n, round(sum(n)/sum(sum(n)) over (partition by label),9) as freq from ({kmer_sql(3)}) k join sequences using(seq_key) group by label, kmer")
 def kmer_class_profile(spark, sf):
     """Words are counted inside rows, then by class: tasks send 18 * 64 partial sums."""
-    each = K.frequencies(frame(spark, sf, "sequences"), ["label"], "seq", 3)
-    counts = each.groupBy("label", "kmer").agg(F.sum("n").alias("n"))
+    counts = K.totals(frame(spark, sf, "sequences"), ["label"], "seq", 3)
     return counts.withColumn("freq", F.round(F.col("n") / F.sum("n").over(W.partitionBy("label")), 9))
 
 
@@ -216,11 +215,8 @@ RUN_PARTS = " union all ".join(f"select seq_key, {i} as i, cast(coalesce(list_ma
   union all select seq_key, 4, i, v from ({RUN_PARTS})) where v<>0 group by seq_key, block""")
 def raw_vector_blocks(spark, sf):
     """Of each of the five blocks of the raw vector: entries, their sum, and their sum weighted by place."""
-    each = raw_vectors(spark, sf).select("seq_key", F.explode("x").alias("e")).select("seq_key", "e.*")
-    first = F.array(*map(F.lit, R.STARTS))
-    block = F.size(F.filter(first, lambda s: s <= F.col("i"))) - 1
-    each = each.withColumn("block", block).withColumn("at", F.col("i") - F.get(first, F.col("block")) + 1)
-    return each.groupBy("seq_key", "block").agg(F.count("*").alias("nonzero"), F.round(F.sum("v"), 6).alias("total"), F.round(F.sum(F.col("v") * F.col("at")), 6).alias("placed"))
+    each = R.block_sums(frame(spark, sf, "sequences"), "seq_key", "seq")
+    return each.select("seq_key", "block", "nonzero", F.round("total", 6).alias("total"), F.round("placed", 6).alias("placed"))
 
 
 @query("raw_vectors", None)
@@ -232,17 +228,15 @@ def raw_vectors(spark, sf):
 @query("svd_projection", None)
 def svd_projection(spark, sf):
     """Standardisation and truncated decomposition fitted on all rows; every row is projected."""
-    rows = stored(raw_vectors(spark, sf), "raw")
+    rows = stored(R.blocks(frame(spark, sf, "sequences"), "seq"), "raw")
     return R.project(rows, R.fit(rows))
 
 
 @query("word_entropy", f"select label, count(*) as n, round(avg(h),6) as entropy from (select label, seq_key, 0-sum(f*log2(f)) as h from (select seq_key, n/sum(n) over (partition by seq_key) as f from ({kmer_sql(3)})) k join sequences using(seq_key) group by all) group by label")
 def word_entropy(spark, sf):
-    """Mean entropy of the three-letter words of a row by label; summed without bringing a row's words together."""
-    rows = frame(spark, sf, "sequences")
-    each = K.frequencies(rows, ["label"], "seq", 3).groupBy("label").agg(F.sum(-F.col("freq") * F.log2("freq")).alias("h"))
-    held = rows.where(F.size(S.known_kmers(F.upper("seq"), 3)) > 0).groupBy("label").agg(F.count("*").alias("n"))
-    return held.join(each, "label").select("label", "n", F.round(F.col("h") / F.col("n"), 6).alias("entropy"))
+    """Mean entropy of the three-letter words of a row by label; each row's is made where the row is read."""
+    each = K.entropies(frame(spark, sf, "sequences"), ["label"], "seq", 3)
+    return each.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("h"), 6).alias("entropy"))
 
 
 PATTERNS = "+".join(matched_sql(p) for p in REPEATS)
