@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..fixtures import ctes, frame
 from ..operators import raw
-from ..operators.ranges import stored
 from ..operators.sampling import per_group, split_of
 from ..scratch import path as scratch
 from ..sources import fasta
@@ -83,7 +82,7 @@ def saved_selection(spark, sf):
 @query("feature_store", f"select seq_key, count(*) filter (v<>0) as entries, round(coalesce(sum(v),0),6) as total, round(coalesce(sum(v*v),0),6) as squares from (select seq_key, n/sum(n) over (partition by seq_key) as v from ({kmer_sql(2)}) union all select seq_key, 0 from sequences) group by seq_key", ("sequences",))
 def feature_store(spark, sf):
     """Raw vectors are written with their vocabulary; the shares of two-letter words are read back, from their block alone."""
-    at, rows = scratch(spark, "features"), stored(features.raw_vectors(spark, sf), "raw")
+    at, rows = scratch(spark, "features"), features.raw_vectors(spark, sf)
     B.write_features(rows, raw.vocabulary(spark), at, "seq_key")
     x = B.read_features(spark, at, "seq_key", "name like 'word2:%'")
     add = lambda f: F.round(F.aggregate("x", F.lit(0.0), lambda a, e: a + f(e["v"])), 6)
@@ -93,7 +92,7 @@ def feature_store(spark, sf):
 @query("feature_vocabulary", f"""select kmer, count(*) as n, round(sum(v),6) as total, round(min(v),9) as least, round(max(v),9) as most from (select seq_key, kmer, n/sum(n) over (partition by seq_key) as v from ({kmer_sql(5)})) group by kmer""", ("sequences",))
 def feature_vocabulary(spark, sf):
     """Statistics of the vocabulary that is written with raw vectors: here of five-letter words that occur."""
-    at, rows = scratch(spark, "features"), stored(features.raw_vectors(spark, sf), "raw")
+    at, rows = scratch(spark, "features"), features.raw_vectors(spark, sf)
     B.write_features(rows, raw.vocabulary(spark), at, "seq_key")
     v = B.read_vocabulary(spark, at).where("name like 'word5:%' and n > 0")
     return v.select(F.substring_index("name", ":", -1).alias("kmer"), "n", F.round("total", 6).alias("total"), F.round("least", 9).alias("least"), F.round("most", 9).alias("most"))

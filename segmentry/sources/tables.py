@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import ranges as R
 from .text import read_lines
@@ -33,18 +39,44 @@ def write_features(rows: DataFrame, names: DataFrame, path: str, key: str, block
     places of the vocabulary, each once a row; null rows are as empty ones.
     """
     rows.select(key).write.parquet(f"{path}/rows")
-    place = lambda e: F.floor(e["i"] / block).cast("int")
-    x = F.array_sort(F.coalesce("x", F.expr("filter(x, e -> false)")))
-    blocks = F.explode(F.array_distinct(F.transform(x, place))).alias("block")
-    parted = rows.where("size(x) > 0").select(key, x.alias("x"), blocks)
-    parted = parted.withColumn("x", F.filter("x", lambda e: place(e) == F.col("block")))
-    parted.select(key, "block", F.col("x.i").alias("places"), F.col("x.v").alias("numbers")).repartition("block", key).write.partitionBy("block").parquet(f"{path}/vectors")
-    entries = rows.select(F.explode("x").alias("e")).select("e.*")
-    sums = entries.groupBy("i").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("squares"), F.min("v").alias("least"), F.max("v").alias("most"))
+    kind = T.StructType([rows.schema[key]]).add("block", T.IntegerType()).add("places", T.ArrayType(T.IntegerType())).add("numbers", T.ArrayType(T.DoubleType()))
+
+    def parted(batches):
+        for batch in batches:
+            for row, i, v in entries(batch):
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (i[1:] // block != i[:-1] // block)]))
+                ends = pa.array(np.append(first, len(row)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (i, v)]
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row[first])), pa.array(i[first] // block), *lists], kind.fieldNames())
+
+    rows.select(key, "x").mapInArrow(parted, kind).write.partitionBy("block").parquet(f"{path}/vectors")
+
+    vectors = rows.sparkSession.read.schema(kind).parquet(f"{path}/vectors")
+    each = vectors.select(F.explode(F.arrays_zip("places", "numbers")).alias("e")).select(F.col("e.places").alias("i"), F.col("e.numbers").alias("v"))
+    sums = each.groupBy("i").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("squares"), F.min("v").alias("least"), F.max("v").alias("most"))
     told = names.select("i", "name", F.floor(F.col("i") / block).cast("int").alias("block")).join(sums, "i", "left").fillna(0, ["n", "total", "squares"])
     told.write.parquet(f"{path}/vocabulary")
 
 
+#: Rows whose entries are sorted at once.
+ROWS = 4096
+
+
+def entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, i, v) of the entries of ROWS rows of a batch, by row and place; rows without any are left out."""
+    for at in range(0, batch.num_rows, ROWS):
+        column = batch.column("x").slice(at, ROWS)
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        held = column.flatten()
+        row = at + np.repeat(np.arange(len(sizes)), sizes)
+        i, v = (held.field(c).to_numpy(zero_copy_only=False) for c in "iv")
+        if np.any((row[1:] == row[:-1]) & (i[1:] < i[:-1])):
+            order = np.lexsort((i, row))
+            row, i, v = row[order], i[order], v[order]
+        if len(row):
+            yield row, i, v
+
+
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/vocabulary")
 
@@ -66,7 +98,7 @@ def read_features(spark: SparkSession, path: str, key: str, chosen: Column | str
     vectors = spark.read.parquet(f"{path}/vectors").where(F.col("block").isin(blocks))
     x = F.zip_with("places", "numbers", lambda i, v: F.struct(i.cast("int").alias("i"), v.alias("v")))
     met = vectors.join(wanted, "block").select(key, F.filter(x, lambda e: F.array_contains("wanted", e["i"])).alias("x"))
-    rows = met.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("x"))
+    rows = met.groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("x"))).alias("x"))
     return keys.join(rows, key, "left").select(key, F.coalesce("x", F.expr(f"cast(array() as {kind})")).alias("x"))
 
 
