@@ -6,14 +6,13 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import letters as L
 from ..functions import sequence as S
 from ..schema import MOTIFS
 from . import components as C
-from .raw import words
 
 #: Letters of the words whose entropy and components a label profile has; motifs of which it has means; components.
 WORD, MEANS, COMPONENTS = 3, ("TATA_box", "GC_box", "AP1", "ETS", "CpG_dense", "CTCF_core"), 6
@@ -26,25 +25,19 @@ def full_profile(s: Column) -> Column:
     A sequence without known letters has no pairs, runs or motifs, all 0. A null sequence gives null.
     """
 
-    def made(s: Column) -> Column:
-        pairs = F.map_from_entries(words(s, 2, 0))
-        gc = S.gc_fraction(s)
-        shares = [F.coalesce(F.get(F.map_values(F.map_filter(pairs, lambda k, _: k == i)), F.lit(0)), F.lit(0.0)).alias(f"dinuc_{p}") for i, p in enumerate(PAIRS)]
-        cpg = F.coalesce(F.element_at(pairs, F.lit(PAIRS.index("CG"))), F.lit(0.0))
-        poly = {b: S.homopolymers(s, b) for b in "ACGT"}
-        counts = [S.motif_count(s, m).alias(f"motif_{m}") for m in MOTIFS]
-        total = poly["A"] + poly["C"] + poly["G"] + poly["T"]
-        return F.struct(
-            gc.alias("gc_content"), S.cpg_ratio(s).alias("cpg_ratio"), S.repeats_by_patterns(s).alias("repeat_density"), (1 - gc).alias("at_content"), *shares, cpg.alias("cpg_freq"),
-            poly["A"].alias("poly_A"), poly["T"].alias("poly_T"), total.alias("total_homopolymers"), *counts,
-        )
-
-    return F.when(s.isNotNull(), F.get(F.transform(F.array(s), made), F.lit(0)))
-
-
-def word_entropy(entries: Column) -> Column:
-    """Bits of the shares of sparse entries."""
-    return F.aggregate(entries, F.lit(0.0), lambda h, e: h - e["v"] * F.log2(e["v"]))
+    pairs = L.shares(s, 2)
+    found = F.map_from_entries(pairs)
+    gc = S.gc_fraction(s)
+    shares = [F.coalesce(F.try_element_at(found, F.lit(i)), F.lit(0.0)).alias(f"dinuc_{p}") for i, p in enumerate(PAIRS)]
+    cpg = F.coalesce(F.try_element_at(found, F.lit(PAIRS.index("CG"))), F.lit(0.0))
+    poly = {b: S.homopolymers(s, b) for b in "ACGT"}
+    counts = [S.motif_count(s, m).alias(f"motif_{m}") for m in MOTIFS]
+    total = poly["A"] + poly["C"] + poly["G"] + poly["T"]
+    made = F.struct(
+        gc.alias("gc_content"), S.cpg_ratio(s).alias("cpg_ratio"), S.repeats_by_patterns(s).alias("repeat_density"), (1 - gc).alias("at_content"), *shares, cpg.alias("cpg_freq"),
+        poly["A"].alias("poly_A"), poly["T"].alias("poly_T"), total.alias("total_homopolymers"), *counts,
+    )
+    return F.when(s.isNotNull(), made)
 
 
 NAMES = ("n", "max_run", "h3", *(f"motif_{m}" for m in MEANS))
@@ -66,23 +59,25 @@ def label_profiles(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray,
     tree. Rows without a label or sequence are left out; no rows give no labels.
     """
     s, size = F.col("seq"), 4**WORD
-    ready = rows.where("label is not null and seq is not null").select("label", s, words(s, WORD, 0).alias("x"))
-    # Numbers of a row are made where it is read; the words are bound once.
-    ready = ready.select("label", F.array(F.lit(1.0), S.longest_run(s).cast("double"), word_entropy(F.col("x")), *(S.motif_count(s, m).cast("double") for m in MEANS)).alias("numbers"), "x")
+    ready = rows.where("label is not null and seq is not null").select("label", s, F.array(*(S.motif_count(s, m).cast("double") for m in MEANS)).alias("motifs"))
 
     def run(batches):
         held = None
         for batch in batches:
-            for at in range(0, batch.num_rows, C.ROWS):
-                part = batch.slice(at, C.ROWS)
-                n, column = part.num_rows, part.column("x")
-                sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
-                entries, dense = column.flatten(), np.zeros((n, size))
-                dense[np.repeat(np.arange(n), sizes), entries.field("i").to_numpy(zero_copy_only=False)] = entries.field("v").to_numpy(zero_copy_only=False)
-                numbers = part.column("numbers").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            for first, last in L.pieces(batch.column("seq")):
+                part, n = batch.slice(first, last - first), last - first
+                code, at = L.codes(part.column("seq"))
+                row, word, count, total = L.counted(code, at, WORD)
+                dense, share = np.zeros((n, size)), count / total
+                dense[row, word] = share
+                h = np.bincount(row, -share * np.log2(share), minlength=n)
+                most = L.longest(code, L.parts(at), n).max(axis=1, initial=1)
+                motifs = part.column("motifs").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+                numbers = np.column_stack([np.ones(n), most, h, motifs, dense])
                 labels, place = np.unique(part.column("label").to_numpy(zero_copy_only=False).astype(np.int64), return_inverse=True)
-                sums = np.zeros((len(labels), numbers.shape[1] + size))
-                np.add.at(sums, place, np.concatenate([numbers, dense], axis=1))
+                # Rows of a label lie together, so that its sum is one slice.
+                order = np.argsort(place, kind="stable")
+                sums = np.add.reduceat(numbers[order], np.searchsorted(place[order], np.arange(len(labels))), axis=0)
                 new = [labels, sums, dense.T @ dense]
                 held = add([held, new]) if held else new
         if held:
