@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import letters as L
 from ..schema import MOTIFS, OVERLAPPING, PAIRS, REPEATS
 
 BASES = "ACGT"
@@ -105,9 +106,24 @@ def repeats_of_pairs(s: Column) -> Column:
 
 def engineered(s: Column) -> Column:
     """(gc, cpg, entropy, longest run, repeats) of the upper-cased sequence; fixed values without known letters."""
-    u = F.upper(s)
-    fine = F.array(gc_of_known(u), cpg_of_pairs(u), entropy_of_known(u), longest_run(u).cast("double"), repeats_in_runs(u))
-    return F.when(known(u) > 0, fine).otherwise(F.array(*map(F.lit, (0.5, 1.0, 2.0, 1.0, 0.0))))
+    m = L.measures(F.upper(s))
+    n = m["a"] + m["c"] + m["g"] + m["t"]
+    expected = (n - 1) * share(m["c"], n) * share(m["g"], n)
+    fine = F.array(share(m["g"] + m["c"], n), m["cg"] / F.greatest(expected, F.lit(1e-8)), entropy_of(m, n), m["longest"].cast("double"), share(m["in_runs"], m["n"]))
+    return F.when(n > 0, fine).otherwise(F.array(*map(F.lit, (0.5, 1.0, 2.0, 1.0, 0.0))))
+
+
+def entropy_of(m: Column, total: Column) -> Column:
+    """Shannon entropy of the four letters from their counts."""
+    return -sum((p * F.log2(F.when(p > 0, p).otherwise(1.0)) for p in (share(m[b], total) for b in "acgt")), F.lit(0.0))
+
+
+def stable_features(s: Column) -> tuple[Column, ...]:
+    """gc_fraction, its rest, cpg_ratio, cpg_frequency, repeats_of_pairs and entropy_of_known, from counts made once."""
+    m = L.measures(s)
+    gc, n = share(m["g"] + m["c"], m["n"]), m["a"] + m["c"] + m["g"] + m["t"]
+    cpg = share(m["cg"], share(m["c"] * m["g"], m["n"]))
+    return gc, 1 - gc, cpg, share(m["cg"], m["n"] - 1), F.least(share(m["in_pairs"], m["n"]), F.lit(1.0)), entropy_of(m, n)
 
 
 def homopolymers(s: Column, base: str, n: int = 4) -> Column:

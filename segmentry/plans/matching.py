@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..fixtures import ctes, frame
 from ..functions import sequence as S
 from ..operators import matching as M
+from ..operators.ranges import stored
 from ..schema import PAIRS, PROTOTYPES, SAFE
 from .features import CG, KNOWN, entropy_sql, matched_sql, n
 
@@ -39,15 +40,13 @@ def query(name: str, body: str | None, steps=ALL, views=("sequences", "prototype
 
 
 def feats(spark, sf):
-    s = F.col("seq")
-    gc = S.gc_fraction(s)
-    cols = (gc, 1 - gc, S.cpg_ratio(s), S.cpg_frequency(s), S.repeats_of_pairs(s), S.entropy_of_known(s))
+    cols = S.stable_features(F.col("seq"))
     return frame(spark, sf, "sequences").select("seq_key", "label", "eid", "seq", *(c.alias(f) for c, f in zip(cols, SAFE)))
 
 
 def profiles(spark, sf, *by):
-    """(by, feature, value): one aggregation of all features, then long form over its few rows."""
-    means = feats(spark, sf).groupBy(*by, "label").agg(*(F.avg(f).alias(f) for f in SAFE))
+    """(by, feature, value): one aggregation of all features, stored as it is read several times, then long form over its few rows."""
+    means = stored(feats(spark, sf).groupBy(*by, "label").agg(*(F.avg(f).alias(f) for f in SAFE)), "profiles")
     return means.unpivot([*by, "label"], list(SAFE), "feature", "value")
 
 
@@ -55,8 +54,8 @@ def states(spark, sf):
     return frame(spark, sf, "prototypes")
 
 
-def sims(spark, sf):
-    return M.similarity(profiles(spark, sf), states(spark, sf))
+def sims(spark, sf, found=None):
+    return M.similarity(profiles(spark, sf) if found is None else found, states(spark, sf))
 
 
 @query("label_profiles", "select label, feature, round(value,9) as value from prof", ("feats", "prof"))
@@ -118,7 +117,8 @@ def threshold_states(spark, sf):
 
 @query("extremes", "select 'highest_cpg' as extreme, label, state from best where place=1 and label=(select max_by(label,(round(cpg_ratio,9),-label)) from wide) union all select 'lowest_gc', label, state from best where place=1 and label=(select min_by(label,(round(gc_content,9),label)) from wide) union all select 'highest_repeats', label, state from best where place=1 and label=(select max_by(label,(round(repeat_density,9),-label)) from wide)")
 def extremes(spark, sf):
-    w = M.wide(profiles(spark, sf), SAFE)
+    found = profiles(spark, sf)
+    w = M.wide(found, SAFE)
     r = lambda c: F.round(c, 9)
     ends = w.agg(
         F.array(
@@ -127,7 +127,7 @@ def extremes(spark, sf):
             F.struct(F.lit("highest_repeats").alias("extreme"), F.max_by("label", F.struct(r("repeat_density"), -F.col("label"))).alias("label")),
         ).alias("x")
     )
-    return ends.select(F.explode("x").alias("x")).select("x.*").join(M.best_states(sims(spark, sf), 1).select("label", "state"), "label").select("extreme", "label", "state")
+    return ends.select(F.explode("x").alias("x")).select("x.*").join(M.best_states(sims(spark, sf, found), 1).select("label", "state"), "label").select("extreme", "label", "state")
 
 
 @query("family_candidates", """select label, state, round(sim,6) as sim, row_number() over (partition by label order by round(sim,9) desc, state) as place from sims
@@ -154,11 +154,12 @@ def label_ranks(spark, sf):
 join (select label, case when state like 'Tss%' or state like 'ReprPC%' then 'p' when state like 'Enh%' then 'e' when state like 'Tx%' then 't' else 'o' end as fa from best where place=1) x on x.label=la join (select label, case when state like 'Tss%' or state like 'ReprPC%' then 'p' when state like 'Enh%' then 'e' when state like 'Tx%' then 't' else 'o' end as fb from best where place=1) y on y.label=lb""".replace("sum(w) as total", "round(sum(w),6) as total"))
 def family_confusion_share(spark, sf):
     """Weighted share of label pairs whose states are of one coarse family; weights are closeness in GC."""
-    gc = profiles(spark, sf).where("feature = 'gc_content'").select("label", "value")
+    found = profiles(spark, sf)
+    gc = found.where("feature = 'gc_content'").select("label", "value")
     a, b = gc.alias("a"), gc.alias("b")
     w = F.round(1 / (1 + F.abs(F.col("a.value") - F.col("b.value"))), 9)
     pairs = a.join(b, F.col("a.label") < F.col("b.label")).select(F.col("a.label").alias("la"), F.col("b.label").alias("lb"), w.alias("w"))
-    best = M.best_states(sims(spark, sf), 1).select("label", S.state_family(F.col("state")).alias("f"))
+    best = M.best_states(sims(spark, sf, found), 1).select("label", S.state_family(F.col("state")).alias("f"))
     met = pairs.join(best.select(F.col("label").alias("la"), F.col("f").alias("fa")), "la").join(best.select(F.col("label").alias("lb"), F.col("f").alias("fb")), "lb")
     same = F.sum(F.when(F.col("fa") == F.col("fb"), F.col("w")).otherwise(0.0))
     return met.agg(F.round(F.try_divide(same, F.sum("w")), 6).alias("share"), F.round(F.sum("w"), 6).alias("total"))

@@ -86,3 +86,56 @@ def test_silhouettes_equal_all_pairs(spark):
 
 def test_no_texts():
     assert len(L.measured(pa.array([], pa.string()))) == 0
+
+
+def test_responses_by_tables_equal_the_products():
+    from segmentry.operators import motifs as M
+    from segmentry.plans.motifs import filters
+
+    texts = [t for t in some() if t is not None]
+    assert np.allclose(M.looked_up(texts, filters(), 40), M.responses(M.one_hot(texts, 40), filters()).transpose(1, 0, 2), atol=1e-12)
+
+
+def test_encoding_equals_the_column_function(spark):
+    from segmentry.operators import encoding as E
+
+    texts = [t for t in some() if t is None or t.isascii()]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, seq string")
+    want = {r["id"]: r["x"] for r in frame.select("id", S.one_hot(F.col("seq"), 20).alias("x")).collect()}
+    got = {(r["id"], r["pos"], r["channel"]): r["v"] for r in E.long_rows(frame, "id", "seq", 20).collect()}
+    assert got == {(i, p, c): x[p][c] for i, x in want.items() if x for p in range(20) for c in range(4)} | {(i, None, None): None for i, x in want.items() if x is None}
+    for r in E.channel_sums(frame, "id", "seq", 20, reverse=True).collect():
+        x = want[r["id"]]
+        column = [row[3 - r["channel"]] for row in x[::-1]] if x else None
+        assert (r["total"], r["placed"]) == ((sum(column), sum(v * (p + 1) for p, v in enumerate(column))) if x else (None, None))
+
+
+def test_stable_features_equal_the_column_functions(spark):
+    s = F.col("seq")
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(some())], "id long, seq string")
+    old = (S.gc_fraction(s), 1 - S.gc_fraction(s), S.cpg_ratio(s), S.cpg_frequency(s), S.repeats_of_pairs(s), S.entropy_of_known(s))
+    u = F.upper(s)
+    fine = F.array(S.gc_of_known(u), S.cpg_of_pairs(u), S.entropy_of_known(u), S.longest_run(u).cast("double"), S.repeats_in_runs(u))
+    was = F.when(S.known(u) > 0, fine).otherwise(F.array(*map(F.lit, (0.5, 1.0, 2.0, 1.0, 0.0))))
+    for r in frame.select("seq", F.array(*S.stable_features(s)).alias("a"), F.array(*old).alias("b"), S.engineered(s).alias("c"), was.alias("d")).collect():
+        assert np.allclose(r["a"], r["b"], atol=1e-12) and np.allclose(r["c"], r["d"], atol=1e-12), r["seq"]
+
+
+def test_a_large_table_is_dealt_into_more_tasks(spark, monkeypatch):
+    from segmentry import fixtures
+
+    monkeypatch.setattr(fixtures, "SPREAD", 100)
+    assert fixtures.spread(spark.range(2000).coalesce(6), "id").rdd.getNumPartitions() == 20
+
+
+def test_plans_of_many_units_are_held_in_parts(spark, monkeypatch):
+    from segmentry.operators import neighbours as N
+
+    rng = np.random.default_rng(2)
+    h = rng.normal(size=(300, 5))
+    frame = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(h)], "row_key long, class_id int, h array<double>")
+    monkeypatch.setattr(N, "CELLS", 64)
+    near, _ = N.nearest(frame.where("row_key < 40"), frame.where("row_key >= 40"), 4)
+    got = {(r["row_key"], r["rank"]): r["other"] for r in near.collect()}
+    x = np.sqrt(((h[:40, None] - h[None, 40:]) ** 2).sum(axis=2))
+    assert got == {(i, k + 1): int(j) + 40 for i in range(40) for k, j in enumerate(np.argsort(x[i], kind="stable")[:4])}
