@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import ctes, frame
 from ..functions import sequence as S
+from ..operators import encoding as E
 from ..operators import kmers as K
 from ..operators import profiles as P
 from ..operators import raw as R
@@ -150,8 +151,7 @@ def reverse_complements(spark, sf):
 @query("one_hot_long", None)
 def one_hot_long(spark, sf):
     """Every sequence as (pos, channel, v). Held against brute force in the tests; SQL compares its sums below."""
-    rows = frame(spark, sf, "sequences").select("seq_key", F.posexplode_outer(S.one_hot(F.col("seq"), 210)).alias("pos", "x"))
-    return rows.select("seq_key", "pos", F.posexplode_outer("x").alias("channel", "v"))
+    return E.long_rows(frame(spark, sf, "sequences"), "seq_key", "seq", 210)
 
 
 def one_hot_sums_sql(s: str, length: int) -> str:
@@ -159,24 +159,16 @@ def one_hot_sums_sql(s: str, length: int) -> str:
     return f"select seq_key, cast(j as int) as channel, sum(v) as total, sum(v*i) as placed from (select seq_key, i, j, {share} as v from (select seq_key, w, i, unnest(range(0,4)) as j from (select seq_key, w, unnest(range(1,{length}+1)) as i from (select seq_key, rpad(substr({s},1,{length}),{length},'N') as w from sequences)))) group by all"
 
 
-def one_hot_sums(rows):
-    """By row (seq_key, x) and channel the sum of shares and that of shares times places, inside the row."""
-    channel = lambda x, j: F.transform(x, lambda r: r[j])
-    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-    sums = [F.struct(F.lit(j).alias("channel"), total(channel("x", j)).alias("total"), total(F.transform(channel("x", j), lambda v, i: v * (i + 1))).alias("placed")) for j in range(4)]
-    return rows.select("seq_key", F.explode(F.array(*sums)).alias("s")).select("seq_key", "s.*")
-
-
 @query("one_hot_channels", one_hot_sums_sql("seq", 210))
 def one_hot_channels(spark, sf):
-    return one_hot_sums(frame(spark, sf, "sequences").select("seq_key", S.one_hot(F.col("seq"), 210).alias("x")))
+    """By row and channel the sum of shares and that of shares times places, inside the row."""
+    return E.channel_sums(frame(spark, sf, "sequences"), "seq_key", "seq", 210)
 
 
 @query("one_hot_reversed", one_hot_sums_sql("reverse(translate(seq,'ACGT','TGCA'))", 200))
 def one_hot_reversed(spark, sf):
     """The encoding with rows and channels reversed is that of the reverse complement."""
-    x = S.reverse_complement_one_hot(S.one_hot(F.col("seq"), 200))
-    return one_hot_sums(frame(spark, sf, "sequences").select("seq_key", x.alias("x")))
+    return E.channel_sums(frame(spark, sf, "sequences"), "seq_key", "seq", 200, reverse=True)
 
 
 U = lambda *p: "cast('0x'||substr(md5(concat_ws('|'," + ",".join(p) + ")),1,8) as bigint)/4294967296.0"
