@@ -31,8 +31,27 @@ def responses(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.maximum(out, 0.0).reshape(n, length, f).transpose(0, 2, 1)
 
 
-#: Rows whose responses a task holds at once.
-ROWS = 256
+#: Rows whose responses a task holds at once; places whose letters one look-up answers; codes of a letter: four known, other, none.
+ROWS, TOGETHER, CODES = 1024, 4, 6
+CODE = np.full(256, 4, dtype=np.int32)
+CODE[list(b"ACGT")] = np.arange(4)
+
+
+def looked_up(texts, weights: np.ndarray, length: int) -> np.ndarray:
+    """(filters, n, length): what `responses` gives for one_hot(texts, length), by tables of the sums of TOGETHER places."""
+    f, width, _ = weights.shape
+    raw = b"".join(t[:length].encode("ascii", "replace").ljust(length, b"N") for t in texts)
+    padded = np.full((len(texts), length + width - 1), CODES - 1, dtype=np.int32)
+    padded[:, width // 2 : width // 2 + length] = CODE[np.frombuffer(raw, dtype=np.uint8).reshape(len(texts), length)]
+    values = np.concatenate([weights, weights.sum(axis=2, keepdims=True) / 4, np.zeros((f, width, 1))], axis=2)
+    out = np.zeros((len(texts), length, f))
+    for at in range(0, width, TOGETHER):
+        place, table = np.zeros((len(texts), length), dtype=np.int32), np.zeros((1, f))
+        for j in range(at, min(at + TOGETHER, width)):
+            place = place * CODES + padded[:, j : j + length]
+            table = (table[:, None] + values[:, j].T[None]).reshape(-1, f)
+        out += table[place]
+    return np.maximum(out, 0.0).transpose(2, 0, 1)
 
 
 def top_windows(rows: DataFrame, weights: np.ndarray, k: int, length: int = 200) -> DataFrame:
@@ -47,15 +66,24 @@ def top_windows(rows: DataFrame, weights: np.ndarray, k: int, length: int = 200)
             batch = batch[batch["seq"].notna()]
             for at in range(0, len(batch), ROWS):
                 part = batch.iloc[at : at + ROWS]
-                scores = np.round(responses(one_hot(list(part["seq"]), length), weights), 9)
+                keys = part["seq_key"].to_numpy()
+                scores = np.round(looked_up(list(part["seq"]), weights, length), 9)
                 for f in range(len(weights)):
-                    flat = np.ascontiguousarray(scores[:, f, :]).ravel()
-                    least = np.partition(flat, -k)[-k] if len(flat) > k else -np.inf
-                    least = max(least, held[f]["score"].iloc[-1]) if len(held[f]) == k else least
-                    place = np.flatnonzero(flat >= least)
-                    new = part.iloc[place // length].assign(pos=place % length, score=flat[place])
-                    both = new if held[f].empty else pd.concat([held[f], new])
-                    held[f] = both.sort_values(["score", "seq_key", "pos"], ascending=[False, True, True]).head(k)
+                    flat = scores[f].ravel()
+                    if len(held[f]) == k:
+                        # Only what comes before the last row held, equal scores by key and place.
+                        last = held[f].iloc[-1]
+                        place = np.flatnonzero(flat >= last["score"])
+                        key, pos = keys[place // length], place % length
+                        place = place[(flat[place] > last["score"]) | (key < last["seq_key"]) | ((key == last["seq_key"]) & (pos < last["pos"]))]
+                    else:
+                        place = np.arange(len(flat))
+                    if len(place) > k:
+                        place = place[flat[place] >= np.partition(flat[place], -k)[-k]]
+                    if len(place):
+                        new = part.iloc[place // length].assign(pos=place % length, score=flat[place])
+                        both = new if held[f].empty else pd.concat([held[f], new])
+                        held[f] = both.sort_values(["score", "seq_key", "pos"], ascending=[False, True, True]).head(k)
         for f, found in enumerate(held):
             if len(found):
                 yield found.assign(f=f)[["f", "seq_key", "label", "pos", "score", "seq"]]

@@ -22,7 +22,8 @@ def filters() -> np.ndarray:
 
 
 def windows(spark, sf):
-    return M.top_windows(frame(spark, sf, "sequences"), filters(), TOP)
+    """The scan's few rows, stored as they are read several times."""
+    return stored(M.top_windows(frame(spark, sf, "sequences"), filters(), TOP), "windows")
 
 
 def motif_windows(spark, sf):
@@ -48,7 +49,7 @@ def motif_hypotheses(spark, sf):
 
 def motif_enrichment(spark, sf):
     """Filters with the classes that hold their windows more often than chance has it, their information and consensus."""
-    w = stored(windows(spark, sf), "windows")
+    w = windows(spark, sf)
     pwm = M.weight_matrices(w)
     found = M.enrichment(w, frame(spark, sf, "sequences"))
     out = found.join(M.information(pwm), "f").join(M.consensus(pwm), "f")
