@@ -32,6 +32,8 @@ PER_ROOT, MOST_PIVOTS, PIVOT_BYTES = 3, 4096, 1 << 25
 UNIT, RINGS = 2048, 64
 #: Queries that meet a unit in one task.
 QUERIES = 1024
+#: Distances of queries to pivots or units that a task holds at once.
+CELLS = 1 << 18
 #: Slack for rounding, as a share of the distances: bounds are kept wide of it.
 SLACK = 1e-9
 
@@ -48,10 +50,16 @@ def matrix(h: pd.Series, width: int) -> np.ndarray:
 
 
 def nearest_pivot(pivots: np.ndarray):
+    step = max(1, CELLS // len(pivots))
+
     def near(h: pd.Series) -> pd.DataFrame:
-        d = lengths(matrix(h, pivots.shape[1]), pivots)
-        at = d.argmin(axis=1) if len(d) else np.zeros(0, dtype=np.int64)
-        return pd.DataFrame({"pivot": at.astype("int32"), "d": d[np.arange(len(d)), at]})
+        ats, ds = [np.zeros(0, dtype="int32")], [np.zeros(0)]
+        for i in range(0, len(h), step):
+            d = lengths(matrix(h.iloc[i : i + step], pivots.shape[1]), pivots)
+            at = d.argmin(axis=1)
+            ats.append(at.astype("int32"))
+            ds.append(d[np.arange(len(d)), at])
+        return pd.DataFrame({"pivot": np.concatenate(ats), "d": np.concatenate(ds)})
 
     near.__annotations__ = {"h": pd.Series, "return": pd.DataFrame}
     return F.pandas_udf(near, "pivot int, d double")
@@ -101,7 +109,9 @@ def visits(queries: DataFrame, told, k: int, second: bool) -> DataFrame:
 
     def plan(batches):
         u = told.value
-        for batch in batches:
+        # With many units a task plans few queries at once: what it holds grows with neither.
+        step = max(1, CELLS // max(1, len(u.n)))
+        for batch in (b.iloc[i : i + step] for b in batches for i in range(0, len(b), step)):
             h = matrix(batch["h"], dims)
             away = lengths(h, u.pivots)[:, u.pivot]
             low, high = u.bounds(away)
