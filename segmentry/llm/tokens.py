@@ -14,14 +14,19 @@ Texts are encoded by the tokenizers library. Byte-level BPE with its usual word
 never joins a piece across a space that has no white space beside it, so such texts are
 encoded unit by unit (a word and the space before it), and a worker keeps the ids of units
 in a bounded table; other tokenizers and texts with added tokens in them are encoded whole.
+A new unit of Latin letters and the marks after them, in one line or several, is pieces of
+that pattern, which the library's model merges as they are; other units go through the
+library's whole path.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -41,6 +46,12 @@ END_ID = 2
 KEPT_UNITS = 600_000
 #: The letter that stands for the space byte in byte-level vocabularies.
 SPACE = "\u0120"
+#: Letters that make one piece with the space before them, and marks after them that make another.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([!-&(-/:-@[-`{-~]*)")
+#: Letters for bytes in byte-level vocabularies; those not listed stand for themselves.
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+#: Runs of marks whose ids a worker keeps.
+KEPT_MARKS = 4096
 #: Bytes of text for which there is a partition.
 PART_BYTES = 32 << 20
 #: Characters of text whose words a worker holds apart at once, unless one text has more.
@@ -67,6 +78,8 @@ class Encoder:
         self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.begins[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
         self.kept: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        self.newline = self.whole("\n")
         self.most = kept_units
 
     def splits(self, text: str) -> bool:
@@ -75,16 +88,45 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
+    def piece(self, letters: str) -> bytes:
+        """Ids of what the word pattern takes as one piece, given in byte-level letters."""
+        return array(self.dtype.char, [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+
+    def plain(self, word: str) -> bytes | None:
+        """Ids of a space and lines of letters with the marks after them; None of another word."""
+        out, before = [], SPACE
+        for line in word.split("\n"):
+            m = PLAIN.fullmatch(line)
+            if not m:
+                return None
+            letters, marks = m.groups()
+            head, tail = self.kept.get(letters) if before else None, self.marks.get(marks)
+            if head is None:
+                head = self.piece(before + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTE_LETTERS)))
+            if tail is None:
+                tail = self.piece(marks)
+                if len(self.marks) < KEPT_MARKS:
+                    self.marks[marks] = tail
+            out += [head, tail] if before else [self.newline, head, tail]
+            before = ""
+        return b"".join(out)
+
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that each have a space before them; they are encoded as one text and cut where pieces begin with it."""
-        ids = np.array(self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False).ids, dtype=self.dtype)
-        starts = np.flatnonzero(self.begins[ids]) * self.dtype.itemsize
-        raw, ends = ids.tobytes(), [*starts[1:].tolist(), len(ids) * self.dtype.itemsize]
-        found = {w: raw[s:e] for w, s, e in zip(words, starts.tolist(), ends, strict=True)}
+        """Ids of words that each have a space before them."""
+        found = {w: self.plain(w) for w in words}
+        if others := [w for w, ids in found.items() if ids is None]:
+            found.update(self.joined(others))
         if len(self.kept) < self.most:
             self.kept.update(found)
         return found
 
+    def joined(self, words: list[str]) -> dict[str, bytes]:
+        """As `learn`, of any words: they are encoded as one text and cut where pieces begin with the space."""
+        ids = np.array(self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False).ids, dtype=self.dtype)
+        starts = np.flatnonzero(self.begins[ids]) * self.dtype.itemsize
+        raw, ends = ids.tobytes(), [*starts[1:].tolist(), len(ids) * self.dtype.itemsize]
+        return {w: raw[s:e] for w, s, e in zip(words, starts.tolist(), ends, strict=True)}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text and the end id."""
         known, cut, new = self.kept.get, [], {}

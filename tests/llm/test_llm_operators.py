@@ -229,6 +229,16 @@ def test_units_are_encoded_as_the_whole(spark):
         assert encoder.encode([text])[0] == encoder.whole(text) + encoder.end
 
 
+def test_plain_units_are_merged_without_the_word_pattern(monkeypatch):
+    encoder = tokens.Encoder(tokens.public_tokenizer(), kept_units=40)
+    rng = random.Random(7)
+    letters = [chr(c) for c in range(0x41, 0x180) if chr(c).isalpha() and c not in (0xAA, 0xB5, 0xBA)]
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) + rng.choice(["", "", ",", ".", "***", ")_"])
+    texts = [" ".join("\n".join(word() for _ in range(rng.randint(1, 3))) for _ in range(20)) for _ in range(200)]
+    monkeypatch.setattr(encoder, "joined", None)
+    assert encoder.encode(texts) == [encoder.whole(t) + encoder.end for t in texts]
+
+
 def fair_targets(totals, weights=(1, 2, 3), most=3):
     """Shares by weight, at most `most` times a source; the excess is shared again until none is above."""
     names = sorted(totals, key=lambda s: (s is None, s or ""))
