@@ -60,6 +60,27 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bitmaps of 4 KB that are broadcast at most.
+MOST_BITMAPS = 8192
+
+
+def chosen(spark: SparkSession, rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, list[str]]:
+    """rows whose `key` is among the whole numbers `key` of keys, and paths that they need.
+
+    Keys are gathered in bitmaps of 32 768 neighbouring numbers, a bit a key, so wide rows stay
+    where they are. Keys that lie too far apart for MOST_BITMAPS meet the rows by a join.
+    """
+    bits = keys.select(F.bitmap_bucket_number("key").alias("__bucket"), F.bitmap_bit_position("key").alias("bit")).repartition("__bucket")
+    maps, path = stored(spark, bits.groupBy("__bucket").agg(F.bitmap_construct_agg("bit").alias("__bits")), "bitmaps")
+    if maps.limit(MOST_BITMAPS + 1).count() > MOST_BITMAPS:
+        drop(spark, path)
+        return rows.join(keys, "key", "left_semi"), []
+    met = rows.withColumn("__bucket", F.bitmap_bucket_number("key")).join(F.broadcast(maps), "__bucket")
+    at = F.bitmap_bit_position("key")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns), [path]
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Smallest vertex reachable from each vertex of `edges` (a, b), as (v, label).
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import components, drop, stored
+from .common import chosen, components, drop, stored
 
 WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 20, 5, 42
 #: A round that links a smaller share of its pairs is the last; most rounds.
@@ -210,9 +210,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, words: int = WORDS, simila
     entries = heads.select("rep", "n", F.explode("bands").alias("band"))
     several = entries.groupBy("band").count().where("count > 1").select("band")
     members, kept = stored(spark, entries.join(several, "band"), "members")
-    needed = members.select(F.col("rep").alias("key")).union(pairs.select("a")).union(pairs.select("b")).distinct()
-    texts, texts_path = stored(spark, rows.select("key", F.col("doc.text").alias("text")).join(needed, "key", "left_semi"), "texts")
-    paths = [held, told, pairs_path, kept, texts_path]
+    needed = members.select(F.col("rep").alias("key")).union(pairs.select("a")).union(pairs.select("b"))
+    needed, bitmaps = chosen(spark, rows.select("key", F.col("doc.text").alias("text")), needed.distinct())
+    texts, texts_path = stored(spark, needed, "texts")
+    paths = [held, told, pairs_path, kept, texts_path, *bitmaps]
     edges: list[DataFrame] = []
 
     def add(found: DataFrame) -> int:
@@ -279,7 +280,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, labels = near_copies(spark, docs)
     doc = lambda c: F.col(f"doc.{c}")
     order = F.struct(doc("doc_id").isNull(), doc("doc_id"), F.xxhash64(doc("text")), F.xxhash64("doc"), "key")
-    # Only keys and their order are brought together; documents are joined once.
+    # Only keys and their order are brought together; documents are not moved.
     places = rows.select("key", order.alias("place")).join(labels, "key")
     winners = places.groupBy("label").agg(F.min_by("key", "place").alias("key")).select("key")
-    return rows.join(winners, "key", "left_semi").select("doc.*")
+    return chosen(spark, rows, winners)[0].select("doc.*")

@@ -103,7 +103,8 @@ def links(spark: SparkSession, prints: DataFrame, heavy: int = HEAVY) -> DataFra
     # Of a whole half all pairs meet once; of a variant only those whose left-out bits differ.
     left = left.where(whole | (F.col("side") == 0)).drop("side")
     right = right.where(whole | (F.col("side") == 1)).drop("side")
-    pairs = left.join(right, key).where((~whole | (F.col("a") < F.col("b"))) & within).select("a", "b")
+    # An index is far larger than the table it is made of, whose size Spark knows: it must not be broadcast.
+    pairs = left.join(right.hint("merge"), key).where((~whole | (F.col("a") < F.col("b"))) & within).select("a", "b")
     if not any_crowded:
         drop(spark, path)
         return pairs

@@ -2,7 +2,10 @@
 
 import random
 
-from segmentry.llm import shingles
+import pytest
+from pyspark.sql import functions as F
+
+from segmentry.llm import common, shingles, simhash
 
 
 def test_near_copies_equal_brute_force(spark):
@@ -52,3 +55,30 @@ def test_rows_without_or_with_shared_ids_stay(spark):
     for parts in (1, 4):
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
         assert sorted(map(tuple, shingles.keep_one(spark, docs, "").collect()), key=str) == want
+
+
+@pytest.mark.parametrize("most", [common.MOST_BITMAPS, 2])
+def test_chosen_rows_are_those_of_the_keys(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_BITMAPS", most)
+    held = [(part << 33) + k for part in (0, 1, 7) for k in [*range(40), 32767, 32768, 32769, 100_000]]
+    want = set(random.Random(3).sample(held, 60)) | {0, 32768}
+    rows = spark.createDataFrame([(k, f"t{k}") for k in held], "key long, text string").repartition(3)
+    keys = spark.createDataFrame([(k,) for k in [*want, 5 << 33]], "key long")
+    found, _ = common.chosen(spark, rows, keys)
+    assert found.columns == ["key", "text"] and sorted(map(tuple, found.collect())) == sorted((k, f"t{k}") for k in want)
+    assert common.chosen(spark, rows, keys.limit(0))[0].count() == 0
+
+
+def test_documents_are_not_moved_and_the_index_is_not_broadcast(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 50}x{j}" for j in range(30))) for i in range(300)], "doc_id long, text string")
+    # As where a table of keys is too large to be broadcast.
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = shingles.keep_one(spark, docs, "")
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert kept.count() == 50 and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    links = simhash.links(spark, spark.range(50).select(F.col("id").alias("fp")))
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
