@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from segmentry.functions import letters as L
@@ -84,6 +85,39 @@ def test_silhouettes_equal_all_pairs(spark):
     assert C.silhouettes(spark.createDataFrame([(1, 1, [1.0])], "row_key long, class_id int, h array<double>")).count() == 0
 
 
+@pytest.mark.parametrize("part", [7, 1 << 16])
+def test_report_of_embeddings_counts_every_row(spark, tmp_path, monkeypatch, part):
+    from segmentry.plans import analysis
+
+    monkeypatch.setattr(analysis, "PER", 3)
+    monkeypatch.setattr(C, "PART", part)
+    rng = np.random.default_rng(4)
+    h = rng.normal(size=(60, 64)).astype(np.float32)
+    label = np.arange(60) % 3
+    spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(h, label))], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["method"]: r for r in analysis.embedding_report(spark, str(tmp_path)).collect()}
+    for method, x in (("raw", h.astype(float)), ("pooled", h.astype(float).reshape(60, 16, 4).mean(axis=2))):
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        s = []
+        for i in range(60):
+            own = (label == label[i]) & (np.arange(60) != i)
+            a, b = d[i, own].mean(), min(d[i, label == c].mean() for c in range(3) if c != label[i])
+            s.append((b - a) / max(a, b))
+        centre = np.stack([x[label == c].mean(axis=0) for c in range(3)])
+        assert abs(got[method]["silhouette"] - np.mean(s)) < 2e-6
+        assert abs(got[method]["spread"] - np.sqrt(((x - centre[label]) ** 2).sum(axis=1)).mean()) < 2e-6
+        assert abs(got[method]["nearest_centroids"] - min(np.sqrt(((centre[a] - centre[b]) ** 2).sum()) for a in range(3) for b in range(a))) < 2e-6
+
+
+def test_silhouettes_leave_out_equal_keys_and_keep_vectors_without_a_distance(spark, monkeypatch):
+    monkeypatch.setattr(C, "PART", 3)
+    rows = [(1, 0, [0.0, 0.0]), (1, 0, [0.0, 0.0]), (2, 0, [3.0, 4.0]), (3, 1, [6.0, 8.0]), (4, None, [0.0, 1.0]), (5, 1, [None, 1.0]), (6, 1, None)]
+    got = {}
+    for r in C.silhouettes(spark.createDataFrame(rows, "row_key long, class_id int, h array<double>")).collect():
+        got.setdefault(r["row_key"], set()).add(round(r["s"], 9))
+    assert got == {1: {0.5}, 2: {0.0}, 3: {0.0}, 4: {0.0}, 5: {0.0}}
+
+
 def test_no_texts():
     assert len(L.measured(pa.array([], pa.string()))) == 0
 
