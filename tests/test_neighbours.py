@@ -56,3 +56,26 @@ def test_edges(spark):
     assert N.nearest(some, some.limit(0), 2)[0].count() == 0
     assert N.nearest(some.limit(0), some, 2)[0].count() == 0
     assert N.nearest(some, some.limit(0), 2)[1].first()["compared"] == 0
+
+
+def test_what_is_written_grows_with_queries_and_not_with_units(spark, monkeypatch):
+    monkeypatch.setattr(N, "UNIT", 20)
+    monkeypatch.setattr(N, "PART", 300, raising=False)
+    written = []
+
+    def stored(rows, name, store=N.R.stored):
+        out = store(rows, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(N.R, "stored", stored)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1000, 12))
+    x[500:520] = x[3]
+    queries, known = frame(spark, range(100), x[:100]), frame(spark, range(100, 1000), x[100:])
+    near, cost = N.nearest(queries, known, 3)
+    assert listed(near) == brute([(i, x[i]) for i in range(100)], [(i, x[i]) for i in range(100, 1000)], 3)
+    # Nearly all units are visited, yet no row is written for a visit beyond the first.
+    assert cost.first()["compared"] > 0.5 * 100 * 900
+    assert sum(n for name, n in written if name == "visits") <= 100 * 3
+    assert sum(n for name, n in written if name == "met") <= 100 * 3 * 3 + 100 * 3 * 4 + 100
