@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import ranges as R
-from .text import read_lines
+from .text import placed, read_splits
 
 
 def write_corpus(rows: DataFrame, path: str) -> None:
@@ -102,20 +102,32 @@ def read_features(spark: SparkSession, path: str, key: str, chosen: Column | str
     return keys.join(rows, key, "left").select(key, F.coalesce("x", F.expr(f"cast(array() as {kind})")).alias("x"))
 
 
+#: Rows of a range of aligned files, at most, if no number of ranges is told.
+RANGE = 1 << 19
+
+
 def write_aligned(rows: DataFrame, path: str, order: str, columns: dict[str, Column], parts: int | None = None) -> None:
     """Line files, one folder a column, of which row n of each is the same row, in the order of the unique `order`.
 
-    Rows get their range of the order in a table that all files are written from, a file for each range in
-    each folder; so a task that runs again writes the same lines. The manifest, a row for each range, comes
-    last: without it nothing was written. Values are to be single lines; null is an empty one.
+    Rows are dealt once into sorted ranges of the order, in a table that all files are written from, a file for each
+    range in each folder (one for each split, if readers split the table's file); so a task that runs again writes the
+    same lines. The manifest, a row for each range, comes last: without it nothing was written. Values are to be single
+    lines; null is an empty one.
     """
     values = rows.select(F.col(order).alias("__order"), *(c.cast("string").alias(n) for n, c in columns.items()))
-    staged = R.in_ranges(values, (), ("__order",), parts)
-    name = F.lpad(F.col(R.PART).cast("string"), 6, "0").alias("part")
+    if parts is None:
+        # So that a range is sorted in memory; few rows are dealt as the session deals them.
+        least = -(-rows.count() // RANGE)
+        parts = least if least > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+    dealt = values.repartitionByRange(parts, "__order") if parts else values.repartitionByRange("__order")
+    numbered = dealt.sortWithinPartitions("__order").withColumn(R.PART, F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    staged = R.stored(numbered.drop("__order"), "ranges", "zstd")
+    split = F.col("_metadata.file_block_start")
+    name = F.concat(F.lpad(F.col(R.PART).cast("string"), 6, "0"), F.when(split > 0, F.concat(F.lit("_"), F.lpad(split.cast("string"), 15, "0"))).otherwise(""))
     for n in columns:
-        lines = staged.select(name, "__order", F.coalesce(n, F.lit("")).alias("value")).repartition("part").sortWithinPartitions("part", "__order")
+        lines = staged.select(name.alias("part"), "__at", F.coalesce(n, F.lit("")).alias("value")).sortWithinPartitions("part", "__at")
         lines.select("part", "value").write.partitionBy("part").text(f"{path}/{n}")
-    staged.groupBy(name).agg(F.count("*").alias("rows")).coalesce(1).write.json(f"{path}/manifest")
+    staged.groupBy(name.alias("part")).agg(F.count("*").alias("rows")).coalesce(1).write.json(f"{path}/manifest")
 
 
 def read_aligned(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
@@ -124,12 +136,16 @@ def read_aligned(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     want = told.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     out = None
     for n in names:
-        lines = read_lines(spark, f"{path}/{n}").withColumnRenamed("value", n) if want else spark.createDataFrame([], f"row_id long, {n} string")
-        out = lines if out is None else out.join(lines, "row_id", "full")
-    gone = [F.count_if(F.col(n).isNull()) for n in names]
-    checks = out.agg(F.count("*"), *gone).first()
-    if checks[0] != want or any(checks[1:]):
-        raise ValueError(f"{path}: line files do not have the {want} rows of the manifest")
+        lines = spark.createDataFrame([], "row_id long, value string")
+        if want:
+            at, splits = read_splits(spark, f"{path}/{n}")
+            splits = R.stored(splits, "splits")
+            # Files of so many lines have each number once, so the columns can be joined without looking for gaps.
+            if splits.agg(F.sum("n")).first()[0] != want:
+                raise ValueError(f"{path}: line files do not have the {want} rows of the manifest")
+            lines = placed(at, splits)
+        lines = lines.withColumnRenamed("value", n)
+        out = lines if out is None else out.join(lines, "row_id")
     return out
 
 

@@ -64,18 +64,26 @@ def read_reference(spark: SparkSession, path: str, chunk: int = 1000, tail: int
     return each.select("chrom", "chunk", F.substr("body", F.col("chunk") * chunk + 1, F.lit(chunk + tail)).alias("seq"))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, value) in file order; numbering is for import only, tables have keys."""
+def read_splits(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Lines (value, f, b, i) with their file, split and a number that rises by one inside a split, and the splits (f, b, n, least): rows and least number."""
     lines = spark.read.text(path)
     at = lines.select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    return at, at.groupBy("f", "b").agg(F.count("*").alias("n"), F.min("i").alias("least"))
+
+
+def placed(at: DataFrame, splits: DataFrame) -> DataFrame:
+    """(row_id, value) of lines and splits by read_splits, in the order of files and splits."""
     from pyspark.sql import Window as W
 
-    # Places follow from counts by split and a prefix sum over the splits, so no task numbers all lines.
-    inside = F.row_number().over(W.partitionBy("f", "b").orderBy("i")) - 1
-    counts = at.groupBy("f", "b").agg(F.count("*").alias("n"))
+    # A task reads a split from end to end, so a line's place is that of its split, by a prefix sum over the splits, and its number there.
     base = F.coalesce(F.sum("n").over(W.orderBy("f", "b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    bases = counts.select("f", "b", base.alias("base"))
-    return at.withColumn("inside", inside).join(F.broadcast(bases), ["f", "b"]).select((F.col("base") + F.col("inside")).alias("row_id"), "value")
+    bases = splits.select("f", "b", (base - F.col("least")).alias("shift"))
+    return at.join(F.broadcast(bases), ["f", "b"]).select((F.col("i") + F.col("shift")).alias("row_id"), "value")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(row_id, value) in file order; numbering is for import only, tables have keys. Lines are not shuffled."""
+    return placed(*read_splits(spark, path))
 
 
 def zipped(left: DataFrame, right: DataFrame) -> DataFrame:

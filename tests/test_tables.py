@@ -54,6 +54,27 @@ def test_aligned_files(spark, tmp_path):
     assert B.read_aligned(spark, str(tmp_path / "none"), ["a"]).count() == 0
 
 
+def test_aligned_files_are_read_with_one_shuffle_of_each_column(spark, tmp_path):
+    rows = [(i // 2, f"a{i}", f"b{i}" * 9, i) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "id long, a string, b string, c long").repartition(5)
+    at = str(tmp_path / "t")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        # Files of many splits, also those that the lines are written from.
+        for k, v in zip(kept, ("1500", "0", "-1")):
+            spark.conf.set(k, v)
+        B.write_aligned(frame, at, "id", {c: F.col(c) for c in "abc"}, parts=4)
+        back = B.read_aligned(spark, at, ["a", "b", "c"])
+        assert back._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 3
+        got = [tuple(r) for r in back.orderBy("row_id").collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    # Rows of one place in the order stay together, whichever comes first.
+    assert [r[0] for r in got] == list(range(3000))
+    assert all(a[1:] == c and b == f"b{c}" * 9 and int(c) // 2 == i // 2 for i, a, b, c in got)
+
+
 def tail(n, m, k, total):
     return sum(Fraction(math.comb(k, x) * math.comb(total - k, m - x), math.comb(total, m)) for x in range(n, min(m, k) + 1))
 
