@@ -14,17 +14,19 @@ from ..functions import letters as L
 ROWS = 256
 
 
-def encoded(column: pa.Array, length: int, other: float = 0.25) -> np.ndarray:
-    """(n, length, 4) of the upper-cased first letters; unknown letters and padding are a quarter each."""
+def letters(column: pa.Array, length: int) -> np.ndarray:
+    """(n, length): of the first letters, upper-cased, the number of a known one, and 4 for another and for padding."""
     code, at = L.codes(column)
     place = at[:-1, None] + np.arange(length)[None]
     on = place < at[1:, None]
-    padded = np.full(on.shape, L.OTHER, dtype=np.uint8)
-    padded[on] = code[place[on]]
-    known = padded < L.OTHER
-    shares = np.full((L.OTHER + 1, 4), other)
-    shares[: L.OTHER] = np.eye(4)[np.arange(L.OTHER) & 3]
-    return shares[np.where(known, padded, L.OTHER)]
+    out = np.full(on.shape, 4, dtype=np.int8)
+    out[on] = np.where(code < L.OTHER, code & 3, 4)[place[on]]
+    return out
+
+
+def encoded(column: pa.Array, length: int, other: float = 0.25) -> np.ndarray:
+    """(n, length, 4) of the upper-cased first letters; unknown letters and padding are a quarter each."""
+    return np.append(np.eye(4), np.full((1, 4), other), axis=0)[letters(column, length)]
 
 
 def worked(rows: DataFrame, key: str, text: str, kind: T.StructType, make) -> DataFrame:
@@ -43,21 +45,24 @@ def worked(rows: DataFrame, key: str, text: str, kind: T.StructType, make) -> Da
 
 
 def long_rows(rows: DataFrame, key: str, text: str, length: int) -> DataFrame:
-    """(key, pos, channel, v) of every place and letter; a null sequence gives one row of nulls."""
-    kind = T.StructType().add("pos", T.IntegerType()).add("channel", T.IntegerType()).add("v", T.DoubleType())
-
-    def make(column):
-        held = column.is_valid().to_numpy(zero_copy_only=False)
-        sizes = np.where(held, 4 * length, 1)
-        row = np.repeat(np.arange(len(column)), sizes)
-        gone, n = ~held[row], int(held.sum())
-        pos, channel, v = np.zeros(len(row), dtype=np.int32), np.zeros(len(row), dtype=np.int32), np.zeros(len(row))
-        pos[~gone] = np.tile(np.repeat(np.arange(length, dtype=np.int32), 4), n)
-        channel[~gone] = np.tile(np.arange(4, dtype=np.int32), n * length)
-        v[~gone] = encoded(column.filter(column.is_valid()), length).ravel()
-        return row, *(pa.array(x, mask=gone) for x in (pos, channel, v))
-
-    return worked(rows, key, text, kind, make)
+    """(key, pos, channel, v) of every place and letter; a null sequence gives one row of nulls.
+
+    Python gives a byte a place; the rows, many to a byte, are made where they go.
+    """
+
+    def run(column: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, len(column), ROWS):
+            part = column.slice(at, ROWS)
+            ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * length, mask=np.append(part.is_null().to_numpy(zero_copy_only=False), False))
+            out.append(pa.ListArray.from_arrays(ends, pa.array(letters(part, length).ravel())))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int8()))
+
+    each = rows.select(key, F.posexplode_outer(F.arrow_udf(run, T.ArrayType(T.ByteType()))(F.col(text))).alias("pos", "__letter"))
+    letter, none = F.col("__letter"), F.lit(None).cast("int")
+    channels = F.when(letter.isNull(), F.array(none)).otherwise(F.array(*map(F.lit, range(4))))
+    v = F.when(letter == F.col("channel"), 1.0).when(letter == 4, 0.25).when(letter.isNotNull(), 0.0)
+    return each.select(key, "pos", "__letter", F.explode(channels).alias("channel")).select(key, "pos", "channel", v.alias("v"))
 
 
 def channel_sums(rows: DataFrame, key: str, text: str, length: int, reverse: bool = False) -> DataFrame:

@@ -144,6 +144,24 @@ def test_encoding_equals_the_column_function(spark):
         assert (r["total"], r["placed"]) == ((sum(column), sum(v * (p + 1) for p, v in enumerate(column))) if x else (None, None))
 
 
+def test_long_rows_leave_python_as_a_byte_a_place(spark):
+    from segmentry.operators import encoding as E
+
+    texts = some()
+    out = E.long_rows(spark.createDataFrame(list(enumerate(texts)), "id long, seq string"), "id", "seq", 7)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("Generate ") == 2
+    assert out.schema.simpleString() == "struct<id:bigint,pos:int,channel:int,v:double>"
+    want = Counter()
+    for i, t in enumerate(texts):
+        for p in range(7 if t is not None else 0):
+            b = (t.upper() if t.isascii() else t)[p : p + 1]
+            want.update((i, p, c, 0.25 if b not in "ACGT" or not b else float(b == "ACGT"[c])) for c in range(4))
+        if t is None:
+            want[i, None, None, None] += 1
+    assert Counter(tuple(r) for r in out.collect()) == want
+
+
 def test_stable_features_equal_the_column_functions(spark):
     s = F.col("seq")
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(some())], "id long, seq string")
