@@ -27,7 +27,7 @@ from . import ranges as R
 #: Directions beyond those asked for; relative change of the values at which passes end; seed of the first directions.
 MORE, SETTLED, SEED = 10, 1e-13, 20260408
 #: Rows of a block in a task; parts that one task of the tree puts together.
-ROWS, FAN = 512, 16
+ROWS, FAN = 256, 16
 
 Dense = Callable[[pa.RecordBatch], np.ndarray]
 
@@ -55,7 +55,7 @@ def packed(*arrays: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def unpacked(raw: bytes) -> list[np.ndarray]:
+def unpacked(raw: bytes | pa.Buffer) -> list[np.ndarray]:
     held = np.load(io.BytesIO(raw), allow_pickle=False)
     return [held[k] for k in held.files]
 
@@ -63,7 +63,9 @@ def unpacked(raw: bytes) -> list[np.ndarray]:
 def blocks(batches: Iterator[pa.RecordBatch], dense: Dense, step: int = ROWS) -> Iterator[np.ndarray]:
     for batch in batches:
         for at in range(0, batch.num_rows, step):
-            yield dense(batch.slice(at, step))
+            x = dense(batch.slice(at, step))
+            # A matrix over a batch's own memory cannot be written to.
+            yield x if x.flags.writeable else x.copy()
 
 
 def together(parts: DataFrame, merge: Callable[[list[list[np.ndarray]]], list[np.ndarray]]) -> list[np.ndarray] | None:
@@ -118,8 +120,12 @@ def sketched(rows: DataFrame, dense: Dense, mean: np.ndarray, scale: np.ndarray,
         for x in blocks(batches, dense, step):
             x -= mean
             y = x @ scaled
-            part = [np.linalg.qr(y, mode="r"), y.T @ x]
-            held = add_sketches([held, part]) if held else part
+            factor, product = np.linalg.qr(y, mode="r"), y.T @ x
+            if held:
+                held[0] = np.linalg.qr(np.concatenate([held[0], factor]), mode="r")
+                held[1] += product
+            else:
+                held = [factor, product]
         if held:
             held[1] /= scale
             yield pa.RecordBatch.from_arrays([pa.array([packed(*held)], pa.binary())], ["part"])

@@ -206,7 +206,7 @@ def packed_units(known: DataFrame, told, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([no]), *lists, *(pa.array([x.tobytes()], pa.binary()) for x in numbers)], block.fieldNames())
 
     dealt = known.select("other", "class_id", "d", "g", "pivot", "ring", "salt").repartitionByRange(parts, "pivot", "ring", "salt")
-    return R.stored(dealt.sortWithinPartitions("pivot", "ring", "salt").mapInArrow(pack, block), "packed")
+    return R.stored(dealt.sortWithinPartitions("pivot", "ring", "salt").mapInArrow(pack, block), "packed", large=True)
 
 
 def packed_queries(queries: DataFrame, told, k: int, parts: int) -> DataFrame:
@@ -225,7 +225,7 @@ def packed_queries(queries: DataFrame, told, k: int, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([no]), keys, *(pa.array([x.tobytes()], pa.binary()) for x in numbers)], block.fieldNames())
 
     # Blocks are dealt anew, as their tasks hold the queries of a part.
-    return R.stored(queries.select("row_key", "h", "most").repartition(parts).mapInArrow(pack, block), "packed").repartition(parts)
+    return R.stored(queries.select("row_key", "h", "most").repartition(parts).mapInArrow(pack, block), "packed", large=True).repartition(parts)
 
 
 class Known:

@@ -220,7 +220,7 @@ def raw_vectors(spark, sf):
 @query("svd_projection", None)
 def svd_projection(spark, sf):
     """Standardisation and truncated decomposition fitted on all rows; every row is projected."""
-    rows = stored(R.blocks(frame(spark, sf, "sequences"), "seq"), "raw")
+    rows = stored(R.blocks(frame(spark, sf, "sequences"), "seq"), "raw", large=True)
     return R.project(rows, R.fit(rows))
 
 

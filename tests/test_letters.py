@@ -68,6 +68,25 @@ def test_blocks_hold_the_sparse_vectors(spark):
     assert seen == len(texts)
 
 
+def test_blocks_hold_a_few_bytes_an_entry_and_are_read_a_few_at_once(spark, tmp_path, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+    from segmentry.operators import ranges
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ACGT") for _ in range(200)) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "seq_key long, seq string").coalesce(1)
+    sizes, i, v = R.entries(pa.array(texts))
+    held = [bytes(r["block"]) for r in R.blocks(frame, "seq").collect()]
+    assert sum(map(len, held)) < 4 * len(i) + 4000 * len(held)
+    monkeypatch.setattr(ranges, "scratch", lambda _, name: str(tmp_path / name))
+    ranges.stored(spark.range(48).coalesce(1).select(F.expr("cast(repeat(uuid(), 28000) as binary)").alias("block")), "large", "uncompressed", large=True)
+    (file,) = glob.glob(str(tmp_path / "large" / "*.parquet"))
+    told = pq.ParquetFile(file).metadata
+    assert told.num_rows == 48 and max(told.row_group(g).num_rows for g in range(told.num_row_groups)) <= 16
+
+
 def test_silhouettes_equal_all_pairs(spark):
     rng = np.random.default_rng(5)
     h = rng.normal(size=(90, 4)) + 1000
