@@ -63,8 +63,8 @@ def test_what_is_written_grows_with_queries_and_not_with_units(spark, monkeypatc
     monkeypatch.setattr(N, "PART", 300, raising=False)
     written = []
 
-    def stored(rows, name, store=N.R.stored):
-        out = store(rows, name)
+    def stored(rows, name, *more, store=N.R.stored, **told):
+        out = store(rows, name, *more, **told)
         written.append((name, out.count()))
         return out
 
