@@ -27,7 +27,7 @@ from . import ranges as R
 #: Directions beyond those asked for; relative change of the values at which passes end; seed of the first directions.
 MORE, SETTLED, SEED = 10, 1e-13, 20260408
 #: Rows of a block in a task; parts that one task of the tree puts together.
-ROWS, FAN = 256, 16
+ROWS, FAN = 512, 16
 
 Dense = Callable[[pa.RecordBatch], np.ndarray]
 
